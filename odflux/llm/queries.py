@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from odflux.llm import bpe, langid, packing, quality_rules, sharding
+from odflux.llm import bpe, langid, packing, quality_rules, sharding, warc
 from odflux.llm._common import table
 
 
@@ -23,6 +23,11 @@ def op7_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = warc.round_trip(table(spark, sf_dir, "pages"))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -32,8 +37,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_sharding, op2_quality_rules, op7_length_bucket_packing, op9_byte_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_feistel_sharding, op2_quality_rules, op7_length_bucket_packing, op8_warc_index, op9_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_feistel_sharding": sharding.oracle()}
+    return {"op1_feistel_sharding": sharding.oracle(), "op8_warc_index": warc.oracle()}
