@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from odflux.llm import bpe, chat, langid, packing, quality_rules, sharding, warc
+from odflux.llm import bpe, chat, langid, packing, quality_rules, sharding, spotsigs, warc
 from odflux.llm._common import table
 
 
@@ -23,6 +23,10 @@ def op5_tool_call_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_sharding, op2_quality_rules, op5_tool_call_chats, op7_length_bucket_packing, op8_warc_index, op9_byte_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_feistel_sharding, op2_quality_rules, op5_tool_call_chats, op6_spot_signatures, op7_length_bucket_packing, op8_warc_index, op9_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
