@@ -55,6 +55,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def global_row_number(df: DataFrame, order: list[Column | str], name: str = "row_no") -> tuple[DataFrame, int]:
     """Number all rows from 0 in ``order`` without a single-task window; returns the frame and the row count.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from odflux.llm._common import small_batches
+from odflux.llm._common import fresh, small_batches
 
 ORDERS = (1, 2, 3)
 BITS = 17
@@ -111,12 +111,12 @@ def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows
     return [(r["lang"], r["text"]) for r in sorted(kept.collect(), key=lambda r: (r["lang"], r["k"])) if _LETTER.search(r["text"])]
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score appended."""
+def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``df`` with the predicted language and its score appended under ``names``."""
     small_batches(df.sparkSession)
     langs, table = model
     shared = df.sparkSession.sparkContext.broadcast(table)
-    schema = StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*df.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value[:-1], shared.value[-1:]
@@ -144,7 +144,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
                 for k, i in enumerate(part):
                     pred[i] = langs[best[k]]
                 score[part] = np.clip((f[np.arange(len(part)), best] + 1) / 2, 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *names])
 
     return df.mapInArrow(run, schema)
 
@@ -153,6 +153,13 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return fit(training_rows(df, id_col, text_col, lang_col))
 
 
+def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose language is told with at least ``least_score``; their columns are left as they are."""
+    pred, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    found = predict(docs, train(docs), names=(pred, score))
+    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least_score)).select(*docs.columns)
+
+
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row."""
     model = train(df, id_col, text_col, lang_col)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -176,13 +176,14 @@ def cell_levels(profiles: DataFrame) -> np.ndarray:
     return np.floor(2 * np.log2(total + 1)).astype(np.uint8)
 
 
-def members(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents that may be among ``ids``: a bitmap of fixed size, as a table of 64-bit words, is broadcast as a first filter."""
+def members(ids: DataFrame, docs: DataFrame, inside: bool = True) -> DataFrame:
+    """Documents that may be among ``ids``, or else the others: a bitmap of fixed size, as a table of 64-bit words, is broadcast."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    words = ids.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << FILTER_BITS}) % 64 as int))").alias("b"))
-    bitmap = F.broadcast(words.groupBy("w").agg(F.bit_or("b").alias("b")))
-    hit = F.expr(f"(b & shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << FILTER_BITS}) % 64 as int))) <> 0")
-    return docs.withColumn("w", F.shiftright(place, 6)).join(bitmap, "w").where(hit).drop("w", "b")
+    words = ids.select(F.shiftright(place, 6).alias("_w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << FILTER_BITS}) % 64 as int))").alias("_b"))
+    bitmap = F.broadcast(words.groupBy("_w").agg(F.bit_or("_b").alias("_b")))
+    hit = F.expr(f"coalesce(_b & shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << FILTER_BITS}) % 64 as int)), 0L) <> 0")
+    placed = docs.withColumn("_w", F.shiftright(place, 6)).join(bitmap, "_w", "left")
+    return placed.where(hit if inside else ~hit).select(*docs.columns)
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -460,11 +461,28 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component: that with its smallest id.  Rows with a null id all stay.
+
+    Only documents that a bitmap of fixed size can't rule out are shuffled to meet the decisions; the others pass.
+    """
+    joined = join_components(docs)
+    decided = joined.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_keep"), F.count(F.lit(1)).alias("_rows"))
+    decided = durable(decided.where("_keep <> doc_id or _rows > 1").select(F.col("doc_id").alias("_id"), (F.col("_keep") == F.col("doc_id")).alias("_first")))
+    ids = decided.select(F.col("_id").alias("doc_id"))
+    maybe, clear = members(ids, docs), members(ids, docs, inside=False)
+    met = maybe.join(decided, F.col("doc_id") == F.col("_id"), "left")
+    rank = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))
+    kept = met.where("_id is null").unionByName(met.where("_first").withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
+    return clear.unionByName(kept.select(*docs.columns))
+
+
 def oracle() -> str:
     """DuckDB SQL for ``join_components`` over ``documents``."""
     return r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 shingles AS (
   SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM words),

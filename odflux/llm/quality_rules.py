@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from odflux.llm._common import small_batches
+from odflux.llm._common import fresh, small_batches
 
 BITS = 16
 SPACE = 1 << BITS
@@ -157,9 +157,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> list[
 
 
 def judge(df: DataFrame, model: tuple | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` with the five counts, base_failed, p_quality and kept appended."""
+    """``df`` with the five counts, base_failed, p_quality and kept appended, under names that ``df`` doesn't have."""
     small_batches(df.sparkSession)
-    added = [StructField(c, LongType()) for c in COUNTS] + [StructField("base_failed", BooleanType()), StructField("p_quality", DoubleType()), StructField("kept", BooleanType())]
+    added = [StructField(fresh(df, c), LongType()) for c in COUNTS]
+    added += [StructField(fresh(df, c), kind) for c, kind in (("base_failed", BooleanType()), ("p_quality", DoubleType()), ("kept", BooleanType()))]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +187,12 @@ def judge(df: DataFrame, model: tuple | None, text_col: str = "text", threshold:
     return df.mapInArrow(run, StructType([*df.schema.fields, *added]))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass; their columns are left as they are."""
+    judged = judge(docs, fit(training_rows(docs, labels)))
+    return judged.where(F.col(judged.columns[-1])).select(*docs.columns)
+
+
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document: counts, base verdict, calibrated probability, verdict."""
     model = fit(training_rows(docs, labels))
