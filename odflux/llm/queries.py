@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from odflux.llm import bpe, chat, langid, ngram_join, packing, quality_rules, sharding, spotsigs, warc
+from odflux.llm import bpe, chat, kneser_ney, langid, ngram_join, packing, quality_rules, sharding, spotsigs, warc
 from odflux.llm._common import table
 
 
@@ -23,6 +23,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
 
+def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_tool_call_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -49,7 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_sharding, op2_quality_rules, op3_ngram_jaccard_join, op5_tool_call_chats, op6_spot_signatures, op7_length_bucket_packing, op8_warc_index, op9_byte_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_feistel_sharding, op2_quality_rules, op3_ngram_jaccard_join, op4_kneser_ney_quality, op5_tool_call_chats, op6_spot_signatures, op7_length_bucket_packing, op8_warc_index, op9_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
