@@ -6,8 +6,8 @@ skipped when they come up.  A merge touches two neighbours only, so a pre-token
 whatever its length, where rescanning takes O(n * n).
 
 The vocabulary file is read on the driver from a path given by the caller and sent to the tasks; its size is that
-of the file.  Each worker keeps the ids of up to ``CACHE`` distinct pre-tokens and starts anew when they are full,
-which changes speed only.
+of the file.  Each worker process keeps the ids of up to ``CACHE`` distinct pre-tokens from task to task, and starts
+anew when they are full, which changes speed only.
 
 Defined cases: a null text encodes to no ids; ids of a null stay empty bytes; repeated rows are encoded each for
 itself; other columns of the input are dropped; an empty table gives an empty result.
@@ -28,7 +28,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from odflux.llm._common import small_batches
 
-CACHE = 400_000
+CACHE = 700_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -79,28 +79,27 @@ class RankQueue:
 
 def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     """Ids of one pre-token."""
-    whole = ranks.get(piece)
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     right = list(range(1, n + 1))  # the start of the next part, which is also the end of this one
     left = list(range(-1, n - 1))
     pair = [-1] * n  # rank of the part at a position with its successor; -1 if none
-    get, push = ranks.get, queue.push
+    push, pop = queue.push, queue.pop
     for i in range(n - 1):
         r = get(piece[i : i + 2])
         if r is not None:
             pair[i] = r
             push(r, i)
-    while (found := queue.pop()) is not None:
+    while (found := pop()) is not None:
         rank, i = found
         if pair[i] != rank:
             continue
         j = right[i]
-        k = right[j]
-        pair[j] = -1
-        right[i] = k
-        pair[i] = -1
+        right[i] = k = right[j]
+        pair[j] = pair[i] = -1
         if k < n:
             left[k] = i
             r = get(piece[i : right[k]])
@@ -110,13 +109,16 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
         h = left[i]
         if h >= 0:
             r = get(piece[h:k])
-            pair[h] = -1 if r is None else r
-            if r is not None:
+            if r is None:
+                pair[h] = -1
+            else:
+                pair[h] = r
                 push(r, h)
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : right[i]]])
-        i = right[i]
+        j = right[i]
+        out.append(ranks[piece[i:j]])
+        i = j
     return out
 
 
@@ -141,6 +143,18 @@ class Encoder(dict):
         return b"".join([self[piece] for piece in self.split(text)])
 
 
+#: The worker's encoder, kept while the same vocabulary and pattern are asked for.
+_KEPT: dict[str, Encoder] = {}
+
+
+def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
+    kept = _KEPT.get(pattern)
+    if kept is None or kept.ranks is not ranks:
+        _KEPT.clear()
+        _KEPT[pattern] = kept = Encoder(ranks, pattern)
+    return kept
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): ids are unsigned 32-bit little-endian integers in a binary column."""
     small_batches(df.sparkSession)
@@ -148,7 +162,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks.value, pattern)
+        encoder = _encoder(ranks.value, pattern)
         for batch in batches:
             ids = [encoder.encode(t) if t else b"" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
