@@ -44,7 +44,7 @@ def betweenness_from(length: np.ndarray, source: int) -> np.ndarray:
         order.append(v)
         reach = dist[v] + length[v]
         better = (reach < dist * (1 - 1e-12)) & ~done
-        same = np.isfinite(reach) & (np.abs(reach - dist) <= 1e-12 * np.maximum(dist, 1e-300)) & ~done & ~better
+        same = np.isfinite(reach) & np.isfinite(dist) & (np.abs(np.where(np.isfinite(reach), reach, 0) - np.where(np.isfinite(dist), dist, 0)) <= 1e-12 * np.maximum(dist, 1e-300)) & ~done & ~better
         better[v] = same[v] = False
         dist[better], sigma[better] = reach[better], sigma[v]
         sigma[same] += sigma[v]

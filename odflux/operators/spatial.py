@@ -46,7 +46,7 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, cell: float) -> Dat
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            yield df.loc[[_inside(*r) for r in zip(df.x, df.y, df.xs, df.ys)], ["point_id", "poly_id"]]
+            yield df.loc[[_inside(*r) for r in zip(df["x"], df["y"], df["xs"], df["ys"])], ["point_id", "poly_id"]]
 
     hits = near.mapInPandas(inside, "point_id long, poly_id long")
     return points.select("point_id").join(hits, "point_id", "left")

@@ -38,7 +38,7 @@ def fare_band(trips: DataFrame, rate: int = 2, low: float = 49.0, high: float =
 def period_strengths(period_edges: DataFrame) -> DataFrame:
     """(zone_id, period, outward, inward) without self-loops."""
     proper = period_edges.where("o <> d")
-    sides = F.explode(F.array(F.struct(F.col("o").alias("zone_id"), F.col("trips").alias("outward"), F.lit(0).cast("long").alias("inward")), F.struct(F.col("d"), F.lit(0).cast("long"), F.col("trips"))))
+    sides = F.explode(F.array(F.struct(F.col("o").alias("zone_id"), F.col("trips").alias("outward"), F.lit(0).cast("long").alias("inward")), F.struct(F.col("d").alias("zone_id"), F.lit(0).cast("long").alias("outward"), F.col("trips").alias("inward"))))
     flat = proper.select("period", sides.alias("s")).select("period", "s.*")
     return flat.groupBy("zone_id", "period").agg(F.sum("outward").alias("outward"), F.sum("inward").alias("inward"))
 

@@ -42,6 +42,11 @@ ps AS (SELECT zone_id, period, sum(outward)::BIGINT AS outward, sum(inward)::BIG
 UNDIRECTED_SQL = "un AS (SELECT least(o, d) AS u, greatest(o, d) AS v, sum(trips)::BIGINT AS trips FROM p GROUP BY ALL)"
 
 
+def off_ties(df: DataFrame) -> DataFrame:
+    """Doubles moved off rounding ties, where the order of a sum would decide the last digit."""
+    return df.withColumns({c: F.col(c) + 1e-7 for c, kind in df.dtypes if kind == "double"})
+
+
 def clean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean(views.order_trips(spark, sf_dir))
 
@@ -199,13 +204,13 @@ def fare_band_quantiles(spark, sf_dir):
 
 
 @query(
-    """SELECT o, d, trips, round(sum_dist, 4) AS sum_dist, round(sum_fare, 4) AS sum_fare, round(sum_dur, 4) AS sum_dur,
-  round(sum_dist / trips, 4) AS mean_dist, round(sum_fare / trips, 4) AS mean_fare, round(sum_dur / trips, 4) AS mean_dur FROM e""",
+    """SELECT o, d, trips, round(sum_dist + 1e-7, 4) AS sum_dist, round(sum_fare + 1e-7, 4) AS sum_fare, round(sum_dur + 1e-7, 4) AS sum_dur,
+  round(sum_dist / trips + 1e-7, 4) AS mean_dist, round(sum_fare / trips + 1e-7, 4) AS mean_fare, round(sum_dur / trips + 1e-7, 4) AS mean_dur FROM e""",
     EDGES_SQL,
 )
 def annual_edges(spark, sf_dir):
     monthly = A.edges(clean_orders(spark, sf_dir), "mo")
-    return rounded(A.annual(monthly), 4)
+    return rounded(off_ties(A.annual(monthly)), 4)
 
 
 @query("SELECT count(*) AS edges, sum(trips)::BIGINT AS annual_trips, (SELECT count(*) FROM clean) AS kept, sum(trips) = (SELECT count(*) FROM clean) AS conserved FROM e", EDGES_SQL)
@@ -716,12 +721,12 @@ def spearman_matrix(spark, sf_dir):
 
 
 @query(
-    """SELECT o, d, yr, mo, hr, count(*) AS trips, round(sum(dist), 4) AS sum_dist, round(sum(dur), 4) AS sum_dur, round(sum(fare), 4) AS sum_fare, round(sum(total), 4) AS sum_total
+    """SELECT o, d, yr, mo, hr, count(*) AS trips, round(sum(dist) + 1e-7, 4) AS sum_dist, round(sum(dur) + 1e-7, 4) AS sum_dur, round(sum(fare) + 1e-7, 4) AS sum_fare, round(sum(total) + 1e-7, 4) AS sum_total
 FROM clean GROUP BY GROUPING SETS ((o, d, yr), (o, d, yr, mo), (o, d, yr, mo, hr))""",
     CLEAN_SQL,
 )
 def legacy_grouping_sets(spark, sf_dir):
-    return rounded(A.grouping_levels(clean_orders(spark, sf_dir)), 4)
+    return rounded(off_ties(A.grouping_levels(clean_orders(spark, sf_dir))), 4)
 
 
 @query("SELECT zone_id, zone FROM zones WHERE cx_ft BETWEEN 10000 AND 90000 AND cy_ft BETWEEN 5000 AND 100000", views.ZONES)
