@@ -11,8 +11,10 @@ The join is a sparse product of the document by n-gram incidence matrix with its
 4. Columns that occur in one component only can't add a link and are dropped block by block, before any pair is made:
    so are columns of single documents and those inside a group of near copies.
 5. What is left is multiplied block by block.  A pair of documents from different components gets the number of
-   columns it shares; the counts are added over the blocks, and pairs below the bound that their sizes imply are
-   discarded.  The rest are verified exactly.  All links between components are found, so the final components are exact.
+   columns it shares.  A signature of each document's columns bounds what the pair can share over all blocks; pairs
+   whose bound is below the overlap that their sizes imply are discarded there and then.  The counts of the others are
+   added over the blocks, held against the same overlap, and the rest verified exactly.  All links between components
+   are found, so the final components are exact.
 
 Rows of the product are packed: one row for each batch of documents and block.  A column shared by many documents is
 split into ``SLICE``-sized pieces, and each pair of pieces is multiplied on its own, so no task holds a whole hot column.
@@ -48,6 +50,9 @@ CHUNK = 1 << 14
 BLOCK = 3_000_000
 SLICE = 2_048
 FILTER_BITS = 23
+#: 64-bit words of a signature, and pairs whose signatures are compared at once.
+SIGNATURE = 8
+COMPARED = 200_000
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -110,6 +115,33 @@ def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (UP * (a + b) + UP + DOWN - 1) // (UP + DOWN)
 
 
+def rest(n: np.ndarray) -> np.ndarray:
+    """Columns of a set of n beyond its first ones: ceil(3n/4) - 1."""
+    return (UP * n + DOWN - 1) // DOWN - 1
+
+
+def column_signatures(h: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
+    """A row for each document's number of columns, then ``SIGNATURE`` rows of bits, one bit for each column."""
+    bits = np.zeros((SIGNATURE, size), dtype=np.uint64)
+    place = h & np.uint64(64 * SIGNATURE - 1)
+    np.bitwise_or.at(bits, ((place >> np.uint64(6)).astype(np.int64), doc), np.uint64(1) << (place & np.uint64(63)))
+    return np.concatenate([np.bincount(doc, minlength=size).astype(np.int64)[None], bits.view(np.int64)])
+
+
+def may_share(about: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether documents a and b can share enough of their first columns.
+
+    Each bit of a's signature that b's lacks stands for a column that b hasn't got, so the bound is never too low.
+    """
+    out = np.zeros(len(a), dtype=bool)
+    for at in range(0, len(a), COMPARED):
+        x, y = about[:, a[at : at + COMPARED]], about[:, b[at : at + COMPARED]]
+        lacks = lambda p, q: np.bitwise_count((p[4:] & ~q[4:]).view(np.uint64)).sum(axis=0, dtype=np.int64)
+        bound = np.minimum(x[3] - lacks(x, y), y[3] - lacks(y, x))
+        out[at : at + COMPARED] = bound >= least_overlap(x[2], y[2]) - np.maximum(rest(x[2]), rest(y[2]))
+    return out
+
+
 PROFILE = StructType(
     [
         StructField("doc_id", LongType()),
@@ -331,11 +363,11 @@ COUNTED = StructType([StructField(c, LongType()) for c in ("u", "v", "nu", "nv",
 
 
 def shared_counts(rows: DataFrame, filters: dict[int, np.ndarray], blocks: int) -> DataFrame:
-    """(u, v, nu, nv, c): pairs of documents from different components with the number of mixed columns they share."""
+    """(u, v, nu, nv, c): pairs of documents from different components that may share enough mixed columns, with those of a block."""
     packed = StructType(
         [StructField("block", IntegerType()), StructField("piece", LongType()), StructField("columns", BinaryType()), StructField("docs", BinaryType())]
     )
-    shared = rows.sparkSession.sparkContext.broadcast(filters)
+    shared, wide = rows.sparkSession.sparkContext.broadcast(filters), 4 + SIGNATURE
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = shared.value
@@ -347,6 +379,7 @@ def shared_counts(rows: DataFrame, filters: dict[int, np.ndarray], blocks: int)
             place = _place(_blocks(h, blocks), (h >> np.uint64(32)).astype(np.int64))
             keep = _passes(filters[0], place)
             h, doc, place = h[keep], doc[keep], place[keep]
+            about = np.concatenate([about, column_signatures(h, doc, about.shape[1])])
             level, slot = np.zeros(len(h), dtype=np.int64), _scramble(about[0].astype(np.uint64) * _MIX[0])
             for k in sorted(filters)[1:]:
                 level[_passes(filters[k], place)] = k
@@ -378,13 +411,13 @@ def shared_counts(rows: DataFrame, filters: dict[int, np.ndarray], blocks: int)
         for x in table.column("docs"):
             raw = x.as_py()
             size = int(np.frombuffer(raw, np.uint32, 1)[0])
-            docs.append(np.frombuffer(raw, np.int64, 3 * size, 4).reshape(3, size))
-            local.append(np.frombuffer(raw, np.uint16, -1, 4 + 24 * size).astype(np.int64) + at)
+            docs.append(np.frombuffer(raw, np.int64, wide * size, 4).reshape(wide, size))
+            local.append(np.frombuffer(raw, np.uint16, -1, 4 + 8 * wide * size).astype(np.int64) + at)
             at += size
         about, doc = np.concatenate(docs, axis=1), np.concatenate(local)
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
-        ids, group, size = about[:, doc]
+        ids, group, size = about[:3, doc]
         total = np.zeros((0, 2), dtype=np.int64)
         waiting: list[np.ndarray] = []
         held = 0
@@ -395,6 +428,7 @@ def shared_counts(rows: DataFrame, filters: dict[int, np.ndarray], blocks: int)
             weight = np.concatenate([total[:, 1], np.ones(len(pairs) - len(total), dtype=np.int64)])
             keys, back = np.unique(pairs, return_inverse=True)
             total, waiting, held = np.stack([keys, np.bincount(back, weight, len(keys)).astype(np.int64)], axis=1), [], 0
+            total = total[may_share(about, keys // max(1, len(about[0])), keys % max(1, len(about[0])))]
 
         left, d = np.arange(len(h)), 0
         while len(left):
@@ -407,7 +441,7 @@ def shared_counts(rows: DataFrame, filters: dict[int, np.ndarray], blocks: int)
             if fit.any():
                 waiting.append(doc[left[fit]] * len(about[0]) + doc[right[fit]])
                 held += int(fit.sum())
-                if held > 4_000_000:
+                if held > 2_000_000:
                     settle()
         settle()
         a, b, c = total[:, 0] // max(1, len(about[0])), total[:, 0] % max(1, len(about[0])), total[:, 1]
@@ -448,8 +482,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = max(1, -(-int(count) // BLOCK))
     filters = column_filters(mixed_columns(columns, blocks))
     counted = shared_counts(columns, filters, blocks).groupBy("u", "v").agg(F.sum("c").alias("c"), F.min("nu").alias("nu"), F.min("nv").alias("nv"))
-    rest = lambda n: F.expr(f"({UP} * {n} + {DOWN - 1}) div {DOWN} - 1")
-    enough = F.col("c") >= F.expr(f"({UP} * (nu + nv) + {UP + DOWN - 1}) div {UP + DOWN}") - F.greatest(rest("nu"), rest("nv"))
+    beyond = lambda n: F.expr(f"({UP} * {n} + {DOWN - 1}) div {DOWN} - 1")
+    enough = F.col("c") >= F.expr(f"({UP} * (nu + nv) + {UP + DOWN - 1}) div {UP + DOWN}") - F.greatest(beyond("nu"), beyond("nv"))
     candidates = durable(counted.where(enough).select("u", "v"))
     remove(spark, at)
     more = durable(verified(docs, candidates))
