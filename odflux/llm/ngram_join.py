@@ -208,14 +208,20 @@ def cell_levels(profiles: DataFrame) -> np.ndarray:
     return np.floor(2 * np.log2(total + 1)).astype(np.uint8)
 
 
-def members(ids: DataFrame, docs: DataFrame, inside: bool = True) -> DataFrame:
-    """Documents that may be among ``ids``, or else the others: a bitmap of fixed size, as a table of 64-bit words, is broadcast."""
+def marked(ids: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column that tells whether a document may be among ``ids``: a bitmap of fixed size, as a table of 64-bit words, is broadcast."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
     words = ids.select(F.shiftright(place, 6).alias("_w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << FILTER_BITS}) % 64 as int))").alias("_b"))
     bitmap = F.broadcast(words.groupBy("_w").agg(F.bit_or("_b").alias("_b")))
     hit = F.expr(f"coalesce(_b & shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << FILTER_BITS}) % 64 as int)), 0L) <> 0")
     placed = docs.withColumn("_w", F.shiftright(place, 6)).join(bitmap, "_w", "left")
-    return placed.where(hit if inside else ~hit).select(*docs.columns)
+    return placed.select(*docs.columns, hit.alias(name))
+
+
+def members(ids: DataFrame, docs: DataFrame, inside: bool = True) -> DataFrame:
+    """Documents that may be among ``ids``, or else the others."""
+    hit = F.col("_hit") if inside else ~F.col("_hit")
+    return marked(ids, docs, "_hit").where(hit).select(*docs.columns)
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -222,6 +222,16 @@ def test_perplexity_equals_brute_force(awkward, spark):
             assert r["kept"] is False
 
 
+def test_trusted_texts_where_ids_share_places_of_the_bitmap(awkward, spark, monkeypatch):
+    labels = spark.createDataFrame([(i, 1, 0) for i in (1, 2, 3, 7, 9, 10, 12)] + [(2, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = awkward.unionByName(awkward.where("doc_id = 7"))
+    want = sorted(r["text"] for r in docs.collect() if r["doc_id"] in (1, 7, 9, 10, 12) and zlib.crc32(str(r["doc_id"]).encode()) % 5)
+    for bits in (ngram_join.FILTER_BITS, 6):
+        monkeypatch.setattr(ngram_join, "FILTER_BITS", bits)
+        assert sorted(r["text"] for r in kneser_ney.trusted(docs, labels)[1].collect()) == want
+    assert len(want) > len(set(want))
+
+
 def test_kneser_ney_without_trusted_text(awkward, nothing, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert not any(r["kept"] for r in kneser_ney.classify(awkward, none).collect())
