@@ -244,6 +244,8 @@ def test_kneser_ney_keeps_good_documents(spark, sf_dir):
     got = kneser_ney.classify(spark.read.parquet(f"{path}/documents.parquet"), labels).join(labels, "doc_id")
     good = [r["kept"] for r in got.where("quality = 1 and toxic = 0").select("kept").collect()]
     assert sum(good) >= 0.97 * len(good)
+    bad = [r["kept"] for r in got.where("quality = 0").select("kept").collect()]
+    assert sum(bad) <= 0.4 * len(bad)
 
 
 # --- 5 chats
