@@ -2,13 +2,14 @@
 
 Trusted text is that of documents labelled good and not toxic; a fifth of it, by the checksum of the id, is held out.
 
-* Vocabulary: words whose share of the trusted text is at least 1 / ``WORDS``, so at most ``WORDS`` of them; any
-  other word falls into one of ``ENDINGS`` unknown classes, one for each pair of last bytes: words with an ending that
-  trusted text hasn't are improbable, however many they are.  Tables over classes are bounded.
+* Vocabulary: every word that trusted text has at least ``LEAST`` times, whatever the size of the input, known by a
+  64-bit hash; any other word falls into one of ``ENDINGS`` unknown classes, one for each pair of last bytes: words with
+  an ending that trusted text hasn't are improbable, however many they are.  Tables over classes go to every task; they
+  take about 33 bytes for each word of the vocabulary, and grow with it.
 * Counts: each batch of texts sends its distinct bigrams with their counts to shards by the hash of the bigram, and a
   shard adds them up.  Discounts, context weights and continuation counts come from all shards' counts.
 * Scoring: a batch looks up bigrams with at least 1 / ``HEAD`` of all counts, and those whose context or word was never
-  seen, on the spot; both tables are bounded by their share.  All other bigrams go, packed by batch, to their
+  seen, on the spot.  All other bigrams go, packed by batch, to their
   shards, where they meet the counts; shards stream their requests past the sorted counts and send back one row of
   partial sums for each batch, which are added up batch by batch.  A bigram that is in very many texts is one entry a batch.
 * Thresholds: the ``QUANTILE`` of the held-out trusted perplexities of each language, times ``SLACK``; a language with
@@ -21,6 +22,7 @@ each for itself; repeated labels count once, as bad or toxic if any is; an empty
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +38,7 @@ from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, Str
 from odflux.llm._common import durable, remove, small_batches, written
 from odflux.llm.ngram_join import CELLS, CHUNK, _added, _batch, marked, members
 
-WORDS = 1 << 17
+LEAST = 2
 ENDINGS = 1 << 16
 HEAD = 1 << 19
 SHARD = 8_000_000
@@ -73,27 +75,39 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), dtype="<u8")
+
+
 class Classes:
-    """Class numbers of words: vocabulary, unknown classes, and the start of a text."""
+    """Class numbers of words: vocabulary (by its sorted hashes), unknown classes, and the start of a text."""
 
-    def __init__(self, words: list[bytes]) -> None:
-        self.known = {w: i for i, w in enumerate(words)}
-        self.base, self.start = len(words), len(words) + ENDINGS
-        self.size = len(words) + ENDINGS + 1
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        self.base, self.start = len(hashes), len(hashes) + ENDINGS
+        self.size = len(hashes) + ENDINGS + 1
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        get, base = self.known.get, self.base
-        return np.fromiter((i if (i := get(w)) is not None else base + int.from_bytes(w[-2:]) for w in words), dtype=np.int64, count=len(words))
+        distinct = list(dict.fromkeys(words))
+        number = np.fromiter((self.base + int.from_bytes(w[-2:]) for w in distinct), dtype=np.int64, count=len(distinct))
+        if self.base:
+            wanted = word_hashes(distinct)
+            at = np.minimum(np.searchsorted(self.hashes, wanted), self.base - 1)
+            number = np.where(self.hashes[at] == wanted, at, number)
+        get = dict(zip(distinct, number.tolist())).__getitem__
+        return np.fromiter(map(get, words), dtype=np.int64, count=len(words))
 
     def bigrams(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys (context * size + class) of all bigrams of a batch, their texts' places, and the token counts."""
-        keys, sizes = [np.zeros(0, dtype=np.int64)], np.zeros(len(texts), dtype=np.int64)
+        words, sizes = [], np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
-            if words := words_of(text):
-                c = self(words)
-                sizes[i] = len(c)
-                keys.append(np.concatenate([[self.start], c[:-1]]) * self.size + c)
-        return np.concatenate(keys), np.repeat(np.arange(len(texts)), sizes), sizes
+            found = words_of(text)
+            sizes[i] = len(found)
+            words += found
+        c = self(words)
+        context = np.concatenate([[self.start], c[:-1]])[: len(c)]
+        context[(np.cumsum(sizes) - sizes)[sizes > 0]] = self.start
+        return context * self.size + c, np.repeat(np.arange(len(texts)), sizes), sizes
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, str]:
@@ -112,9 +126,12 @@ def trusted(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, s
     return good, chosen.where(~F.col("shared")).select("text").unionByName(told), where
 
 
-def vocabulary(texts: DataFrame) -> tuple[list[bytes], int]:
-    """Words with at least 1 / WORDS of all tokens, and twice at least; and the number of tokens."""
-    schema = StructType([StructField("word", BinaryType()), StructField("n", LongType())])
+def vocabulary(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Sorted hashes of all words that occur at least LEAST times; and the number of tokens."""
+    schema = StructType([StructField("word", LongType()), StructField("n", LongType())])
+
+    def out(seen: Counter[bytes]) -> pa.RecordBatch:
+        return _batch(schema, [word_hashes(list(seen)).view(np.int64), list(seen.values())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
@@ -122,14 +139,18 @@ def vocabulary(texts: DataFrame) -> tuple[list[bytes], int]:
             for text in batch.column("text").to_pylist():
                 seen.update(words_of(text))
             if len(seen) > 300_000:
-                yield _batch(schema, [list(seen), list(seen.values())])
+                yield out(seen)
                 seen = Counter()
-        yield _batch(schema, [list(seen), list(seen.values())])
+        yield out(seen)
 
-    counted = durable(texts.mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2 or word is null"))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column("word").to_numpy().tobytes()], pa.binary())], ["words"])
+
+    counted = texts.mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     total = texts.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
-    rows = counted.where(F.col("n") >= max(2, -(-total // WORDS))).collect()
-    return [bytes(r["word"]) for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))], total
+    rows = counted.select("word").mapInArrow(pack, "words binary").collect()
+    return np.sort(np.frombuffer(b"".join(bytes(r["words"]) for r in rows), dtype="<u8")), total
 
 
 def _packed_counts(keys: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -168,7 +189,8 @@ def _statistics(counts: DataFrame, size: int) -> np.ndarray:
     chunks = -(-6 * width // CHUNK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((6, width), dtype=np.int64)
+        flat = np.zeros(chunks * CHUNK, dtype=np.int64)
+        out = flat[: 6 * width].reshape(6, width)
         for batch in batches:
             for k, c in zip(batch.column("keys"), batch.column("rest")):
                 keys, n = _unplanes(k.as_py()).astype(np.int64), _open(c.as_py(), np.int64)
@@ -178,8 +200,6 @@ def _statistics(counts: DataFrame, size: int) -> np.ndarray:
                     out[row, :size] += np.bincount(context[which], minlength=size)
                 out[4, :size] += np.bincount(word, minlength=size)
                 out[5, :5] += np.bincount(np.minimum(n, 5), minlength=6)[:5]
-        flat = np.zeros(chunks * CHUNK, dtype=np.int64)
-        flat[: out.size] = out.ravel()
         part = TaskContext.get().partitionId()
         packed = [zlib.compress(flat[c * CHUNK : (c + 1) * CHUNK].tobytes(), 1) for c in range(chunks)]
         yield _batch(CELLS, [[part] * chunks, list(range(chunks)), packed])
@@ -202,7 +222,7 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Bounded tables of the model: unigrams, context weights, frequent bigrams."""
+    """Tables of the model over its classes, unigrams and context weights, and the frequent bigrams."""
 
     def __init__(self, classes: Classes, stats: np.ndarray, head: list[tuple[int, int]]) -> None:
         size = self.size = classes.size
@@ -228,7 +248,7 @@ class Model:
         return np.log(own + self.weight[context] * self.unigram[word])
 
     def at_once(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts where the bounded tables tell them, and whether they do."""
+        """Counts where the tables tell them, and whether they do."""
         counts = np.zeros(len(keys), dtype=np.int64)
         known = (self.context[keys // self.size] == 0) | self.unseen[keys % self.size]
         if len(self.head):
@@ -341,8 +361,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     good, texts, where = trusted(docs, labels)
-    words, total = vocabulary(texts)
-    classes = Classes(words)
+    hashes, total = vocabulary(texts)
+    classes = Classes(hashes)
     counts = durable(bigram_counts(texts, classes, max(1, -(-total // SHARD))))
     remove(spark, where)
     head = counts.mapInArrow(_frequent(max(1, -(-total // HEAD))), "key long, n long").collect()

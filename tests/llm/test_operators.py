@@ -222,6 +222,17 @@ def test_perplexity_equals_brute_force(awkward, spark):
             assert r["kept"] is False
 
 
+def test_every_word_seen_twice_is_known_at_any_size(spark):
+    words = [b"w%d" % i for i in range(140_000)]
+    text = " ".join(w.decode() for w in words)
+    hashes, total = kneser_ney.vocabulary(spark.createDataFrame([(text,), (text,), ("common " * 300_000 + "once",)], "text string"))
+    classes = kneser_ney.Classes(hashes)
+    assert total == 580_001 and classes.base == 140_001
+    known = classes([*words, b"common"])
+    assert known.max() < classes.base and len(set(known.tolist())) == classes.base
+    assert classes([b"once", b"dunce"]).tolist() == [classes.base + int.from_bytes(b"ce")] * 2
+
+
 def test_trusted_texts_where_ids_share_places_of_the_bitmap(awkward, spark, monkeypatch):
     labels = spark.createDataFrame([(i, 1, 0) for i in (1, 2, 3, 7, 9, 10, 12)] + [(2, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
     docs = awkward.unionByName(awkward.where("doc_id = 7"))
