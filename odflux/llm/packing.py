@@ -1,11 +1,11 @@
 """Packing into length buckets that minimise padding.
 
-The global histogram of token counts, on a bounded grid of length classes, goes to the driver; dynamic programming
-over it finds the ``buckets`` boundaries whose total padding is least.  Rows then get a rank inside their bucket and
-form batches of at most ``budget`` tokens after padding.
+The global histogram of token counts goes to the driver; dynamic programming over it finds the ``buckets`` boundaries
+whose total padding is least.  Rows then get a rank inside their bucket and form batches of at most ``budget`` tokens
+after padding.
 
-The grid has steps of ``GRID`` tokens up to ``FINE`` and of one 128th of an octave beyond, so its size depends on the
-longest text only by its logarithm.  Each class has its longest member as boundary: no row exceeds its boundary.
+The histogram has a row for each distinct token count.  Their sum is at most the number of all tokens, so there are
+fewer than the square root of twice that number; the dynamic program takes time and memory in proportion to them.
 
 Defined cases: null or blank text has 0 tokens and goes to the first bucket; a null id sorts first; repeated rows
 each get a slot of their own; texts beyond the budget form batches of one; an empty table gives an empty result.
@@ -13,47 +13,52 @@ each get a slot of their own; texts beyond the budget form batches of one; an em
 
 from __future__ import annotations
 
-import numpy as np
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odflux.llm._common import WORD, global_row_number
 
-GRID, FINE, OCTAVE = 16, 4096, 128
-
 
 def token_count(text: str = "text") -> Column:
     """Words of the whole text; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def length_class(n: Column) -> Column:
-    fine = F.ceil(n / F.lit(GRID))
-    coarse = F.lit(FINE // GRID) + F.ceil(F.log2(n / F.lit(float(FINE))) * OCTAVE)
-    return F.when(n <= FINE, fine).otherwise(coarse).cast("int")
-
-
 def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
-    """Indices of the last length class of each bucket; ``lengths`` ascending, the last index always among them.
+    """Indices of the last length of each bucket; ``lengths`` ascending, the last index always among them.
 
-    Minimises the sum over buckets of (rows in it) * (its longest length), which is padding plus a constant.
+    Minimises the sum over buckets of (rows in it) * (its longest length), which is padding plus a constant.  For each
+    number of buckets, the best cost up to ``j`` is ``lengths[j] * upto[j]`` plus the least of the lines
+    ``best[i] - upto[i] * lengths[j]``, i < j: slopes fall and lengths rise, so a hull of lines is walked once.
     """
     size = len(lengths)
-    ends = np.asarray(lengths, dtype=np.float64)
-    upto = np.concatenate([[0.0], np.cumsum(np.asarray(counts, dtype=np.float64))])
-    best = ends * upto[1:]
-    came: list[np.ndarray] = []
+    upto = list(accumulate(counts))
+    best = [n * u for n, u in zip(lengths, upto)]
+    came: list[list[int]] = []
     for _ in range(min(buckets, size) - 1):
-        cost = best[:, None] + ends[None, :] * (upto[1:][None, :] - upto[1:][:, None])
-        cost[np.tril_indices(size)] = np.inf  # an earlier bucket ends before this one
-        at = cost.argmin(axis=0)
-        split = cost[at, np.arange(size)]
-        came.append(np.where(split < best, at, -1))
-        best = np.minimum(best, split)
+        hull: list[int] = []
+        front, new, source = 0, list(best), [-1] * size
+        for j in range(1, size):
+            c = j - 1
+            while len(hull) - front >= 2:
+                a, b = hull[-2], hull[-1]
+                if (best[c] - best[a]) * (upto[b] - upto[a]) > (best[b] - best[a]) * (upto[c] - upto[a]):
+                    break
+                hull.pop()
+            hull.append(c)
+            at = lambda i: best[i] - upto[i] * lengths[j]  # noqa: B023, E731
+            while front + 1 < len(hull) and at(hull[front + 1]) < at(hull[front]):
+                front += 1
+            if (cost := lengths[j] * upto[j] + at(hull[front])) < best[j]:
+                new[j], source[j] = cost, hull[front]
+        came.append(source)
+        best = new
     out, j = [size - 1], size - 1
     for step in reversed(came):
         if step[j] >= 0:
-            j = int(step[j])
+            j = step[j]
             out.append(j)
     return sorted(out)
 
@@ -67,16 +72,16 @@ def pack(df: DataFrame, buckets: int = 8, budget: int = 65_536, id_col: str = "d
         F.col(id_col).alias("doc_id"),
         token_count(text_col).alias("n_tokens"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"),
-    ).withColumn("_class", length_class(F.col("n_tokens")))
-    histogram = narrow.groupBy("_class").agg(F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("n")).orderBy("_class").collect()
+    )
+    histogram = narrow.groupBy(F.greatest("n_tokens", F.lit(1)).alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()
     if not histogram:
-        histogram = [{"longest": 1, "n": 0}]
-    lengths = [max(1, r["longest"]) for r in histogram]
+        histogram = [{"length": 1, "n": 0}]
+    lengths = [r["length"] for r in histogram]
     counts = [r["n"] for r in histogram]
     ends = best_boundaries(lengths, counts, buckets)
     tops = [lengths[i] for i in ends]
-    upto = np.cumsum(counts)
-    starts = [0] + [int(upto[i]) for i in ends[:-1]]
+    upto = list(accumulate(counts))
+    starts = [0] + [upto[i] for i in ends[:-1]]
     per_batch = [max(1, budget // top) for top in tops]
 
     def pick(values: list[int]) -> Column:
@@ -88,7 +93,7 @@ def pack(df: DataFrame, buckets: int = 8, budget: int = 65_536, id_col: str = "d
     bucket = F.lit(len(tops) - 1)
     for b in range(len(tops) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= tops[b], F.lit(b)).otherwise(bucket)
-    ranked, _ = global_row_number(narrow.drop("_class").withColumn("bucket", bucket.cast("int")), ["bucket", "doc_id", "_h"])
+    ranked, _ = global_row_number(narrow.withColumn("bucket", bucket.cast("int")), ["bucket", "doc_id", "_h"])
     return (
         ranked.withColumn("_rank", F.col("row_no") - pick(starts))
         .withColumn("bucket_length", pick(tops))

@@ -368,6 +368,31 @@ def test_batches_hold_their_budget(awkward, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_packing_pads_as_little_as_brute_force(spark):
+    rng = np.random.default_rng(4)
+    sizes = [*range(13), *rng.integers(0, 13, 60).tolist(), 40, 41, 43]
+    table = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes)], "doc_id long, text string")
+    lengths = sorted({max(1, n) for n in sizes})
+    padding = lambda ends: sum(min(e for e in ends if e >= n) - n for n in sizes)
+    for k in (2, 4):
+        best = min(padding((*c, lengths[-1])) for c in itertools.combinations(lengths[:-1], k - 1))
+        assert sum(r["padding"] for r in packing.pack(table, buckets=k).collect()) == best
+
+
+def test_boundaries_of_many_lengths_equal_a_plain_dynamic_program():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        lengths = np.sort(rng.choice(np.arange(1, 3000), 150, replace=False))
+        counts = rng.integers(1, 2000, 150)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        best = lengths * upto[1:]
+        for _ in range(7):
+            best = np.asarray([min([best[j], *(best[:j] + lengths[j] * (upto[j + 1] - upto[1 : j + 1]))]) for j in range(150)])
+        ends = packing.best_boundaries(lengths.tolist(), counts.tolist(), 8)
+        starts = [0, *(e + 1 for e in ends[:-1])]
+        assert sum(int(lengths[e] * (upto[e + 1] - upto[s])) for s, e in zip(starts, ends)) == best[-1]
+
+
 # --- 8 WARC
 
 
