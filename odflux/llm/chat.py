@@ -15,6 +15,10 @@ user turn before it in its conversation, and is answered by the assistant turns
 before is found from a range-partitioned order and a carried value for each partition, so a conversation that holds
 a third of all rows is spread over many tasks.
 
+``others`` gives a row of kind ``turn`` for each turn that is neither of the user nor of the assistant (system turns,
+null and other roles), with its role and text as canonical JSON; ``format_all`` gives these and the exchanges, ordered by
+(conv_id, turn).  ``format_chats`` is the exchanges alone, as its SQL has them: there such turns have no row.
+
 Defined cases: null conv_id is a conversation of its own; null turns sort first; a result without a call gives a row
 of kind ``orphan``; a call without a result has ``answered`` false; of repeated (conv_id, call_id) calls each is
 kept, all with the same results; a parent that doesn't exist counts as none; a cycle gives depth null and is not valid; null arguments or ones that
@@ -190,6 +194,37 @@ def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def others(conversations: DataFrame) -> DataFrame:
+    """A row of kind ``turn`` for each turn that ``exchanges`` has no place for; see ``LINKED``."""
+    rest = conversations.where("role is null or role not in ('user', 'assistant')").select("conv_id", "turn", "role", "text")
+    names = LINKED.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            messages = [canonical({"turn": {"role": r, "text": t}}) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
+            columns = [
+                batch.column("conv_id"),
+                batch.column("turn"),
+                pa.nulls(n, pa.string()),
+                pa.array(["turn"] * n, pa.string()),
+                pa.nulls(n, pa.int64()),
+                pa.array([False] * n, pa.bool_()),
+                pa.nulls(n, pa.int32()),
+                pa.array([True] * n, pa.bool_()),
+                pa.nulls(n, pa.string()),
+                pa.array(messages, pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rest.withColumns({c: F.col(c).cast("long") for c in ("conv_id", "turn")}).mapInArrow(run, LINKED)
+
+
+def format_all(conversations: DataFrame) -> DataFrame:
+    """Exchanges and all other turns."""
+    return format_chats(conversations).unionByName(others(conversations))
+
+
 def call_id(conv: Column, turn: Column) -> Column:
     return F.concat(F.lit("call_"), F.coalesce(conv.cast("string"), F.lit("null")), F.lit("_"), F.coalesce(turn.cast("string"), F.lit("null")))
 

@@ -292,6 +292,29 @@ def test_chats_with_nulls_and_of_nothing(spark):
     assert chat.format_chats(odd.limit(0)).count() == 0
 
 
+def test_no_turn_is_lost(spark):
+    turns = [
+        (1, 0, "system", "be \"kind\""),
+        (1, 1, "user", "x"),
+        (1, 2, "tool", None),
+        (1, 3, "assistant", "y"),
+        (1, 4, None, "z"),
+        (2, 0, "assistant", "early"),
+        (2, 1, "user", "open"),
+        (None, None, "system", ""),
+    ]
+    got = chat.format_all(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    seen = Counter((r["conv_id"], t) for r in got for t in {r["turn"], r["result_turn"] if r["answered"] else r["turn"]})
+    assert seen == Counter((c, t) for c, t, _, _ in turns)
+    rest = {(r["conv_id"], r["turn"]): r["message"] for r in got if r["kind"] == "turn"}
+    assert rest == {
+        (1, 0): '{"turn":{"role":"system","text":"be \\"kind\\""}}',
+        (1, 2): '{"turn":{"role":"tool","text":null}}',
+        (1, 4): '{"turn":{"role":null,"text":"z"}}',
+        (None, None): '{"turn":{"role":"system","text":""}}',
+    }
+
+
 # --- 6 SpotSigs
 
 
