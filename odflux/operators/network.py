@@ -305,20 +305,21 @@ def tail_fits(quantities: dict[str, np.ndarray], spark: SparkSession) -> DataFra
 
 def tail_goodness(x: np.ndarray, spark: SparkSession, reps: int) -> DataFrame:
     """Share of synthetic data sets that fit worse than the data."""
-    xmin, a, d, _ = T.fit(x, 15)
+    xmin, a, d, _ = T.fit(x)
     draws = fan_out(spark, reps, "distance double", lambda s: [(T.bootstrap_distance(x, xmin, a, s),)])
     return draws.agg(F.lit(xmin).cast("long").alias("xmin"), F.lit(a).alias("alpha"), F.lit(d).alias("distance"), F.avg((F.col("distance") >= d).cast("double")).alias("p"))
 
 
-def tail_comparisons(x: np.ndarray, spark: SparkSession) -> DataFrame:
+def tail_comparisons(x: np.ndarray, spark: SparkSession, reps: int) -> DataFrame:
     """Vuong tests of the power law against other tails, and the nested test against its truncated form."""
-    xmin, a, _, _ = T.fit(x)
+    fitted = tail_goodness(x, spark, reps).first()
+    xmin, a, plausible = fitted["xmin"], fitted["alpha"], fitted["p"]
 
     def of(_: int) -> list[tuple]:
         ll = T.tail_likelihoods(x[x >= xmin], xmin, a)
         rows = [(name, *T.vuong(ll["power"], ll[name])) for name in ("exponential", "lognormal")]
         ratio, p = T.nested(ll["power"], ll["truncated"])
-        verdict = T.verdict(0.0, {n: (r, p) for n, r, _v, p in rows})
+        verdict = T.verdict(plausible, {n: (r, p) for n, r, _v, p in rows})
         return [(*r, verdict) for r in [*rows, ("truncated", -ratio, None, p)]]
 
     return fan_out(spark, 1, "alternative string, log_ratio double, vuong double, p double, verdict string", of)

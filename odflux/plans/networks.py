@@ -50,7 +50,7 @@ def static_attacks(spark, sf_dir):
 
 @query()
 def random_failure(spark, sf_dir):
-    return network.random_failure(_sparse(spark, sf_dir), 40, 8)
+    return network.random_failure(_sparse(spark, sf_dir), 100, 20)
 
 
 @query()
@@ -101,7 +101,7 @@ def resolution_sweep(spark, sf_dir):
 
 @query()
 def seed_stability(spark, sf_dir):
-    return network.seed_stability(order_edges(spark, sf_dir), 30)
+    return network.seed_stability(order_edges(spark, sf_dir), 100)
 
 
 @query()
@@ -116,17 +116,17 @@ def rich_club_null(spark, sf_dir):
 
 @query()
 def null_er(spark, sf_dir):
-    return network.null_models(_sparse(spark, sf_dir), "er", 40)
+    return network.null_models(_sparse(spark, sf_dir), "er", 100)
 
 
 @query()
 def null_config(spark, sf_dir):
-    return network.null_models(_sparse(spark, sf_dir), "configuration", 40)
+    return network.null_models(_sparse(spark, sf_dir), "configuration", 100)
 
 
 @query()
 def null_weight_permuted(spark, sf_dir):
-    return network.null_models(_sparse(spark, sf_dir), "weights", 40)
+    return network.null_models(_sparse(spark, sf_dir), "weights", 100)
 
 
 def _strengths(spark, sf_dir) -> dict[str, np.ndarray]:
@@ -144,12 +144,12 @@ def powerlaw_fit(spark, sf_dir):
 
 @query()
 def powerlaw_gof(spark, sf_dir):
-    return network.tail_goodness(_strengths(spark, sf_dir)["in_strength"], spark, 60)
+    return network.tail_goodness(_strengths(spark, sf_dir)["in_strength"], spark, 1000)
 
 
 @query()
 def vuong(spark, sf_dir):
-    return network.tail_comparisons(_strengths(spark, sf_dir)["in_strength"], spark)
+    return network.tail_comparisons(_strengths(spark, sf_dir)["in_strength"], spark, 1000)
 
 
 @query()

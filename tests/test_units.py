@@ -13,7 +13,7 @@ from odflux.functions import expressions as E
 from odflux.kernels import graph as G
 from odflux.kernels import tails
 from odflux.operators import aggregates as A
-from odflux.operators import cleaning, spatial, structure
+from odflux.operators import cleaning, network, spatial, structure
 from odflux.sources import sinks, trips
 
 
@@ -134,6 +134,23 @@ def test_zeta_and_power_law():
     assert x.min() >= 5 and tails.alpha_of(x, 5) == pytest.approx(2.5, abs=0.1)
 
 
+def test_power_law_scan_tries_every_cut_off():
+    x = np.random.default_rng(3).integers(1, 5000, 200)
+    for values in (x, np.concatenate([x[:150] % 90 + 1, tails.draw(91, 2.5, 60, np.random.default_rng(1))])):
+        cuts = [int(k) for k in np.unique(values)[:-9] if (values >= k).sum() >= 10]
+        best = min((tails.ks(values[values >= k], k, tails.alpha_of(values[values >= k], k)), k) for k in cuts)
+        xmin, alpha, distance, n = tails.fit(values)
+        assert xmin == best[1] and distance == pytest.approx(best[0], abs=1e-6)
+        assert alpha == pytest.approx(tails.alpha_of(values[values >= xmin], xmin), abs=1e-6) and n == (values >= xmin).sum()
+
+
+def test_verdict_follows_the_bootstrap(spark):
+    x = tails.draw(5, 2.5, 300, np.random.default_rng(0))
+    p = network.tail_goodness(x, spark, 20).first()["p"]
+    heads = {r["verdict"].split(";")[0] for r in network.tail_comparisons(x, spark, 20).collect()}
+    assert p > 0.1 and heads == {"plausible"}
+
+
 def test_points_in_polygons(spark):
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 0.2), (3, 9.0, 9.0)], "point_id long, x double, y double")
     shapes = spark.createDataFrame([(7, [0.0, 2.0, 2.0, 0.0], [0.0, 0.0, 2.0, 2.0]), (8, [0.0, 1.0, 0.0], [0.0, 0.0, 1.2])], "poly_id long, xs array<double>, ys array<double>")
