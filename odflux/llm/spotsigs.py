@@ -6,8 +6,7 @@ into one string; likeness is the Jaccard similarity of two sets.  A text without
 own, the hash of the whole text, so that only equal texts of this kind are alike.
 
 ``similar_pairs`` finds alike fingerprints: sets are partitioned by length so that alike sets lie in the same partition
-or the next, candidates share one of a set's first signatures in hash order, as many as the threshold leaves room for,
-and pairs whose lengths alone rule out the threshold are pruned before the sets meet.
+or the next, candidates share one of a set's rarest signatures, as many as the threshold leaves room for, and pairs whose lengths alone rule out the threshold are pruned before the sets meet.
 
 Defined cases: a null text is empty; a null id sorts first; equal (id, text) rows count as one document when the next
 document is looked for and each keeps its row; the last document's successor is the first, which for one document is
@@ -29,6 +28,7 @@ ANCHORS = (
     "al como con del el ella ellos en era es esta este los las lo más no o para pero por se sin su sus una y"
 )
 CHAIN = 2
+GROUP = 1000
 
 
 def _anchor_words() -> str:
@@ -100,19 +100,28 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def similar_pairs(df: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): alike pairs of distinct fingerprints by their smallest ids, and each document's representative."""
+    """(pairs, members): alike pairs of distinct fingerprints by their smallest ids, and each document's representative.
+
+    Sets are told apart by their keys, so an id with several texts, or null, loses no pair; a set of null ids only has null.
+    """
     base = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = with_signatures(base, "text", "sigs").select("doc_id", "sigs").withColumn("key", F.xxhash64("sigs"))
-    classes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    members = signed.select("doc_id", "key").join(classes, "key").select("doc_id", "rep")
-    sets = signed.join(classes, "key").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "sigs", F.size("sigs").alias("n"))
-    sets = sets.withColumn("part", length_partition(F.col("n"), threshold))
+    classes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs"))
+    members = signed.select("doc_id", "key").join(classes.select("key", "rep"), "key").select("doc_id", "rep")
+    sets = classes.select("key", "sigs", F.size("sigs").alias("n")).withColumn("part", length_partition(F.col("n"), threshold))
     room = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-    tokens = sets.select("rep", "n", "part", F.explode(F.slice("sigs", F.lit(1), room)).alias("sig"))
-    left = tokens.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "sig")
-    right = tokens.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "part", "sig")
-    fits = (F.col("na") >= threshold * F.col("nb")) & ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    pairs = left.join(right, ["part", "sig"]).where(fits).select("a", "b").distinct()
-    a, b = sets.select(F.col("rep").alias("a"), F.col("sigs").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("sigs").alias("sb"))
-    scored = pairs.join(a, "a").join(b, "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("similarity"))
+    spread = sets.select("key", "n", "part", room.alias("room"), F.explode("sigs").alias("sig"))
+    often = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("often"))
+    ordered = spread.join(often, "sig").groupBy("key", "n", "part", "room").agg(F.sort_array(F.collect_list(F.struct("often", "sig"))).alias("s"))
+    tokens = ordered.select("key", "n", "part", F.explode(F.slice("s", F.lit(1), F.col("room"))).alias("s")).select("key", "n", "part", "s.sig")
+    left = tokens.select(F.col("key").alias("ka"), F.col("n").alias("na"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "sig")
+    right = tokens.select(F.col("key").alias("kb"), F.col("n").alias("nb"), "part", "sig")
+    # sets of a group are dealt over cells of at most GROUP of them, and every other set of the group meets each cell
+    cells = right.groupBy("part", "sig").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("cells"))
+    left = left.join(cells, ["part", "sig"]).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+    right = right.join(cells, ["part", "sig"]).withColumn("cell", F.pmod(F.xxhash64("kb"), F.col("cells")).cast("int")).drop("cells")
+    fits = (F.col("na") >= threshold * F.col("nb")) & ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("ka") < F.col("kb")))
+    pairs = left.join(right, ["part", "sig", "cell"]).where(fits).select("ka", "kb").distinct()
+    a, b = (classes.select(F.col("key").alias(f"k{x}"), F.col("rep").alias(x), F.col("sigs").alias(f"s{x}")) for x in "ab")
+    scored = pairs.join(a, "ka").join(b, "kb").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold), members

@@ -365,6 +365,18 @@ def test_similar_pairs_equal_brute_force(awkward, nothing):
     assert spotsigs.fingerprints(nothing).count() == 0
 
 
+def test_similar_pairs_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "GROUP", 2)
+    say = lambda *words: " ".join(f"the {w} grows" for w in words)
+    names = ["oak elm ash fir", "yew bay fig box"]
+    a, b = (x.split() for x in names)
+    table = [(1, say(*a)), (2, say(*a, "one")), (1, say(*b)), (None, say(*b, "two")), (None, say(*a, "six")), (7, say("far", "off"))]
+    pairs, members = spotsigs.similar_pairs(spark.createDataFrame(table, "doc_id long, text string"), 0.6)
+    got = sorted((tuple(sorted((r["a"], r["b"]), key=str)) for r in pairs.collect()), key=str)
+    assert got == sorted([(1, 2), (1, None), (1, None), (2, None)], key=str)
+    assert sorted(map(str, (r["rep"] for r in members.collect()))) == sorted(map(str, [1, 2, 1, None, None, 7]))
+
+
 # --- 7 packing
 
 
