@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a temporary folder; on a cluster that folder would be lost with its
+    machine, so there the setting is demanded.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="odflux-checkpoint-"))
     return named or sc.getCheckpointDir()
 
@@ -55,6 +62,59 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Bits of a bitmap for each id, and of the largest bitmap that is broadcast; and the most keys that ``meet`` broadcasts.
+BITS_PER_ID = 16
+BITMAP_BITS = 26
+HEAVY = 1 << 16
+
+
+def least_heavy(rows: int) -> int:
+    """Rows that make a key heavy: at most ``HEAVY`` keys can have so many of ``rows`` rows."""
+    return max(64, -(-rows // HEAVY))
+
+
+def meet(rows: DataFrame, groups: DataFrame, key: str, least: int, salt: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``groups``, an aggregate by ``key`` that has the number of rows of each key as ``k``.
+
+    Keys with ``least`` rows or more are broadcast, which ``least_heavy`` bounds; their rows are dealt out by ``salt``
+    instead, so no task gets all rows of a key.  A null key meets nothing.
+    """
+    names = [c for c in groups.columns if c not in (key, "k")]
+    heavy = F.broadcast(groups.where(F.col("k") >= least).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in names]))
+    light = groups.where(F.col("k") < least).select(F.col(key).alias("_lk"), *[F.col(c).alias(f"_l_{c}") for c in names])
+    alone = F.col("_hk").isNull() & F.col(key).isNotNull()
+    spot = F.when(alone, F.xxhash64(key)).otherwise(F.xxhash64(*salt))
+    first = rows.join(heavy, F.col(key) == F.col("_hk"), "left").withColumn("_spot", spot)
+    met = first.join(light, (F.col("_spot") == F.xxhash64("_lk")) & (F.col(key) == F.col("_lk")) & F.col("_hk").isNull(), "left")
+    if how == "inner":
+        met = met.where("_hk is not null or _lk is not null")
+    return met.select(*rows.columns, *[F.coalesce(f"_h_{c}", f"_l_{c}").alias(c) for c in names])
+
+
+def marked(ids: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column that tells whether a document may be among ``ids`` (durable): false is certain.
+
+    A bitmap of ``BITS_PER_ID`` bits for each id, as a table of 64-bit words, is broadcast; where that would pass
+    ``BITMAP_BITS``, no bitmap is made and every document may be.
+    """
+    bits = max(6, (BITS_PER_ID * ids.count()).bit_length())
+    if bits > BITMAP_BITS:
+        return docs.withColumn(name, F.lit(True))
+    word, words = fresh(docs, "_word"), fresh(docs, "_bits")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << bits}) % 64 as int))")
+    table = ids.select(F.shiftright(place, 6).alias(word), bit.alias(words)).groupBy(word).agg(F.bit_or(words).alias(words))
+    placed = docs.withColumn(word, F.shiftright(place, 6)).join(F.broadcast(table), word, "left")
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(words).bitwiseAND(bit) != 0, F.lit(False)).alias(name))
+
+
+def members(ids: DataFrame, docs: DataFrame, inside: bool = True) -> DataFrame:
+    """Documents that may be among ``ids``, or else the others."""
+    hit = fresh(docs, "_hit")
+    told = marked(ids, docs, hit)
+    return told.where(F.col(hit) if inside else ~F.col(hit)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -1,38 +1,41 @@
-"""Connected components of an edge table, by alternating large-star and small-star rounds."""
+"""Connected components of an edge table, by alternating large-star and small-star rounds.
+
+Defined cases: self-loops and edges with a null end are dropped; repeated edges count once; columns other than u and v
+are not read; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflux.llm._common import durable
+from odflux.llm._common import durable, least_heavy, meet
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, least: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    lowest = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+    return meet(both, lowest, "u", least, ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, least: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
-    hung = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    lowest = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+    hung = meet(down, lowest, "u", least, ["v"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): each id that has an edge in ``edges`` (u, v), with the smallest id it can reach.
 
     A round joins on edge ends only and keeps at most as many edges as it got; rounds grow with the logarithm of the
-    longest path.  Each round's edges are checkpointed.  Self-loops and edges with a null end are dropped.
+    longest path.  Each round's edges are checkpointed.  An id with very many edges is spread over tasks.
     """
     state = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seal = None
     while True:
-        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seal:
+        now = tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == seal or not now[0]:
             return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        seal = tuple(now)
-        state = durable(_small_star(_large_star(state)))
+        seal, least = now, least_heavy(2 * now[0])
+        state = durable(_small_star(_large_star(state, least), least))

@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from odflux.llm._common import durable, remove, small_batches, written
-from odflux.llm.ngram_join import CELLS, CHUNK, _added, _batch, marked, members
+from odflux.llm._common import durable, marked, members, remove, small_batches, written
+from odflux.llm.ngram_join import CELLS, CHUNK, _added, _batch
 
 LEAST = 2
 ENDINGS = 1 << 16

@@ -2,26 +2,28 @@
 
 The join is a sparse product of the document by n-gram incidence matrix with its transpose, cut into column blocks.
 
-1. One pass over the texts gives each document's set size, a digest of its set, MinHash band keys, and counts of
-   n-grams in a fixed number of hash cells.  Documents with equal sets collapse to the one with the smallest id.
-2. Each band key's smallest id is a pivot; (pivot, document) pairs are verified exactly.  These links need no
-   completeness: they gather large groups of near copies into components at linear cost.
-3. A document of n n-grams can have overlap enough with another only if the two share one of the n - ceil(0.75 n) + 1
-   first of them in a common order, here rare cells first.  Only these columns enter the product.
-4. Columns that occur in one component only can't add a link and are dropped block by block, before any pair is made:
-   so are columns of single documents and those inside a group of near copies.
-5. What is left is multiplied block by block.  A pair of documents from different components gets the number of
-   columns it shares.  A signature of each document's columns bounds what the pair can share over all blocks; pairs
-   whose bound is below the overlap that their sizes imply are discarded there and then.  The counts of the others are
-   added over the blocks, held against the same overlap, and the rest verified exactly.  All links between components
-   are found, so the final components are exact.
-
-Rows of the product are packed: one row for each batch of documents and block.  A column shared by many documents is
-split into ``SLICE``-sized pieces, and each pair of pieces is multiplied on its own, so no task holds a whole hot column.
+1. One pass over the texts gives each document's set size, a digest of its set, and counts of n-grams in a fixed number
+   of hash cells.  Documents with equal sets are one class, known by its smallest id.
+2. A document of n n-grams can have overlap enough with another only if the two share one of the n - ceil(0.75 n) + 1
+   first of them in a common order, here rare cells first.  Only these columns enter the product, packed by batch and
+   block; equal sets enter once for each task.
+3. A block brings its columns together.  Columns of one set fall away.  Of the others, each set is multiplied with the
+   column's pivot, the set with the smallest digest: a group of near copies gives one product for each member, not for
+   each pair.  Products whose sizes rule out 0.75 are discarded; the rest are held against their whole sets.
+4. The links found so far make components.  A column whose sets all lie in one component can't add a link and is
+   dropped.  The columns left are multiplied in full, block by block, between sets of different components, and the
+   overlap counts of a pair are added up over the blocks.  A signature of each set's columns bounds what a pair can
+   share over all blocks; pairs below the overlap that their sizes imply are discarded in the block, and again when all
+   counts are in.  The pairs left are held against their whole sets.  No link between components is missed, so the final
+   components are exact.
+
+A block in which some column is hot is dealt over salts by the digest of the set; its salts' pivots are then multiplied
+with each other.  In the full product, a column of many sets is split into ``SLICE``-sized pieces, and each pair of
+pieces is multiplied on its own, so no task holds a whole hot column.
 
 Defined cases: documents without words, or null, have an empty set and are linked with nothing; fewer than five words
 make one n-gram; rows with the same id are one node; a null id has a null component; an empty table gives an empty
-result; other columns are not read.
+result; other columns are not read, and in ``keep_one`` are left as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,27 +37,23 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from odflux.llm._common import durable, remove, small_batches, written
+from odflux.llm._common import durable, fresh, least_heavy, marked, meet, members, remove, small_batches, written
 from odflux.llm.components import components
 
 SHINGLE = 5
 #: Similarity 3/4 as integers: 4 * overlap >= 3 * union.
 UP, DOWN = 3, 4
-BANDS, ROWS = 8, 4
 CELL_BITS = 18
 CHUNK = 1 << 14
 #: Columns of a block, about; and documents of a column that are multiplied at once.
 BLOCK = 3_000_000
 SLICE = 2_048
-FILTER_BITS = 23
 #: 64-bit words of a signature, and pairs whose signatures are compared at once.
 SIGNATURE = 8
 COMPARED = 200_000
 
-_rng = np.random.default_rng(20240229)
-_MULTIPLIERS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -98,13 +96,6 @@ class Shingler:
         return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
-def band_keys(h: np.ndarray) -> list[int]:
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(h), 4096):
-        least = np.minimum(least, _scramble(h[at : at + 4096, None] * _MULTIPLIERS).min(axis=0))
-    return [xxhash.xxh3_64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b) - (1 << 63) for b in range(BANDS)]
-
-
 def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
     """Columns of a set of n that a linked document must meet: n - ceil(3n/4) + 1."""
     return n - (UP * n + DOWN - 1) // DOWN + 1
@@ -120,17 +111,10 @@ def rest(n: np.ndarray) -> np.ndarray:
     return (UP * n + DOWN - 1) // DOWN - 1
 
 
-def column_signatures(h: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
-    """A row for each document's number of columns, then ``SIGNATURE`` rows of bits, one bit for each column."""
-    bits = np.zeros((SIGNATURE, size), dtype=np.uint64)
-    place = h & np.uint64(64 * SIGNATURE - 1)
-    np.bitwise_or.at(bits, ((place >> np.uint64(6)).astype(np.int64), doc), np.uint64(1) << (place & np.uint64(63)))
-    return np.concatenate([np.bincount(doc, minlength=size).astype(np.int64)[None], bits.view(np.int64)])
-
-
 def may_share(about: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether documents a and b can share enough of their first columns.
 
+    ``about`` has a column for each document: id, component, set size, number of columns, ``SIGNATURE`` words of bits.
     Each bit of a's signature that b's lacks stands for a column that b hasn't got, so the bound is never too low.
     """
     out = np.zeros(len(a), dtype=bool)
@@ -147,7 +131,6 @@ PROFILE = StructType(
         StructField("doc_id", LongType()),
         StructField("n", LongType()),
         StructField("set_key", BinaryType()),
-        StructField("bands", ArrayType(LongType())),
         StructField("part", IntegerType()),
         StructField("chunk", IntegerType()),
         StructField("counts", BinaryType()),
@@ -157,7 +140,7 @@ CELLS = StructType([StructField("part", IntegerType()), StructField("chunk", Int
 
 
 def _kinds(schema: StructType) -> list[pa.DataType]:
-    of = {LongType(): pa.int64(), IntegerType(): pa.int32(), BinaryType(): pa.binary(), ArrayType(LongType()): pa.list_(pa.int64())}
+    of = {LongType(): pa.int64(), IntegerType(): pa.int32(), BinaryType(): pa.binary()}
     return [of[f.dataType] for f in schema]
 
 
@@ -171,22 +154,20 @@ def profile(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, cells = Shingler(), np.zeros(1 << CELL_BITS, dtype=np.int64)
         for batch in batches:
-            n, keys, bands = [], [], []
+            n, keys, seen = [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingles(text)
                 n.append(len(h))
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
-                bands.append(band_keys(h) if len(h) else [])
-                cells += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS) if len(h) > 20_000 else 0
-                if len(h) <= 20_000:
-                    np.add.at(cells, (h >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+                seen.append(h >> np.uint64(64 - CELL_BITS))
+            cells += np.bincount(np.concatenate(seen).astype(np.int64) if seen else [], minlength=1 << CELL_BITS)
             none = [None] * len(n)
-            yield _batch(PROFILE, [batch.column("doc_id"), n, keys, bands, none, none, none])
+            yield _batch(PROFILE, [batch.column("doc_id"), n, keys, none, none, none])
         part = TaskContext.get().partitionId()
         chunks = range(len(cells) // CHUNK)
         packed = [zlib.compress(cells[c * CHUNK : (c + 1) * CHUNK].tobytes(), 1) for c in chunks]
         none = [None] * len(chunks)
-        yield _batch(PROFILE, [none, none, none, none, [part] * len(chunks), list(chunks), packed])
+        yield _batch(PROFILE, [none, none, none, [part] * len(chunks), list(chunks), packed])
 
     return docs.select("doc_id", "text").mapInArrow(run, PROFILE)
 
@@ -208,32 +189,18 @@ def cell_levels(profiles: DataFrame) -> np.ndarray:
     return np.floor(2 * np.log2(total + 1)).astype(np.uint8)
 
 
-def marked(ids: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a column that tells whether a document may be among ``ids``: a bitmap of fixed size, as a table of 64-bit words, is broadcast."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    words = ids.select(F.shiftright(place, 6).alias("_w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << FILTER_BITS}) % 64 as int))").alias("_b"))
-    bitmap = F.broadcast(words.groupBy("_w").agg(F.bit_or("_b").alias("_b")))
-    hit = F.expr(f"coalesce(_b & shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << FILTER_BITS}) % 64 as int)), 0L) <> 0")
-    placed = docs.withColumn("_w", F.shiftright(place, 6)).join(bitmap, "_w", "left")
-    return placed.select(*docs.columns, hit.alias(name))
-
-
-def members(ids: DataFrame, docs: DataFrame, inside: bool = True) -> DataFrame:
-    """Documents that may be among ``ids``, or else the others."""
-    hit = F.col("_hit") if inside else ~F.col("_hit")
-    return marked(ids, docs, "_hit").where(hit).select(*docs.columns)
-
+def verified(docs: DataFrame, pairs: DataFrame, total: int) -> DataFrame:
+    """The pairs (u, v) of ``pairs`` (durable, ``total`` rows) whose texts are linked, by exact overlap of their whole n-gram sets.
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts are linked, by exact overlap of their whole n-gram sets.
-
-    A document that is in many pairs is their u; its pairs are dealt over salts, 256 to each.
+    A document that is in very many pairs is their u; its pairs are dealt over salts, 256 to each.
     """
-    fan = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("k")).select("u", F.expr("cast((k + 255) div 256 as int)").alias("salts"))
-    dealt = pairs.join(fan, "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts").cast("long")).cast("int")).select("u", "v", "salt")
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id")))
+    least = max(256, least_heavy(total))
+    hubs = F.broadcast(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("u", F.expr("cast((k + 255) div 256 as int)").alias("salts")))
+    dealt = pairs.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1)).cast("long")).cast("int").alias("salt"))
+    ids = durable(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct())
     texts = members(ids, docs.select("doc_id", "text").where("doc_id is not null and text is not null"))
-    heads = fan.join(texts, F.col("u") == F.col("doc_id")).select("u", F.col("text").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = pairs.select("u").distinct().join(hubs, "u", "left").select("u", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    heads = salted.join(texts, F.col("u") == F.col("doc_id")).select("u", "salt", F.col("text").alias("head"))
     full = dealt.join(texts, F.col("v") == F.col("doc_id")).select("u", "v", "salt", "text").join(heads, ["u", "salt"]).select("u", "v", "text", "head")
     out = StructType([StructField("u", LongType()), StructField("v", LongType())])
 
@@ -254,26 +221,34 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return full.mapInArrow(run, out).distinct()
 
 
+COLUMNS = StructType([StructField("doc_id", LongType()), StructField("set", LongType()), StructField("n", LongType()), StructField("columns", BinaryType())])
+
+
 def first_columns(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(doc_id, n, columns): the packed first n-grams of each document, rare cells first."""
-    out = StructType([StructField("doc_id", LongType()), StructField("n", LongType()), StructField("columns", BinaryType())])
+    """(doc_id, set, n, columns): the packed first n-grams of each document, rare cells first; a set once for each task."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, level = Shingler(), shared.value.astype(np.uint64) << np.uint64(57)
+        seen: set[bytes] = set()
         for batch in batches:
-            n, packed = [], []
-            for text in batch.column("text").to_pylist():
+            found: list[list] = [[], [], [], []]
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 h = shingles(text)
-                n.append(len(h))
-                if len(h):
-                    order = level[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)] | (h & np.uint64((1 << 57) - 1))
-                    p = prefix_length(len(h))
-                    h = h[np.argpartition(order, p - 1)[:p]] if p < len(h) else h
-                packed.append(h.tobytes())
-            yield _batch(out, [batch.column("doc_id"), n, packed])
+                key = xxhash.xxh3_128_digest(h.tobytes())
+                if not len(h) or key in seen:
+                    continue
+                if len(seen) > Shingler.LIMIT:
+                    seen.clear()
+                seen.add(key)
+                order = level[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)] | (h & np.uint64((1 << 57) - 1))
+                p = prefix_length(len(h))
+                first = h[np.argpartition(order, p - 1)[:p]] if p < len(h) else h
+                for to, x in zip(found, (doc, int.from_bytes(key[:8], "little", signed=True), len(h), first.tobytes())):
+                    to.append(x)
+            yield _batch(COLUMNS, found)
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, out)
+    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, COLUMNS)
 
 
 def _blocks(h: np.ndarray, blocks: int) -> np.ndarray:
@@ -287,143 +262,138 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return h, np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
 
 
-def mixed_columns(rows: DataFrame, blocks: int) -> DataFrame:
-    """(block, tag, n): columns that documents of two or more components have, by a 32-bit tag inside the block, and how many have them.
+def hot_blocks(rows: DataFrame, blocks: int) -> dict[int, int]:
+    """Number of salts of each block that holds more than twice ``BLOCK`` columns: fewer than half of the blocks do."""
+    counted = StructType([StructField("block", LongType()), StructField("k", LongType())])
 
-    A tag may stand for two columns; this keeps a few columns more than needed.  Batches send each (tag, component)
-    once with its count, so that a group of near copies adds a row for each batch, not for each document.
-    """
-    packed = StructType([StructField("block", IntegerType()), StructField("tags", BinaryType()), StructField("groups", BinaryType()), StructField("counts", BinaryType())])
-    out = StructType([StructField("block", IntegerType()), StructField("tag", LongType()), StructField("n", LongType())])
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(blocks, dtype=np.int64)
         for batch in batches:
-            h, doc = _unpacked(batch)
-            group = np.asarray(batch.column("component").to_pylist(), dtype=np.int64)[doc]
-            order = np.lexsort((group, h))
-            h, group = h[order], group[order]
-            first = np.ones(len(h), dtype=bool)
-            first[1:] = (h[1:] != h[:-1]) | (group[1:] != group[:-1])
-            at = np.flatnonzero(first)
-            count = np.diff(np.append(at, len(h))).astype(np.uint16)
-            h, group = h[at], group[at]
-            block = _blocks(h, blocks)
-            order = np.argsort(block, kind="stable")
-            cuts = np.searchsorted(block[order], np.arange(blocks + 1))
-            columns: list[list] = [[], [], [], []]
-            for b in range(blocks):
-                o = order[cuts[b] : cuts[b + 1]]
-                if len(o):
-                    o = o[np.argsort(h[o] >> np.uint64(32), kind="stable")]
-                    names, local = np.unique(group[o], return_inverse=True)
-                    head = np.uint32(len(names)).tobytes()
-                    for to, x in zip(columns, (b, (h[o] >> np.uint64(32)).astype(np.uint32).tobytes(), head + names.tobytes() + local.astype(np.uint16).tobytes(), count[o].tobytes())):
-                        to.append(x)
-            yield _batch(packed, columns)
+            total += np.bincount(_blocks(_unpacked(batch)[0], blocks), minlength=blocks)
+        at = np.flatnonzero(total)
+        yield _batch(counted, [at, total[at]])
 
-    def find(table: pa.Table) -> pa.Table:
-        tags = np.frombuffer(b"".join(x.as_py() for x in table.column("tags")), dtype=np.uint32)
-        counts = np.frombuffer(b"".join(x.as_py() for x in table.column("counts")), dtype=np.uint16)
-        groups = []
-        for x in table.column("groups"):
-            raw = x.as_py()
-            size = int(np.frombuffer(raw, np.uint32, 1)[0])
-            groups.append(np.frombuffer(raw, np.int64, size, 4)[np.frombuffer(raw, np.uint16, -1, 4 + 8 * size)])
-        group = np.concatenate(groups)
-        order = np.argsort(tags, kind="stable")
-        tags, group, counts = tags[order], group[order], counts[order].astype(np.int64)
-        at = np.flatnonzero(np.concatenate([[True], tags[1:] != tags[:-1]]))
-        mixed = np.minimum.reduceat(group, at) != np.maximum.reduceat(group, at)
-        n = np.add.reduceat(counts, at)[mixed]
-        return pa.Table.from_batches([_batch(out, [np.full(len(n), table.column("block")[0].as_py()), tags[at][mixed].astype(np.int64), n])])
+    found = rows.mapInArrow(run, counted).groupBy("block").agg(F.sum("k").alias("k")).where(F.col("k") > 2 * BLOCK)
+    return {r["block"]: -(-r["k"] // BLOCK) for r in found.collect()}
 
-    return rows.mapInArrow(split, packed).groupBy("block").applyInArrow(find, out)
 
+PACKED = StructType([StructField("block", IntegerType()), StructField("salt", IntegerType()), StructField("columns", BinaryType()), StructField("docs", BinaryType())])
+SHARED = StructType([StructField(c, LongType()) for c in ("col", "set", "n", "doc", "pivot_set", "pivot_n", "pivot")])
 
-def _place(block, tag):
-    """Bit of a column in the filters; tags are random already.  The same arithmetic in numpy and in Spark."""
-    return (tag + block * 2654435761) % (1 << FILTER_BITS)
 
+def _runs(h: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values."""
+    return np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
 
-def column_filters(mixed: DataFrame) -> dict[int, np.ndarray]:
-    """Bitmaps of a fixed number of bits: 0 has all mixed columns, k > 0 those that more than SLICE * 2**(k - 1) documents have.
 
-    A bit that stands for several columns lets some pass that needn't, or cuts some finer than needed: that costs
-    time and changes no result.
-    """
-    place = _place(F.col("block").cast("long"), F.col("tag"))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(float(SLICE)))).cast("int"))
-    bits = mixed.select(F.explode(F.sequence(F.lit(0), level)).alias("level"), place.alias("p"))
-    words = bits.groupBy("level", F.expr("cast(p div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
-    out: dict[int, np.ndarray] = {}
-    for r in words.toLocalIterator():
-        out.setdefault(r["level"], np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64))[r["w"]] = r["b"]
-    return out
+def shared_columns(rows: DataFrame, blocks: int, hot: dict[int, int]) -> DataFrame:
+    """(col, set, n, doc, pivot_set, pivot_n, pivot): the columns of two or more sets, with each of their sets and the pivot.
 
-
-def _passes(words: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (words[place >> 6] >> (place & 63)) & 1 == 1
-
-
-COUNTED = StructType([StructField(c, LongType()) for c in ("u", "v", "nu", "nv", "c")])
-
-
-def shared_counts(rows: DataFrame, filters: dict[int, np.ndarray], blocks: int) -> DataFrame:
-    """(u, v, nu, nv, c): pairs of documents from different components that may share enough mixed columns, with those of a block."""
-    packed = StructType(
-        [StructField("block", IntegerType()), StructField("piece", LongType()), StructField("columns", BinaryType()), StructField("docs", BinaryType())]
-    )
-    shared, wide = rows.sparkSession.sparkContext.broadcast(filters), 4 + SIGNATURE
+    A set has one row for each column, with the smallest id seen.  A salted block has all of its columns: those of one
+    set in this salt may have others elsewhere.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = shared.value
+        salts = np.ones(blocks, dtype=np.int64)
+        for b, k in hot.items():
+            salts[b] = k
         for batch in batches:
-            if not filters:
-                continue
             h, doc = _unpacked(batch)
-            about = np.stack([np.asarray(batch.column(c).to_pylist(), dtype=np.int64) for c in ("doc_id", "component", "n")])
-            place = _place(_blocks(h, blocks), (h >> np.uint64(32)).astype(np.int64))
-            keep = _passes(filters[0], place)
-            h, doc, place = h[keep], doc[keep], place[keep]
-            about = np.concatenate([about, column_signatures(h, doc, about.shape[1])])
-            level, slot = np.zeros(len(h), dtype=np.int64), _scramble(about[0].astype(np.uint64) * _MIX[0])
-            for k in sorted(filters)[1:]:
-                level[_passes(filters[k], place)] = k
-            # (block, piece, column, document): a column in 2**k slices goes to one piece for each pair of slices
-            parts = [(h[level == 0], doc[level == 0], np.zeros((level == 0).sum(), dtype=np.int64))]
-            for i in np.flatnonzero(level):
-                k = 1 << int(level[i])
-                mine = int(slot[doc[i]] % np.uint64(k))
-                others = np.arange(k)
-                low, high = np.minimum(mine, others), np.maximum(mine, others)
-                piece = 1 + (int(h[i]) % 1_000_003) * k * k * 4 + low * k + high
-                parts.append((np.full(k, h[i]), np.full(k, doc[i]), piece.astype(np.int64)))
-            h, doc, piece = (np.concatenate(x) for x in zip(*parts))
+            about = np.stack([np.asarray(batch.column(c).to_pylist(), dtype=np.int64) for c in ("set", "n", "doc_id")]) if batch.num_rows else np.zeros((3, 0), dtype=np.int64)
             block = _blocks(h, blocks)
-            order = np.lexsort((piece, block))
-            h, doc, piece, block = h[order], doc[order], piece[order], block[order]
-            cut = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (piece[1:] != piece[:-1])])) if len(h) else np.zeros(0, dtype=np.int64)
+            salt = (_scramble(about[0].astype(np.uint64) * _MIX[0])[doc] % salts[block].astype(np.uint64)).astype(np.int64)
+            order = np.lexsort((salt, block))
+            h, doc, block, salt = h[order], doc[order], block[order], salt[order]
+            cut = _runs(block * (1 + salts.max()) + salt)
             columns: list[list] = [[], [], [], []]
             for a, b in zip(cut, [*cut[1:], len(h)]):
                 who, local = np.unique(doc[a:b], return_inverse=True)
-                head = np.uint32(len(who)).tobytes()
-                for to, x in zip(columns, (int(block[a]), int(piece[a]), h[a:b].tobytes(), head + about[:, who].tobytes() + local.astype(np.uint16).tobytes())):
+                for to, x in zip(columns, (int(block[a]), int(salt[a]), h[a:b].tobytes(), np.uint32(len(who)).tobytes() + about[:, who].tobytes() + local.astype(np.uint16).tobytes())):
                     to.append(x)
-            yield _batch(packed, columns)
+            yield _batch(PACKED, columns)
 
-    def multiply(table: pa.Table) -> pa.Table:
+    def find(table: pa.Table) -> pa.Table:
         h = np.frombuffer(b"".join(x.as_py() for x in table.column("columns")), dtype=np.uint64)
         docs, local, at = [], [], 0
         for x in table.column("docs"):
             raw = x.as_py()
             size = int(np.frombuffer(raw, np.uint32, 1)[0])
-            docs.append(np.frombuffer(raw, np.int64, wide * size, 4).reshape(wide, size))
-            local.append(np.frombuffer(raw, np.uint16, -1, 4 + 8 * wide * size).astype(np.int64) + at)
+            docs.append(np.frombuffer(raw, np.int64, 3 * size, 4).reshape(3, size))
+            local.append(np.frombuffer(raw, np.uint16, -1, 4 + 24 * size).astype(np.int64) + at)
             at += size
         about, doc = np.concatenate(docs, axis=1), np.concatenate(local)
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
+        whole = table.column("block")[0].as_py() in hot
+
+        def several(h: np.ndarray) -> np.ndarray:
+            at = _runs(h)
+            size = np.diff(np.append(at, len(h)))
+            return np.repeat(size > 1, size)
+
+        if not whole:
+            keep = several(h)
+            h, doc = h[keep], doc[keep]
+        sets, n, ids = about[:, doc]
+        order = np.lexsort((ids, n, sets, h))
+        h, sets, n, ids = h[order], sets[order], n[order], ids[order]
+        first = np.ones(len(h), dtype=bool)
+        first[1:] = (h[1:] != h[:-1]) | (sets[1:] != sets[:-1]) | (n[1:] != n[:-1])
+        h, sets, n, ids = h[first], sets[first], n[first], ids[first]
+        if not whole:
+            keep = several(h)
+            h, sets, n, ids = h[keep], sets[keep], n[keep], ids[keep]
+        at = _runs(h)
+        pivot = np.repeat(at, np.diff(np.append(at, len(h))))
+        return pa.Table.from_batches([_batch(SHARED, [h.view(np.int64), sets, n, ids, sets[pivot], n[pivot], ids[pivot]])])
+
+    return rows.mapInArrow(split, PACKED).groupBy("block", "salt").applyInArrow(find, SHARED)
+
+
+def pivot_pairs(shared: DataFrame, salted: bool) -> DataFrame:
+    """(u, v): each set's document with the pivot of each of its columns, where their sizes allow a link."""
+    pairs = shared.where("set <> pivot_set or n <> pivot_n").select(F.col("pivot").alias("u"), F.col("doc").alias("v"), F.col("pivot_n").alias("nu"), F.col("n").alias("nv"))
+    if salted:
+        # pivots of the salts of one column; a column has at most as many as its block has salts
+        own = shared.select("col", F.struct("pivot_set", "pivot_n", "pivot").alias("own")).distinct()
+        top = own.groupBy("col").agg(F.min("own").alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("col", "top")
+        more = own.join(top, "col").where("own <> top").select(F.col("top.pivot").alias("u"), F.col("own.pivot").alias("v"), F.col("top.pivot_n").alias("nu"), F.col("own.pivot_n").alias("nv"))
+        pairs = pairs.unionByName(more)
+    return pairs.where(f"u <> v and {DOWN} * least(nu, nv) >= {UP} * greatest(nu, nv)").select("u", "v").distinct()
+
+
+COUNTED = StructType([StructField(c, LongType()) for c in ("u", "v", "nu", "nv", "c")])
+
+
+def shared_counts(mixed: DataFrame, entries: int) -> DataFrame:
+    """(u, v, nu, nv, c): pairs of sets from different components that may share enough mixed columns, with those of a block.
+
+    ``mixed`` (durable) has (col, rep, n, component, k), k being the number of sets of a column.
+    """
+    blocks = max(1, -(-entries // BLOCK))
+    word = lambda i: F.bit_or(F.when(F.pmod(F.col("col"), F.lit(SIGNATURE)) == i, F.expr(f"shiftleft(1L, cast(pmod(col, {64 * SIGNATURE}) div {SIGNATURE} as int))")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}")
+    about = mixed.groupBy(F.col("rep").alias("r"), F.col("n").alias("m")).agg(F.count(F.lit(1)).alias("own"), *[word(i) for i in range(SIGNATURE)])
+    wide = mixed.join(about, (F.col("rep") == F.col("r")) & (F.col("n") == F.col("m"))).drop("r", "m")
+    slices = F.expr(f"if(k > {SLICE}, shiftleft(1, cast(ceil(log2(k / {SLICE}.0d)) as int)), 1)")
+    dealt = wide.withColumn("slices", slices).withColumn("slot", F.pmod(F.xxhash64("rep", "n"), F.col("slices").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    names = ("col", "rep", "component", "n", "own", *[f"s{i}" for i in range(SIGNATURE)])
+    dealt = dealt.select(
+        F.pmod(F.xxhash64("col"), F.lit(blocks)).alias("block"),
+        F.when(F.col("slices") > 1, F.col("col")).otherwise(F.lit(0)).alias("hot"),
+        F.least("slot", "other").alias("low"),
+        F.greatest("slot", "other").alias("high"),
+        *names,
+    )
+
+    def multiply(table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).to_numpy().astype(np.int64) for c in names}
+        _, place, doc = np.unique(np.stack([columns["rep"], columns["n"]]), axis=1, return_index=True, return_inverse=True)
+        doc, about = doc.ravel(), np.stack([columns[c][place] for c in names[1:]])
+        order = np.argsort(columns["col"], kind="stable")
+        h, doc = columns["col"][order], doc[order]
         ids, group, size = about[:3, doc]
+        width = max(1, about.shape[1])
         total = np.zeros((0, 2), dtype=np.int64)
         waiting: list[np.ndarray] = []
         held = 0
@@ -434,7 +404,7 @@ def shared_counts(rows: DataFrame, filters: dict[int, np.ndarray], blocks: int)
             weight = np.concatenate([total[:, 1], np.ones(len(pairs) - len(total), dtype=np.int64)])
             keys, back = np.unique(pairs, return_inverse=True)
             total, waiting, held = np.stack([keys, np.bincount(back, weight, len(keys)).astype(np.int64)], axis=1), [], 0
-            total = total[may_share(about, keys // max(1, len(about[0])), keys % max(1, len(about[0])))]
+            total = total[may_share(about, keys // width, keys % width)]
 
         left, d = np.arange(len(h)), 0
         while len(left):
@@ -445,76 +415,107 @@ def shared_counts(rows: DataFrame, filters: dict[int, np.ndarray], blocks: int)
             fit = (group[left] != group[right]) & (ids[left] != ids[right])
             fit &= DOWN * np.minimum(size[left], size[right]) >= UP * np.maximum(size[left], size[right])
             if fit.any():
-                waiting.append(doc[left[fit]] * len(about[0]) + doc[right[fit]])
+                # a pair has one number in all columns, whichever of the two comes first
+                a, b = doc[left[fit]], doc[right[fit]]
+                waiting.append(np.minimum(a, b) * width + np.maximum(a, b))
                 held += int(fit.sum())
                 if held > 2_000_000:
                     settle()
         settle()
-        a, b, c = total[:, 0] // max(1, len(about[0])), total[:, 0] % max(1, len(about[0])), total[:, 1]
+        a, b, c = total[:, 0] // width, total[:, 0] % width, total[:, 1]
         swap = about[0][a] > about[0][b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         return pa.Table.from_batches([_batch(COUNTED, [about[0][a], about[0][b], about[2][a], about[2][b], c])])
 
-    return rows.mapInArrow(split, packed).groupBy("block", "piece").applyInArrow(multiply, COUNTED)
+    return dealt.groupBy("block", "hot", "low", "high").applyInArrow(multiply, COUNTED)
+
+
+def mixed_columns(shared: DataFrame, copies: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """(col, rep, n, component, k): the shared columns whose sets lie in two or more components.
+
+    ``copies`` (doc_id, rep) and ``found`` (id, component) tell a document's class and the class's component, each
+    where it isn't the id itself.
+    """
+    placed = shared.select("col", "doc", "n").join(copies, F.col("doc") == F.col("doc_id"), "left").select("col", "n", F.coalesce("rep", "doc").alias("rep"))
+    placed = durable(placed.join(found, F.col("rep") == F.col("id"), "left").select("col", "rep", "n", F.coalesce("component", "rep").alias("component")))
+    groups = placed.groupBy("col").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"), F.count(F.lit(1)).alias("sets")).where("low <> high")
+    return meet(placed, groups, "col", least_heavy(total), ["rep", "n"]).select("col", "rep", "n", "component", F.col("sets").alias("k"))
 
 
-def star_pairs(reps: DataFrame) -> DataFrame:
-    """(u, v): each document with the smallest id of each of its bands."""
-    keyed = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    pivot = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("u"))
-    return keyed.join(pivot, ["band", "key"]).where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()
+def _merged(found: DataFrame, more: DataFrame, total: int) -> DataFrame:
+    """Components ``found`` after the links ``more`` between them: links move to component numbers, so they stay few."""
+    named = lambda c: more.join(found, F.col(c) == F.col("id"), "left").withColumn(c, F.coalesce("component", c)).select("u", "v")
+    more = durable(named("u"))
+    second = durable(components(durable(named("v"))).withColumnRenamed("component", "final"))
+    groups = found.groupBy("component").agg(F.count(F.lit(1)).alias("k")).join(second, F.col("component") == F.col("id"), "left").select("component", F.coalesce("final", "component").alias("final"), "k")
+    old = meet(found, groups, "component", least_heavy(total), ["id"]).select("id", F.col("final").alias("component"))
+    new = second.join(found.select("id"), "id", "left_anti").select("id", F.col("final").alias("component"))
+    return old.unionByName(new)
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profiles, where = written(profile(docs), "ngram-profiles")
     levels = cell_levels(profiles)
     sets = profiles.where("chunk is null")
     full = sets.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    reps = classes.select(F.col("rep").alias("doc_id"), "bands")
-    rows = full.select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep").distinct()
-    least = rows.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("m")).where("u <> m").select("doc_id", "u")
-    same_id = rows.join(least, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v"))
-
-    links = durable(verified(docs, durable(star_pairs(reps))).unionByName(same_id))
-    first = components(links)
-    labelled = reps.select("doc_id").distinct().join(first, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    columns, at = written(first_columns(docs, levels).join(labelled, "doc_id"), "ngram-columns")
-    count = columns.agg(F.sum(F.expr("octet_length(columns) div 8"))).first()[0] or 0
-    blocks = max(1, -(-int(count) // BLOCK))
-    filters = column_filters(mixed_columns(columns, blocks))
-    counted = shared_counts(columns, filters, blocks).groupBy("u", "v").agg(F.sum("c").alias("c"), F.min("nu").alias("nu"), F.min("nv").alias("nv"))
-    beyond = lambda n: F.expr(f"({UP} * {n} + {DOWN - 1}) div {DOWN} - 1")
-    enough = F.col("c") >= F.expr(f"({UP} * (nu + nv) + {UP + DOWN - 1}) div {UP + DOWN}") - F.greatest(beyond("nu"), beyond("nv"))
-    candidates = durable(counted.where(enough).select("u", "v"))
-    remove(spark, at)
-    more = durable(verified(docs, candidates))
-    final = durable(components(links.unionByName(more)))
-    wide = sets.join(classes.select("set_key", "rep"), "set_key", "left").join(final, F.col("rep") == F.col("id"), "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
+    rows, firsts = full.agg(F.count(F.lit(1)), F.sum(F.expr(f"n - (({UP} * n + {DOWN - 1}) div {DOWN}) + 1"))).first()
+    least = least_heavy(rows)
+    classes = durable(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1"))
+    named = meet(full.select("doc_id", "set_key"), classes, "set_key", least, ["doc_id"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    ids = durable(named.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high or low <> doc_id"))
+    copies = ids.where("low = high").select("doc_id", F.col("low").alias("rep"))
+    # an id with several texts lies in several classes, and makes them one
+    same_id = named.join(ids.where("low <> high").select("doc_id"), "doc_id").where("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+
+    blocks = max(1, -(-int(firsts or 0) // BLOCK))
+    columns, at = written(first_columns(docs, levels), "ngram-columns")
+    hot = hot_blocks(columns, blocks)
+    shared, beside = written(shared_columns(columns, blocks, hot), "ngram-shared")
+    remove(docs.sparkSession, at)
+    to_rep = lambda pairs, c: pairs.join(copies, F.col(c) == F.col("doc_id"), "left").withColumn(c, F.coalesce("rep", c)).select("u", "v")
+    near = durable(to_rep(to_rep(pivot_pairs(shared, bool(hot)), "u"), "v").where("u <> v").distinct())
+    links = durable(verified(docs, near, near.count()).unionByName(same_id))
+    found = durable(components(links))
+    total = shared.count()
+    mixed = durable(mixed_columns(shared, copies, found, total))
+    remove(docs.sparkSession, beside)
+    if entries := mixed.count():
+        beyond = lambda n: F.expr(f"({UP} * {n} + {DOWN - 1}) div {DOWN} - 1")
+        counted = shared_counts(mixed, entries).groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
+        enough = F.col("c") >= F.expr(f"({UP} * (nu + nv) + {UP + DOWN - 1}) div {UP + DOWN}") - F.greatest(beyond("nu"), beyond("nv"))
+        candidates = durable(counted.where(enough).select("u", "v").distinct())
+        if pairs := candidates.count():
+            more = durable(verified(docs, candidates, pairs))
+            found = durable(_merged(found, more, found.count()))
+    # copies get their component with their class, so the class's smallest id needn't meet all of them
+    of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("of_class"), "k")
+    wide = meet(sets.select("doc_id", "n", "set_key"), of_class, "set_key", least, ["doc_id"], "left").join(found, F.col("doc_id") == F.col("id"), "left")
+    own = F.when(F.col("n") > 0, F.coalesce("of_class", "component", "doc_id")).otherwise(F.coalesce("component", "doc_id"))
     out = durable(wide.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id")))
-    remove(spark, where)
+    remove(docs.sparkSession, where)
     return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component: that with its smallest id.  Rows with a null id all stay.
 
-    Only documents that a bitmap of fixed size can't rule out are shuffled to meet the decisions; the others pass.
+    Only documents that a bitmap of their ids can't rule out are shuffled to meet the decisions; the others pass.
     """
     joined = join_components(docs)
-    decided = joined.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_keep"), F.count(F.lit(1)).alias("_rows"))
-    decided = durable(decided.where("_keep <> doc_id or _rows > 1").select(F.col("doc_id").alias("_id"), (F.col("_keep") == F.col("doc_id")).alias("_first")))
-    ids = decided.select(F.col("_id").alias("doc_id"))
-    maybe, clear = members(ids, docs), members(ids, docs, inside=False)
-    met = maybe.join(decided, F.col("doc_id") == F.col("_id"), "left")
-    rank = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))
-    kept = met.where("_id is null").unionByName(met.where("_first").withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
-    return clear.unionByName(kept.select(*docs.columns))
+    decided = joined.where("doc_id is not null").groupBy(F.col("doc_id").alias("decided")).agg(F.min("component_id").alias("keep"), F.count(F.lit(1)).alias("k"))
+    decided = durable(decided.where("keep <> decided or k > 1").select("decided", (F.col("keep") == F.col("decided")).alias("first")))
+    ids = decided.select(F.col("decided").alias("doc_id"))
+    told, key, first, rank = (fresh(docs, c) for c in ("_told", "_decided", "_first", "_rank"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    split = marked(ids, docs, told)
+    clear = split.where(~F.col(told)).select(*names)
+    met = split.where(told).join(decided.select(F.col("decided").alias(key), F.col("first").alias(first)), F.col("doc_id") == F.col(key), "left")
+    number = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text")))
+    kept = met.where(F.col(first)).withColumn(rank, number).where(F.col(rank) == 1)
+    return clear.unionByName(met.where(F.col(key).isNull()).select(*names)).unionByName(kept.select(*names))
 
 
 def oracle() -> str:

@@ -1,16 +1,18 @@
 """Quality rules: counted base rules and a hashed n-gram logistic regression.
 
 Base rules come from exact counts over the whole text.  The model is a logistic regression over the relative
-frequencies of hashed word n-grams (1 and 2 words) and byte n-grams (2 to 4 bytes), trained on labelled rows;
+frequencies of hashed word n-grams (1 and 2 words) and character n-grams (2 to 4 code points), trained on labelled rows;
 its logit is calibrated by Platt scaling on a fifth of the sample that the weights haven't seen, and texts are scored
 in Arrow batches against a fixed probability threshold.
 
 The model is fitted on the driver from at most ``ROWS`` labelled rows of each class, those with the smallest id hashes;
-weights lie in ``SPACE`` cells, so its size is fixed.
+tasks turn their whole texts into at most 2 x ``SPACE`` frequencies, and weights lie in as many cells, so sizes are
+bounded however long a text is.
 
 Defined cases: null text counts as empty (all counts 0, base rules failed); without both classes among the labels the
 model keeps everything that passes the base rules; repeated labels of an id count once, the lowest quality first;
-labels of unknown ids are ignored; extra columns pass ``judge`` through untouched; an empty table gives none.
+labels of unknown ids are ignored; an id with several texts is trained on with the first in order; extra columns pass
+``judge`` through untouched, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -71,22 +73,32 @@ def counts(text: str, raw: bytes, words: list[bytes]) -> tuple[int, int, int, in
     return len(words), len(text) - blanks, symbols, len(lines) - len(set(lines)), repeated(words)
 
 
-def features(raw: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of all word n-grams, and of all byte n-grams, of a whole text, repeats included."""
+def features(text: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of all word n-grams, and of all character n-grams, of a whole text, repeats included."""
     shift = np.uint32(32 - BITS)
     w = np.fromiter(map(crc32, words), dtype=np.uint32, count=len(words)) * np.uint32(2654435761)
     two = (w[:-1] * np.uint32(2246822519)) ^ w[1:]
     by_word = np.concatenate([w >> shift, (two * np.uint32(3266489917)) >> shift])
-    b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
+    b = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     parts, code = [], b
     for n in (2, 3, 4):
-        code = (code[:-1] << np.uint32(8)) | b[n - 1 :] if len(code) > 1 else code[:0]
+        code = code[:-1] * np.uint32(1000003) + b[n - 1 :] if len(code) > 1 else code[:0]
         parts.append(((code + np.uint32(n)) * np.uint32(2654435761)) >> shift)
     return by_word, np.concatenate(parts)
 
 
-def logits(weights: np.ndarray, bias: float, raw: bytes, words: list[bytes]) -> float:
-    by_word, by_char = features(raw, words)
+def frequencies(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Cells that a whole text has, those of characters after those of words, and the relative frequency of each."""
+    cells, values = [], []
+    for k, f in enumerate(features(text, text.encode().split())):
+        u, c = np.unique(f, return_counts=True)
+        cells.append(u.astype(np.int32) + k * SPACE)
+        values.append((c / max(len(f), 1)).astype(np.float32))
+    return np.concatenate(cells), np.concatenate(values)
+
+
+def logits(weights: np.ndarray, bias: float, text: str, words: list[bytes]) -> float:
+    by_word, by_char = features(text, words)
     out = bias
     if len(by_word):
         out += float(weights[0][by_word].mean())
@@ -95,24 +107,14 @@ def logits(weights: np.ndarray, bias: float, raw: bytes, words: list[bytes]) ->
     return out
 
 
-def fit(rows: list[tuple[int, str]], steps: int = 120) -> tuple[np.ndarray, float, float, float] | None:
-    """Weights (2 x SPACE), bias and the two Platt coefficients from (quality, text) rows in a fixed order."""
-    if len({q for q, _ in rows}) < 2 or len(rows) < 10:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 120) -> tuple[np.ndarray, float, float, float] | None:
+    """Weights (2 x SPACE), bias and the two Platt coefficients from (quality, cells, frequencies) rows in a fixed order."""
+    if len({r[0] for r in rows}) < 2 or len(rows) < 10:
         return None
-    y = np.asarray([q for q, _ in rows], dtype=np.float64)
+    y = np.asarray([r[0] for r in rows], dtype=np.float64)
     held = np.arange(len(rows)) % 5 == 4
-    columns, values, sizes = [], [], []
-    for _, text in rows:
-        raw = text.encode()
-        size = 0
-        for k, f in enumerate(features(raw, raw.split())):
-            u, c = np.unique(f, return_counts=True)
-            columns.append(u.astype(np.int32) + k * SPACE)
-            values.append((c / max(len(f), 1)).astype(np.float32))
-            size += len(u)
-        sizes.append(size)
-    column, value = np.concatenate(columns), np.concatenate(values)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    column, value = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
     train = ~held
     share = np.where(y == 1, 0.5 / max(1, (y[train] == 1).sum()), 0.5 / max(1, (y[train] == 0).sum())) * train
     w, bias = np.zeros(2 * SPACE), 0.0
@@ -144,8 +146,8 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]
     return float(theta[0]), float(theta[1])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> list[tuple[int, str]]:
-    """At most ``rows`` labelled texts of each class; the chosen ids are bounded, which bounds the broadcast."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(quality, cells, frequencies) of at most ``rows`` labelled texts of each class; the chosen ids are bounded, which bounds the broadcast."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = None
     for q in (0, 1):
@@ -153,7 +155,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> list[
         chosen = top if chosen is None else chosen.unionByName(top)
     found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     first = found.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"), F.xxhash64(F.first("doc_id")).alias("h"))
-    return [(r["quality"], r["text"]) for r in sorted(first.collect(), key=lambda r: (r["h"], r["doc_id"]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [[x.tobytes() for x in frequencies(t)] for t in batch.column("text").to_pylist()]
+            columns = [pa.array([x[k] for x in both], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("h"), batch.column("doc_id").cast(pa.int64()), *columns], ["quality", "h", "doc_id", "cells", "values"])
+
+    kept = first.mapInArrow(run, "quality int, h long, doc_id long, cells binary, values binary").collect()
+    kept.sort(key=lambda r: (r["h"], r["doc_id"]))
+    return [(r["quality"], np.frombuffer(r["cells"], dtype=np.int32), np.frombuffer(r["values"], dtype=np.float32)) for r in kept]
 
 
 def judge(df: DataFrame, model: tuple | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -178,7 +189,7 @@ def judge(df: DataFrame, model: tuple | None, text_col: str = "text", threshold:
                     p.append(1.0)
                 else:
                     w, bias, a, b = fitted
-                    p.append(1 / (1 + float(np.exp(-np.clip(a * logits(w, bias, raw, words) + b, -30, 30)))))
+                    p.append(1 / (1 + float(np.exp(-np.clip(a * logits(w, bias, text, words) + b, -30, 30)))))
             columns = [pa.array(list(x), pa.int64()) for x in zip(*found)] or [pa.array([], pa.int64())] * 5
             kept = [not f and q >= threshold for f, q in zip(failed, p)]
             columns += [pa.array(failed, pa.bool_()), pa.array(p, pa.float64()), pa.array(kept, pa.bool_())]
@@ -190,7 +201,7 @@ def judge(df: DataFrame, model: tuple | None, text_col: str = "text", threshold:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass; their columns are left as they are."""
     judged = judge(docs, fit(training_rows(docs, labels)))
-    return judged.where(F.col(judged.columns[-1])).select(*docs.columns)
+    return judged.where(F.col(judged.columns[-1])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from odflux.llm import bpe, chat, components, kneser_ney, langid, ngram_join, packing, quality_rules, queries, sharding, spotsigs, warc
+from odflux.llm import _common, bpe, chat, components, kneser_ney, langid, ngram_join, packing, quality_rules, queries, sharding, spotsigs, warc
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -100,6 +100,37 @@ def test_quality_model_tells_held_out_labels(spark, sf_dir):
     assert sum(r["kept"] == bool(r["quality"]) for r in judged) >= 0.9 * len(judged)
 
 
+def test_model_verdict_equals_brute_force(awkward, spark):
+    """Frequencies of n-grams counted one by one, the logit as a plain sum, and the fixed threshold."""
+    docs = awkward.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
+    extra = spark.range(100, 130).select(F.col("id").alias("doc_id"), F.expr("concat('good words ', repeat(concat('steady ', id, ' line of prose '), 20))").alias("text"))
+    extra = extra.unionByName(spark.range(200, 230).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('buy now ', id, ' £££ '), 30)").alias("text")))
+    docs = docs.unionByName(extra)
+    labels = extra.select("doc_id", F.expr("cast(doc_id < 200 as int)").alias("quality"), F.lit(0).alias("toxic"))
+    weights, bias, a, b = model = quality_rules.fit(quality_rules.training_rows(docs, labels))
+    mask, shift = (1 << 32) - 1, 32 - quality_rules.BITS
+
+    def plain(text):
+        w = [zlib.crc32(x) * 2654435761 & mask for x in (text or "").encode().split()]
+        by_word = [x >> shift for x in w] + [((x * 2246822519 & mask ^ y) * 3266489917 & mask) >> shift for x, y in zip(w, w[1:])]
+        by_char = []
+        for n in (2, 3, 4):
+            for i in range(len(text or "") - n + 1):
+                code = 0
+                for c in text[i : i + n]:
+                    code = code * 1000003 + ord(c) & mask
+                by_char.append(((code + n) * 2654435761 & mask) >> shift)
+        z = bias + sum(float(weights[0][c]) for c in by_word) / max(1, len(by_word)) + sum(float(weights[1][c]) for c in by_char) / max(1, len(by_char))
+        return 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality_rules.judge(docs, model).collect():
+        p = plain(texts[r["doc_id"]])
+        assert abs(r["p_quality"] - p) < 1e-3 and r["kept"] == (not r["base_failed"] and r["p_quality"] >= quality_rules.THRESHOLD)
+        if r["doc_id"] >= 100:
+            assert (r["p_quality"] >= quality_rules.THRESHOLD) == (r["doc_id"] < 200)
+
+
 def test_quality_keeps_clashing_columns(awkward, nothing, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     clash = awkward.withColumn("kept", F.lit("x")).withColumn("n_words", F.lit(1))
@@ -153,6 +184,33 @@ def test_join_equals_brute_force_on_chains_of_edits(spark):
     assert rows(ngram_join.join_components(df), "doc_id", "n_shingles", "component_id") == brute_components(table)
 
 
+@pytest.mark.parametrize("block, part", [(3_000_000, 4), (200, 4), (200, 2_048)])
+def test_join_splits_hot_blocks_and_columns(spark, monkeypatch, block, part):
+    """A passage in all texts, a group of near copies, and limits so low that blocks are salted and columns sliced."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SLICE", part)
+    rng = np.random.default_rng(11)
+    passage = [f"p{k}" for k in range(90)]
+    table = []
+    for g in range(40):
+        own = [f"o{g}_{k}" for k in range(int(rng.integers(4, 45)))]
+        table.append((len(table), " ".join(passage + own)))
+    for g in range(40):
+        words = [f"n{k}" for k in range(100)]
+        words[int(rng.integers(0, 100))] = f"y{g}"
+        table.append((len(table), " ".join(words)))
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    assert rows(ngram_join.join_components(df), "doc_id", "n_shingles", "component_id") == brute_components(table)
+
+
+def test_join_of_ids_with_several_texts(spark):
+    a, b, c = ([f"{x}{k}" for k in range(60)] for x in "abc")
+    near = lambda w: " ".join([*w[:58], "z", w[59]])
+    table = [(1, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (7, near(b)), (9, near(c)), (9, " ".join(b)), (8, " ".join(c)), (2, None)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 9: 1, 8: 1, 2: 2}
+
+
 def test_signature_bound_is_never_too_low():
     rng = np.random.default_rng(7)
     for _ in range(50):
@@ -162,7 +220,10 @@ def test_signature_bound_is_never_too_low():
         h = np.concatenate([common, own[0], common, own[1]])
         size = len(common) + own.shape[1]
         doc = np.repeat([0, 1], size)
-        about = np.concatenate([np.asarray([[0, 1], [0, 1], [size * 4, size * 4]]), ngram_join.column_signatures(h, doc, 2)])
+        bits = np.zeros((ngram_join.SIGNATURE, 2), dtype=np.uint64)
+        place = h % np.uint64(64 * ngram_join.SIGNATURE)
+        np.bitwise_or.at(bits, ((place % np.uint64(ngram_join.SIGNATURE)).astype(int), doc), np.uint64(1) << (place // np.uint64(ngram_join.SIGNATURE)))
+        about = np.concatenate([np.asarray([[0, 1], [0, 1], [size * 4, size * 4], [size, size]]), bits.view(np.int64)])
         need = ngram_join.least_overlap(size * 4, size * 4) - ngram_join.rest(size * 4)
         assert n < need or ngram_join.may_share(about, np.asarray([0]), np.asarray([1]))[0]
 
@@ -171,6 +232,10 @@ def test_keep_one_leaves_one_of_each_component(awkward, nothing):
     kept = [r["doc_id"] for r in ngram_join.keep_one(awkward).collect()]
     assert sorted(map(str, kept)) == sorted(map(str, [1, 4, 5, 6, 7, 9, 10, 11, 12, None, 14]))
     assert ngram_join.keep_one(awkward).columns == awkward.columns
+    names = "_w _b _id _hit _keep _rows _rank _first _told _decided _word _bits keep first decided k u v".split()
+    clash = awkward.select("*", *[F.lit(1).alias(c) for c in names])
+    again = ngram_join.keep_one(clash)
+    assert again.columns == clash.columns and sorted(str(r["doc_id"]) for r in again.collect()) == sorted(map(str, kept))
     assert ngram_join.join_components(nothing).count() == 0
 
 
@@ -237,8 +302,8 @@ def test_trusted_texts_where_ids_share_places_of_the_bitmap(awkward, spark, monk
     labels = spark.createDataFrame([(i, 1, 0) for i in (1, 2, 3, 7, 9, 10, 12)] + [(2, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
     docs = awkward.unionByName(awkward.where("doc_id = 7"))
     want = sorted(r["text"] for r in docs.collect() if r["doc_id"] in (1, 7, 9, 10, 12) and zlib.crc32(str(r["doc_id"]).encode()) % 5)
-    for bits in (ngram_join.FILTER_BITS, 6):
-        monkeypatch.setattr(ngram_join, "FILTER_BITS", bits)
+    for bits in (_common.BITS_PER_ID, 1, 1 << 30):
+        monkeypatch.setattr(_common, "BITS_PER_ID", bits)
         assert sorted(r["text"] for r in kneser_ney.trusted(docs, labels)[1].collect()) == want
     assert len(want) > len(set(want))
 
@@ -520,8 +585,50 @@ def test_fold_and_unknown(awkward, nothing):
     assert {r["lang_pred"] for r in langid.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_outputs_equal_brute_force(spark, sf_dir):
+    """Landmark kernels by sets, the ridge solved over features, and each text's outputs from its kernels alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").dropDuplicates(["doc_id"]).limit(150)
+    table = [r.asDict() for r in docs.collect()]
+    chosen = langid.training_rows(spark.createDataFrame(table, docs.schema), "doc_id", "text", "lang")
+    langs, folded = langid.fit(chosen)
+    kernel = lambda x, y: len(x & y) / np.sqrt(max(len(x), 1) * max(len(y), 1))
+    sets = [(lang, set(c.tolist())) for lang, c in chosen]
+    marks = [c for k in langs for c in [c for lang, c in sets if lang == k][: langid.LANDMARKS]]
+    values, vectors = np.linalg.eigh(np.asarray([[kernel(x, y) for y in marks] for x in marks]))
+    keep = values > 1e-8 * values[-1]
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    z = np.asarray([[kernel(x, y) for y in marks] for _, x in sets]) @ root
+    z = np.hstack([z, np.ones((len(z), 1))])
+    y = np.asarray([[1 if lang == k else -1 for k in langs] for lang, _ in sets])
+    w = np.asarray([len(sets) / len(langs) / sum(x == lang for x, _ in sets) for lang, _ in sets])[:, None]
+    coef = np.linalg.solve(z.T @ (w * z) + langid.RIDGE * len(z) * np.eye(z.shape[1]), z.T @ (w * y))
+
+    def cells(text):
+        b = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in text.lower().encode())
+        gram = lambda n, i: (int.from_bytes(b[i : i + n]) + (n << 24)) * 2654435761 % (1 << 32) >> (32 - langid.BITS)
+        return {gram(n, i) for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    got = {r["doc_id"]: r for r in langid.predict(docs, (langs, folded)).collect()}
+    for r in table:
+        if not any(map(str.isalpha, r["text"])):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        f = np.append(np.asarray([kernel(cells(r["text"]), m) for m in marks]) @ root, 1) @ coef
+        assert got[r["doc_id"]]["lang_pred"] == langs[int(f.argmax())]
+        assert abs(got[r["doc_id"]]["score"] - np.clip((f.max() + 1) / 2, 0, 1)) < 1e-3
+
+
+@pytest.mark.parametrize("langs", [("de", "en"), ("de", "en", "es")])
+def test_unseen_scripts_are_not_identified(spark, sf_dir, langs):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet").where(F.col("lang").isin(*langs)).select("doc_id", "text", "lang")
+    strange = ("Ἐν ἀρχῇ ἦν ὁ λόγος καὶ ὁ λόγος ἦν πρὸς τὸν θεόν", "今日は天気がいいから散歩しましょう東京の空は青い", "Все счастливые семьи похожи друг на друга", "½ ² ①")
+    more = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(strange)], docs.schema)
+    kept = langid.keep_identified(docs.unionByName(more))
+    assert not kept.where(F.col("doc_id") >= 10**9).count() and kept.count() >= 0.99 * docs.where("text is not null").count()
+
+
 def test_predictions_ignore_other_columns(awkward):
     model = langid.train(awkward)
     a = rows(langid.predict(awkward.select("doc_id", "text"), model), "doc_id", "lang_pred", "score")
     moved = awkward.withColumn("lang", F.lit("de")).withColumn("source", F.lit("z"))
-    assert rows(langid.predict(moved, model, names=("lang_pred", "score")), "doc_id", "lang_pred", "score") == a
+    assert rows(langid.predict(moved, model), "doc_id", "lang_pred", "score") == a

@@ -23,7 +23,7 @@ def test_the_stages_follow_their_operators(spark, sf_dir, docs):
     assert list(steps) == ["language ID", "quality rules", "n-gram Jaccard join", "packing"]
     told = steps["language ID"](spark, docs, sf_dir)
     assert told.columns == docs.columns
-    assert ids(told) == sorted(r["doc_id"] for r in langid.identify(docs).collect() if r["lang_pred"] != "und" and r["score"] >= 0.3)
+    assert ids(told) == sorted(r["doc_id"] for r in langid.identify(docs).collect() if r["lang_pred"] != "und" and r["margin"] >= 0.05 and r["known"] >= 0.5)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = steps["quality rules"](spark, told, sf_dir)
     assert good.columns == docs.columns
