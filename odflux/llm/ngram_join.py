@@ -9,7 +9,8 @@ The join is a sparse product of the document by n-gram incidence matrix with its
    block; equal sets enter once for each task.
 3. A block brings its columns together.  Columns of one set fall away.  Of the others, each set is multiplied with the
    column's pivot, the set with the smallest digest: a group of near copies gives one product for each member, not for
-   each pair.  Products whose sizes rule out 0.75 are discarded; the rest are held against their whole sets.
+   each pair.  Overlap counts are added up over the blocks; pairs below the overlap that their sizes imply are discarded,
+   and the rest held against their whole sets.
 4. The links found so far make components.  A column whose sets all lie in one component can't add a link and is
    dropped.  The columns left are multiplied in full, block by block, between sets of different components, and the
    overlap counts of a pair are added up over the blocks.  A signature of each set's columns bounds what a pair can
@@ -48,7 +49,7 @@ UP, DOWN = 3, 4
 CELL_BITS = 18
 CHUNK = 1 << 14
 #: Columns of a block, about; and documents of a column that are multiplied at once.
-BLOCK = 3_000_000
+BLOCK = 2_000_000
 SLICE = 2_048
 #: 64-bit words of a signature, and pairs whose signatures are compared at once.
 SIGNATURE = 8
@@ -111,6 +112,14 @@ def rest(n: np.ndarray) -> np.ndarray:
     return (UP * n + DOWN - 1) // DOWN - 1
 
 
+def column_signatures(h: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
+    """A row for each document's number of columns, then ``SIGNATURE`` rows of bits, one bit for each column."""
+    bits = np.zeros((SIGNATURE, size), dtype=np.uint64)
+    place = h & np.uint64(64 * SIGNATURE - 1)
+    np.bitwise_or.at(bits, ((place >> np.uint64(6)).astype(np.int64), doc), np.uint64(1) << (place & np.uint64(63)))
+    return np.concatenate([np.bincount(doc, minlength=size).astype(np.int64)[None], bits.view(np.int64)])
+
+
 def may_share(about: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether documents a and b can share enough of their first columns.
 
@@ -278,7 +287,9 @@ def hot_blocks(rows: DataFrame, blocks: int) -> dict[int, int]:
 
 
 PACKED = StructType([StructField("block", IntegerType()), StructField("salt", IntegerType()), StructField("columns", BinaryType()), StructField("docs", BinaryType())])
-SHARED = StructType([StructField(c, LongType()) for c in ("col", "set", "n", "doc", "pivot_set", "pivot_n", "pivot")])
+SHARED = StructType([StructField(c, LongType()) for c in ("col", "set", "n", "doc", "pivot_set", "pivot_n", "pivot", "weight")])
+#: Weight of a column in a salted block: its sets meet the pivot of their salt only, so counts of columns tell nothing.
+SURE = 1 << 40
 
 
 def _runs(h: np.ndarray) -> np.ndarray:
@@ -287,7 +298,7 @@ def _runs(h: np.ndarray) -> np.ndarray:
 
 
 def shared_columns(rows: DataFrame, blocks: int, hot: dict[int, int]) -> DataFrame:
-    """(col, set, n, doc, pivot_set, pivot_n, pivot): the columns of two or more sets, with each of their sets and the pivot.
+    """(col, set, n, doc, pivot_set, pivot_n, pivot, weight): the columns of two or more sets, with each of their sets and the pivot.
 
     A set has one row for each column, with the smallest id seen.  A salted block has all of its columns: those of one
     set in this salt may have others elsewhere.
@@ -345,21 +356,34 @@ def shared_columns(rows: DataFrame, blocks: int, hot: dict[int, int]) -> DataFra
             h, sets, n, ids = h[keep], sets[keep], n[keep], ids[keep]
         at = _runs(h)
         pivot = np.repeat(at, np.diff(np.append(at, len(h))))
-        return pa.Table.from_batches([_batch(SHARED, [h.view(np.int64), sets, n, ids, sets[pivot], n[pivot], ids[pivot]])])
+        return pa.Table.from_batches([_batch(SHARED, [h.view(np.int64), sets, n, ids, sets[pivot], n[pivot], ids[pivot], np.full(len(h), SURE if whole else 1)])])
 
     return rows.mapInArrow(split, PACKED).groupBy("block", "salt").applyInArrow(find, SHARED)
 
 
+def _beyond(n: str) -> str:
+    return f"(({UP} * {n} + {DOWN - 1}) div {DOWN} - 1)"
+
+
+def enough(counted: DataFrame) -> DataFrame:
+    """Pairs (u, v) of (u, v, nu, nv, c) that share as many first columns as a link between sets of their sizes must."""
+    least = f"({UP} * (nu + nv) + {UP + DOWN - 1}) div {UP + DOWN} - greatest({_beyond('nu')}, {_beyond('nv')})"
+    return counted.where(f"u <> v and {DOWN} * least(nu, nv) >= {UP} * greatest(nu, nv) and c >= {least}").select("u", "v").distinct()
+
+
 def pivot_pairs(shared: DataFrame, salted: bool) -> DataFrame:
-    """(u, v): each set's document with the pivot of each of its columns, where their sizes allow a link."""
-    pairs = shared.where("set <> pivot_set or n <> pivot_n").select(F.col("pivot").alias("u"), F.col("doc").alias("v"), F.col("pivot_n").alias("nu"), F.col("n").alias("nv"))
+    """(u, v): sets' documents with the pivots of their columns, where sizes and the number of columns allow a link.
+
+    A pair may share columns that have another pivot, so some links don't show here; the full product finds these.
+    """
+    pairs = shared.where("set <> pivot_set or n <> pivot_n").select(F.col("pivot").alias("u"), F.col("doc").alias("v"), F.col("pivot_n").alias("nu"), F.col("n").alias("nv"), "weight")
     if salted:
         # pivots of the salts of one column; a column has at most as many as its block has salts
         own = shared.select("col", F.struct("pivot_set", "pivot_n", "pivot").alias("own")).distinct()
         top = own.groupBy("col").agg(F.min("own").alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("col", "top")
         more = own.join(top, "col").where("own <> top").select(F.col("top.pivot").alias("u"), F.col("own.pivot").alias("v"), F.col("top.pivot_n").alias("nu"), F.col("own.pivot_n").alias("nv"))
-        pairs = pairs.unionByName(more)
-    return pairs.where(f"u <> v and {DOWN} * least(nu, nv) >= {UP} * greatest(nu, nv)").select("u", "v").distinct()
+        pairs = pairs.unionByName(more.withColumn("weight", F.lit(SURE)))
+    return enough(pairs.groupBy("u", "v", "nu", "nv").agg(F.sum("weight").alias("c")))
 
 
 COUNTED = StructType([StructField(c, LongType()) for c in ("u", "v", "nu", "nv", "c")])
@@ -368,30 +392,60 @@ COUNTED = StructType([StructField(c, LongType()) for c in ("u", "v", "nu", "nv",
 def shared_counts(mixed: DataFrame, entries: int) -> DataFrame:
     """(u, v, nu, nv, c): pairs of sets from different components that may share enough mixed columns, with those of a block.
 
-    ``mixed`` (durable) has (col, rep, n, component, k), k being the number of sets of a column.
+    ``mixed`` has (col, rep, n, component, k), k being the number of sets of a column.  A column of more than ``SLICE``
+    sets is cut into slices by a hash of the set; each slice, and each pair of slices, is a piece of its own.
     """
-    blocks = max(1, -(-entries // BLOCK))
-    word = lambda i: F.bit_or(F.when(F.pmod(F.col("col"), F.lit(SIGNATURE)) == i, F.expr(f"shiftleft(1L, cast(pmod(col, {64 * SIGNATURE}) div {SIGNATURE} as int))")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}")
-    about = mixed.groupBy(F.col("rep").alias("r"), F.col("n").alias("m")).agg(F.count(F.lit(1)).alias("own"), *[word(i) for i in range(SIGNATURE)])
-    wide = mixed.join(about, (F.col("rep") == F.col("r")) & (F.col("n") == F.col("m"))).drop("r", "m")
-    slices = F.expr(f"if(k > {SLICE}, shiftleft(1, cast(ceil(log2(k / {SLICE}.0d)) as int)), 1)")
-    dealt = wide.withColumn("slices", slices).withColumn("slot", F.pmod(F.xxhash64("rep", "n"), F.col("slices").cast("long")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    names = ("col", "rep", "component", "n", "own", *[f"s{i}" for i in range(SIGNATURE)])
-    dealt = dealt.select(
-        F.pmod(F.xxhash64("col"), F.lit(blocks)).alias("block"),
-        F.when(F.col("slices") > 1, F.col("col")).otherwise(F.lit(0)).alias("hot"),
-        F.least("slot", "other").alias("low"),
-        F.greatest("slot", "other").alias("high"),
-        *names,
-    )
+    blocks, wide, most = max(1, -(-entries // BLOCK)), 4 + SIGNATURE, SLICE
+    packed = StructType([StructField("block", IntegerType()), StructField("piece", LongType()), StructField("columns", BinaryType()), StructField("docs", BinaryType())])
+    rows = mixed.groupBy("rep", "n", "component").agg(F.collect_list(F.struct("col", "k")).alias("columns"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("columns")
+            flat = lists.flatten()
+            h, k = flat.field("col").to_numpy().view(np.uint64), flat.field("k").to_numpy()
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            about = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("rep", "component", "n")])
+            about = np.concatenate([about, column_signatures(h, doc, about.shape[1])])
+            slot = _scramble(about[0].astype(np.uint64) * _MIX[0] + about[2].astype(np.uint64))
+            slices = np.where(k > most, 1 << np.ceil(np.log2(np.maximum(k, 1) / most)).astype(np.int64), 1)
+            parts = [(h[slices == 1], doc[slices == 1], np.zeros((slices == 1).sum(), dtype=np.int64), np.zeros((slices == 1).sum(), dtype=np.uint8))]
+            for s in np.unique(slices[slices > 1]):
+                at = np.flatnonzero(slices == s)
+                mine = np.repeat((slot[doc[at]] % np.uint64(s)).astype(np.int64), s)
+                other = np.tile(np.arange(s), len(at))
+                hh, low, high = np.repeat(h[at], s), np.minimum(mine, other), np.maximum(mine, other)
+                piece = _scramble(hh * _MIX[0] + (low * s + high).astype(np.uint64)).view(np.int64) | 1
+                side = np.where(mine == other, 0, np.where(mine == low, 1, 2)).astype(np.uint8)
+                parts.append((hh, np.repeat(doc[at], s), piece, side))
+            h, doc, piece, side = (np.concatenate(x) for x in zip(*parts))
+            block = _blocks(h, blocks)
+            order = np.lexsort((piece, block))
+            h, doc, piece, side, block = h[order], doc[order], piece[order], side[order], block[order]
+            cut = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (piece[1:] != piece[:-1])]))
+            columns: list[list] = [[], [], [], []]
+            for a, b in zip(cut, [*cut[1:], len(h)]):
+                who, local = np.unique(doc[a:b], return_inverse=True)
+                head = np.asarray([len(who), b - a], dtype=np.uint32).tobytes()
+                for to, x in zip(columns, (int(block[a]), int(piece[a]), h[a:b].tobytes(), head + about[:, who].tobytes() + local.astype(np.uint16).tobytes() + side[a:b].tobytes())):
+                    to.append(x)
+            yield _batch(packed, columns)
 
     def multiply(table: pa.Table) -> pa.Table:
-        columns = {c: table.column(c).to_numpy().astype(np.int64) for c in names}
-        _, place, doc = np.unique(np.stack([columns["rep"], columns["n"]]), axis=1, return_index=True, return_inverse=True)
-        doc, about = doc.ravel(), np.stack([columns[c][place] for c in names[1:]])
-        order = np.argsort(columns["col"], kind="stable")
-        h, doc = columns["col"][order], doc[order]
+        h = np.frombuffer(b"".join(x.as_py() for x in table.column("columns")), dtype=np.uint64)
+        docs, local, sides, at = [], [], [], 0
+        for x in table.column("docs"):
+            raw = x.as_py()
+            size, many = (int(v) for v in np.frombuffer(raw, np.uint32, 2))
+            docs.append(np.frombuffer(raw, np.int64, wide * size, 8).reshape(wide, size))
+            local.append(np.frombuffer(raw, np.uint16, many, 8 + 8 * wide * size).astype(np.int64) + at)
+            sides.append(np.frombuffer(raw, np.uint8, many, 8 + 8 * wide * size + 2 * many))
+            at += size
+        about, doc, side = np.concatenate(docs, axis=1), np.concatenate(local), np.concatenate(sides)
+        order = np.argsort(h, kind="stable")
+        h, doc, side = h[order], doc[order], side[order]
         ids, group, size = about[:3, doc]
         width = max(1, about.shape[1])
         total = np.zeros((0, 2), dtype=np.int64)
@@ -414,6 +468,7 @@ def shared_counts(mixed: DataFrame, entries: int) -> DataFrame:
             right = left + d
             fit = (group[left] != group[right]) & (ids[left] != ids[right])
             fit &= DOWN * np.minimum(size[left], size[right]) >= UP * np.maximum(size[left], size[right])
+            fit &= (side[left] != side[right]) | (side[left] == 0)
             if fit.any():
                 # a pair has one number in all columns, whichever of the two comes first
                 a, b = doc[left[fit]], doc[right[fit]]
@@ -427,7 +482,7 @@ def shared_counts(mixed: DataFrame, entries: int) -> DataFrame:
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         return pa.Table.from_batches([_batch(COUNTED, [about[0][a], about[0][b], about[2][a], about[2][b], c])])
 
-    return dealt.groupBy("block", "hot", "low", "high").applyInArrow(multiply, COUNTED)
+    return rows.mapInArrow(split, packed).groupBy("block", "piece").applyInArrow(multiply, COUNTED)
 
 
 def mixed_columns(shared: DataFrame, copies: DataFrame, found: DataFrame, total: int) -> DataFrame:
@@ -483,10 +538,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = durable(mixed_columns(shared, copies, found, total))
     remove(docs.sparkSession, beside)
     if entries := mixed.count():
-        beyond = lambda n: F.expr(f"({UP} * {n} + {DOWN - 1}) div {DOWN} - 1")
         counted = shared_counts(mixed, entries).groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
-        enough = F.col("c") >= F.expr(f"({UP} * (nu + nv) + {UP + DOWN - 1}) div {UP + DOWN}") - F.greatest(beyond("nu"), beyond("nv"))
-        candidates = durable(counted.where(enough).select("u", "v").distinct())
+        candidates = durable(enough(counted))
         if pairs := candidates.count():
             more = durable(verified(docs, candidates, pairs))
             found = durable(_merged(found, more, found.count()))
