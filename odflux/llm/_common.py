@@ -56,10 +56,16 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small: texts may be very long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Keep Arrow batches of whole texts small, in rows and in bytes: texts may be very long.
+
+    The limits are the session's and are read when a query runs, so they stay lowered; they change no result.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(name).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 #: Bits of a bitmap for each id, and of the largest bitmap that is broadcast; and the most keys that ``meet`` broadcasts.
@@ -131,15 +137,15 @@ def global_row_number(df: DataFrame, order: list[Column | str], name: str = "row
     with its offset.  The offsets table has one row for each shuffle partition, which bounds the broadcast.  Rows
     equal in all order columns are interchangeable, so ``order`` should end in a content hash.
     """
-    placed = durable(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)))
-    )
+    return numbered(df.repartitionByRange(*order).sortWithinPartitions(*order), name)
+
+
+def numbered(ordered: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Number the rows of a frame whose partitions follow each other in order; returns the frame and the row count."""
+    placed = durable(ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK))))
     sizes = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     total = sizes.agg(F.sum("_n")).first()[0] or 0
-    numbered = placed.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_off") + F.col("_pos"))
-    return numbered.drop("_pid", "_pos", "_off"), int(total)
+    out = placed.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_off") + F.col("_pos"))
+    return out.drop("_pid", "_pos", "_off"), int(total)

@@ -49,7 +49,7 @@ UP, DOWN = 3, 4
 CELL_BITS = 18
 CHUNK = 1 << 14
 #: Columns of a block, about; and documents of a column that are multiplied at once.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 SLICE = 2_048
 #: 64-bit words of a signature, and pairs whose signatures are compared at once.
 SIGNATURE = 8
@@ -67,7 +67,7 @@ def _scramble(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit n-gram hashes of a text.  Word hashes are kept up to a fixed number."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __init__(self) -> None:
         self.words: dict[bytes, int] = {}
