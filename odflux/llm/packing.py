@@ -18,7 +18,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odflux.llm._common import WORD, global_row_number
+from odflux.llm._common import WORD, durable, global_row_number
 
 
 def token_count(text: str = "text") -> Column:
@@ -68,10 +68,13 @@ def pack(df: DataFrame, buckets: int = 8, budget: int = 65_536, id_col: str = "d
 
     ``batch`` counts from 0 inside the bucket; (bucket, batch, slot) is unique.
     """
-    narrow = df.select(
-        F.col(id_col).alias("doc_id"),
-        token_count(text_col).alias("n_tokens"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"),
+    # texts are counted once: histogram, range sample and placement all read these narrow rows
+    narrow = durable(
+        df.select(
+            F.col(id_col).alias("doc_id"),
+            token_count(text_col).alias("n_tokens"),
+            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"),
+        )
     )
     histogram = narrow.groupBy(F.greatest("n_tokens", F.lit(1)).alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()
     if not histogram:
