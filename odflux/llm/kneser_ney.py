@@ -12,8 +12,8 @@ Trusted text is that of documents labelled good and not toxic; a fifth of it, by
   seen, on the spot.  All other bigrams go, packed by batch, to their
   shards, where they meet the counts; shards stream their requests past the sorted counts and send back one row of
   partial sums for each batch, which are added up batch by batch.  A bigram that is in very many texts is one entry a batch.
-* Thresholds: the ``QUANTILE`` of the held-out trusted perplexities of each language, times ``SLACK``; a language with
-  fewer than ``FEW`` held-out documents takes the quantile over all languages.
+* Thresholds: the ``QUANTILE`` of the held-out trusted perplexities of each language, times ``SLACK``; a language without
+  a held-out document has none, and takes the quantile over all languages.
 
 Defined cases: null or blank text has no tokens, a null perplexity, and isn't kept; without trusted text every class is
 equally likely, and thresholds are null, so nothing is kept; null lang is a language of its own; rows with equal ids are scored
@@ -41,8 +41,9 @@ from odflux.llm.ngram_join import CELLS, CHUNK, _added, _batch
 LEAST = 2
 ENDINGS = 1 << 16
 HEAD = 1 << 19
-SHARD = 8_000_000
-QUANTILE, SLACK, FEW = 0.99, 1.25, 50
+#: Trusted tokens, and bytes of text to be scored, for each shard: either may be the larger.
+SHARD, ASKED = 8_000_000, 32 << 20
+QUANTILE, SLACK = 0.99, 1.25
 
 SHARDED = StructType([StructField("shard", IntegerType()), StructField("kind", IntegerType()), StructField("keys", BinaryType()), StructField("rest", BinaryType())])
 COUNT, REQUEST, LOCAL = 0, 1, 2
@@ -363,19 +364,20 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good, texts, where = trusted(docs, labels)
     hashes, total = vocabulary(texts)
     classes = Classes(hashes)
-    counts = durable(bigram_counts(texts, classes, max(1, -(-total // SHARD))))
+    asked = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-total // SHARD), -(-asked // ASKED))
+    counts = durable(bigram_counts(texts, classes, shards))
     remove(spark, where)
     head = counts.mapInArrow(_frequent(max(1, -(-total // HEAD))), "key long, n long").collect()
     model = Model(classes, _statistics(counts, classes.size), [(r["key"], r["n"]) for r in head])
     shared = spark.sparkContext.broadcast(model)
-    shards = max(1, -(-total // SHARD))
     partial = partial_scores(counts, requests(docs, shared, shards), shared, shards)
     mean = F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_p") / F.col("n_tokens")))
     scores = durable(whole_scores(partial).select("doc_id", "lang", "n_tokens", mean.alias("perplexity")))
     held = scores.join(good.where("held").select("doc_id"), "doc_id").where("perplexity is not null")
     at = lambda c: F.percentile_approx(c, F.lit(QUANTILE), F.lit(10_000)) * SLACK
     pooled = held.agg(at("perplexity")).first()[0]
-    limits = held.groupBy("lang").agg(F.count(F.lit(1)).alias("k"), at("perplexity").alias("own")).select(F.col("lang").alias("_lang"), F.when(F.col("k") >= FEW, F.col("own")).alias("own"))
+    limits = held.groupBy(F.col("lang").alias("_lang")).agg(at("perplexity").alias("own"))
     limit = F.coalesce("own", F.lit(pooled).cast("double"))
     judged = scores.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", limit)
     return judged.select("doc_id", "lang", "n_tokens", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
