@@ -41,7 +41,7 @@ def op7_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = warc.round_trip(table(spark, sf_dir, "pages"))
-    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "place")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ is globally ordered.
 Defined cases: a null html is an empty payload; a null url has no target line and reads back as null, with the empty
 key; a null page id sorts last and is never referred to; equal rows each get their own record, the first of equal
 ids with equal payloads being told apart by nothing, so all of the smallest id are responses; control characters and
-spaces in urls are percent-encoded; an empty table gives empty archives and an empty index; other columns are not read.
+spaces in urls are percent-encoded; archives of several gzip members, such as one for each record, are read whole, and
+offsets count uncompressed bytes; an empty table gives empty archives and an empty index; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from odflux.llm._common import durable, remove, scratch
+from odflux.llm._common import durable, least_heavy, meet, numbered, remove, scratch
 
 MIN_REVISIT = 100
 CRLF = "\r\n"
@@ -66,8 +67,11 @@ def records(pages: DataFrame) -> DataFrame:
         F.coalesce("html", F.lit("")).alias("html"),
     )
     measured = page.withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha2("html", 256)})
-    first = measured.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"))
-    joined = measured.join(first, "digest", "left")
+    # a payload of very many pages is spread over tasks, and small ones, which meet nothing, lie anywhere
+    measured = measured.withColumn("key", F.when(F.col("size") >= MIN_REVISIT, F.col("digest")))
+    groups = measured.where("key is not null").groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k"))
+    groups = durable(groups.where("k > 1"))
+    joined = meet(measured, groups, "key", least_heavy(groups.agg(F.sum("k")).first()[0] or 0), ["page_id", "url"], "left")
     revisit = (F.col("size") >= MIN_REVISIT) & (F.col("page_id") != F.col("first"))
     revisit = F.coalesce(revisit, (F.col("size") >= MIN_REVISIT) & F.col("page_id").isNull() & F.col("first").isNotNull())
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF * 2))
@@ -120,6 +124,20 @@ def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = stop + 4
 
 
+def unpacked(content: bytes) -> bytes:
+    """An archive as it was before compression: any number of gzip members one after another, or none."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    parts = []
+    while content:
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(content))
+        if not member.eof:
+            raise ValueError("a gzip member is cut off")
+        content = member.unused_data
+    return b"".join(parts)
+
+
 def page_of(uri: str | None) -> int | None:
     digits = (uri or "").removeprefix("<urn:page:").removesuffix(">")
     return int(digits) if digits else None
@@ -133,7 +151,7 @@ def order(row: tuple) -> tuple:
 def entries(path: str, content: bytes) -> list[tuple]:
     """The capture run of one archive, sorted; payloads are checked against their digests."""
     out = []
-    for at, f, block in parse(zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else content):
+    for at, f, block in parse(unpacked(content)):
         head, _, payload = block.partition(b"\r\n\r\n")
         size = int(re.search(rb"Content-Length: (\d+)", head)[1])
         digest = f["WARC-Payload-Digest"].removeprefix("sha256:")
@@ -223,7 +241,7 @@ def merge(index: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write the archives, read them back, and return the merged index.
+    """Write the archives, read them back, and return the merged index, with each record's place in it as ``place``.
 
     Without a path of the caller's the archives go to the shared folder and are removed once the index is durable.
     """
@@ -234,16 +252,26 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     if path is None:
         index = durable(index)
         remove(spark, where)
-    return merge(index)
+    return numbered(merge(index), "place")[0]
 
 
 def oracle() -> str:
-    """DuckDB SQL for the per-page columns of ``round_trip`` over ``pages``."""
-    return f"""
-WITH base AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-sized AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM base),
-led AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM sized)
+    """DuckDB SQL for the columns of ``round_trip`` that the query returns, over ``pages`` with distinct ids."""
+    return rf"""
+WITH base AS (
+  SELECT page_id, coalesce(html, '') AS html,
+    regexp_replace(regexp_replace(regexp_replace(coalesce(url, ''), '[\x00-\x09\x0B\x0C\x0E-\x20\x7F]', '%20', 'g'), '\r', '%0D', 'g'), '\n', '%0A', 'g') AS url FROM pages),
+sized AS (
+  SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+    regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') AS whole, url,
+    regexp_replace(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '')), '^www\.', '') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS tail,
+    strftime(TIMESTAMP '{EPOCH:%Y-%m-%d %H:%M:%S}' + to_seconds(coalesce(page_id, 0) % {1 << 31}), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM base),
+led AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first,
+    CASE WHEN whole THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN tail = '' THEN '/' ELSE tail END ELSE url END AS url_key FROM sized)
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= {MIN_REVISIT} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= {MIN_REVISIT} AND page_id <> first THEN first END AS refers_to
+  CASE WHEN payload_bytes >= {MIN_REVISIT} AND page_id <> first THEN first END AS refers_to,
+  url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS place
 FROM led"""
