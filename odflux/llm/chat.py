@@ -21,8 +21,10 @@ null and other roles), with its role and text as canonical JSON; ``format_all``
 
 Defined cases: null conv_id is a conversation of its own; null turns sort first; a result without a call gives a row
 of kind ``orphan``; a call without a result has ``answered`` false; of repeated (conv_id, call_id) calls each is
-kept, all with the same results; a parent that doesn't exist counts as none; a cycle gives depth null and is not valid; null arguments or ones that
-aren't JSON are not valid; an unknown name is not valid; an empty table gives an empty result.
+kept, all with the same results; a parent that doesn't exist counts as none; a cycle gives depth null and is not valid;
+null arguments, ones that aren't JSON or have no canonical form (``parsed``) are not valid; an unknown name is not valid;
+repeated rows of a user turn depend on the turn before, never on each other, and a null turn depends on none; other
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -74,7 +76,28 @@ def problem(value: Any, schema: dict[str, Any], at: str = "$") -> str | None:
 
 
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _once(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
+    if len(found := dict(pairs)) < len(pairs):
+        raise ValueError("repeated key")
+    return found
+
+
+def _constant(name: str) -> None:
+    raise ValueError(f"{name} isn't JSON")
+
+
+def parsed(text: str | None) -> Any:
+    """The value of a JSON text.  ValueError where it isn't JSON or has no canonical form: NaN and numbers beyond a
+    double's range, repeated keys, lone surrogates, nesting beyond what the parser takes."""
+    try:
+        value = json.loads(text or "", object_pairs_hook=_once, parse_constant=_constant)
+        canonical(value).encode()
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    return value
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -115,24 +138,40 @@ LINKED = StructType(
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, Any]] = SCHEMAS) -> DataFrame:
     """One row for each (call, result) pair, each unanswered call and each orphaned result; see ``LINKED``."""
     depth = depths(calls)
-    d = depth.select(F.col("conv_id").alias("dc"), F.col("call_id").alias("dk"), "depth")
-    placed = calls.join(d, F.col("conv_id").eqNullSafe(F.col("dc")) & (F.col("call_id") == F.col("dk")), "left").drop("dc", "dk")
+    d = depth.select(F.col("conv_id").alias("dc"), F.col("call_id").alias("dk"), "depth").hint("shuffle_hash")
+    same = lambda c, k: F.col("conv_id").eqNullSafe(F.col(c)) & (F.col("call_id") == F.col(k))
+    placed = calls.join(d, same("dc", "dk"), "left").drop("dc", "dk")
     r = results.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("rk"), F.col("turn").alias("result_turn"), "content")
-    pairs = placed.join(r, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("rk")), "full_outer")
-    orphan = F.col("name").isNull() & F.col("result_turn").isNotNull() & F.col("turn").isNull()
-    rows = pairs.select(
-        F.when(orphan, F.col("rc")).otherwise(F.col("conv_id")).cast("long").alias("conv_id"),
-        F.when(orphan, F.col("result_turn")).otherwise(F.col("turn")).cast("long").alias("turn"),
-        F.when(orphan, F.col("rk")).otherwise(F.col("call_id")).alias("call_id"),
-        F.when(orphan, "orphan").otherwise("call").alias("kind"),
+    paired = placed.join(r.hint("shuffle_hash"), same("rc", "rk"), "left")
+    rows = paired.select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.col("turn").cast("long").alias("turn"),
+        "call_id",
+        F.lit("call").alias("kind"),
         F.col("result_turn").cast("long").alias("result_turn"),
-        (F.col("result_turn").isNotNull() & ~orphan).alias("answered"),
+        F.col("rk").isNotNull().alias("answered"),
         "depth",
         "parent_id",
         "name",
         "arguments",
         "content",
     )
+    # orphans by an anti join, which can be split where one conversation has very many
+    known = depth.select("conv_id", "call_id").hint("shuffle_hash")
+    lost = r.join(known, same("rc", "rk"), "left_anti")
+    none = lambda kind: F.lit(None).cast(kind)
+    orphans = lost.select(
+        F.col("rc").cast("long").alias("conv_id"),
+        F.col("result_turn").cast("long").alias("turn"),
+        F.col("rk").alias("call_id"),
+        F.lit("orphan").alias("kind"),
+        F.col("result_turn").cast("long").alias("result_turn"),
+        F.lit(False).alias("answered"),
+        none("int").alias("depth"),
+        *[none("string").alias(c) for c in ("parent_id", "name", "arguments")],
+        "content",
+    )
+    rows = rows.unionByName(orphans)
     names = LINKED.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +185,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, Any]
                     fault = "no such tool"
                 else:
                     try:
-                        arguments = json.loads(row["arguments"] or "")
+                        arguments = parsed(row["arguments"])
                         fault = problem(arguments, schemas[row["name"]])
                     except ValueError:
                         fault = "arguments aren't JSON"
@@ -173,12 +212,18 @@ def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("_pos", F.monotonically_increasing_id())
     )
     user = F.when(F.col("role") == "user", F.struct("conv_id", "turn"))
-    last = placed.groupBy("_pid").agg(F.max_by(F.when(user.isNotNull(), user), F.when(user.isNotNull(), F.col("_pos"))).alias("last"))
+    # the last user turn strictly before, in this partition: rows of one turn see the same
+    local = Window.partitionBy("_pid", "conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    near = placed.withColumn("_user", user).withColumn("_near", F.when(F.col("turn").isNotNull(), F.last("_user", ignorenulls=True).over(local)))
+    # the two last user turns of earlier partitions: the last may be the row's own turn, of which rows lie there too
+    tail = near.groupBy("_pid").agg(F.max("_user").alias("last"), F.max_by("_near", "_user").alias("prior"))
     earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("_pid", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    local = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.last(user, ignorenulls=True).over(local), F.col("carried"))
-    seen = placed.join(F.broadcast(carried), "_pid").withColumn("_before", before)
+    tail = tail.withColumn("one", F.max("last").over(earlier))
+    changed = F.when(F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("one")), F.struct(F.coalesce("prior", "one").alias("x")))
+    tail = tail.select("_pid", "one", F.last(changed, ignorenulls=True).over(earlier)["x"].alias("two"))
+    own = F.struct("conv_id", "turn")
+    carried = F.when(F.col("turn").isNotNull(), F.when(F.col("one").eqNullSafe(own), F.col("two")).otherwise(F.col("one")))
+    seen = near.join(F.broadcast(tail), "_pid").withColumn("_before", F.coalesce("_near", carried))
     parent = F.when(F.col("_before.conv_id").eqNullSafe(F.col("conv_id")), call_id(F.col("_before.conv_id"), F.col("_before.turn")))
     parent = F.when(F.col("_before").isNotNull(), parent)
     known = seen.withColumn("_parent", parent)

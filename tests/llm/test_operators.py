@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import itertools
+import json
 import re
 import struct
 import zlib
@@ -348,6 +350,37 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert got[1, "a", 1]["message"] == '{"call":{"arguments":{"prompt":"x","turn":0},"id":"a","name":"respond","parent":null},"result":"r"}'
 
 
+def test_repeated_turns_depend_on_the_turn_before(spark):
+    """Repeated user rows, equal or with other texts, wherever partition borders fall."""
+    table = [(c, t, "user", f"q{t}{x}") for c in (1, 2) for t in (0, 2, 4) for x in ("", "", "b")] + [(c, t, "assistant", f"a{t}") for c in (1, 2) for t in (1, 3, 5, 5)]
+    table += [(3, None, "user", "x"), (3, None, "user", "x"), (3, 1, "assistant", "y"), (None, 1, "user", "z"), (None, 2, "assistant", "w")]
+    want = {(c, t): None if t == 0 else f"call_{c}_{t - 2}" for c in (1, 2) for t in (0, 2, 4)} | {(3, None): None, (None, 1): None}
+    for parts in (1, 4, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            clash = spark.createDataFrame(table, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(0) for c in ("_pid", "_user", "depth", "one")})
+            calls, results = chat.exchanges(clash)
+            got = {(r["conv_id"], r["turn"], r["parent_id"]) for r in calls.collect()}
+            assert got == {(c, t, p) for (c, t), p in want.items()}
+            assert {(r["conv_id"], r["turn"], r["call_id"]) for r in results.collect()} == {(c, t, f"call_{c}_{t - 1}") for c in (1, 2) for t in (1, 3, 5)} | {(3, 1, "call_3_null"), (None, 2, "call_null_1")}
+            done = chat.format_chats(clash).collect()
+            assert all(r["valid"] and r["depth"] == (r["turn"] or 0) // 2 for r in done if r["conv_id"] in (1, 2))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_arguments_without_a_canonical_form_are_not_valid(spark):
+    bad = ['"\\ud800"', "[" * 200_000, "[" * 200_000 + "]" * 200_000, '{"prompt":NaN,"turn":1}', "1e999", '{"prompt":"a","prompt":"b","turn":1}', None, "{"]
+    good = json.dumps({"turn": 1, "prompt": "long " * 200_000})
+    calls = spark.createDataFrame([(1, k, f"c{k}", None, "respond", x) for k, x in enumerate([*bad, good])], "conv_id long, turn long, call_id string, parent_id string, name string, arguments string")
+    got = {r["turn"]: r for r in chat.link(calls, spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")).collect()}
+    assert [got[k]["valid"] for k in range(len(bad) + 1)] == [False] * len(bad) + [True]
+    assert {got[k]["problem"] for k in range(len(bad))} == {"arguments aren't JSON"}
+    assert json.loads(got[len(bad)]["message"])["call"]["arguments"] == json.loads(good)
+
+
 def test_chats_with_nulls_and_of_nothing(spark):
     odd = spark.createDataFrame([(None, 0, "user", "x"), (1, None, "user", None), (1, 1, None, "y"), (1, 2, "assistant", None)], "conv_id long, turn long, role string, text string")
     assert {r["kind"] for r in chat.format_chats(odd).collect()} == {"call"}
@@ -521,6 +554,17 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_of_many_gzip_members_and_of_very_long_pages(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://a.b/{k}", "x" * size) for k, size in enumerate((5, 3_000_000, 200, 3_000_000))], "page_id long, url string, html string")
+    plain = "".join(r["value"] + warc.CRLF * 2 for r in warc.records(pages).collect()).encode()
+    cuts = [at for at, _, _ in warc.parse(plain)] + [len(plain)]
+    (tmp_path / "many.txt.gz").write_bytes(b"".join(gzip.compress(plain[a:b]) for a, b in zip(cuts, cuts[1:])))
+    got = {r["page_id"]: (r["record_type"], r["payload_bytes"], r["refers_to"]) for r in warc.read(spark, str(tmp_path)).collect()}
+    assert got == {0: ("response", 5, None), 1: ("response", 3_000_000, None), 2: ("response", 200, None), 3: ("revisit", 3_000_000, 1)}
+    with pytest.raises(ValueError):
+        warc.unpacked(gzip.compress(plain)[:-9])
+
+
 def test_loser_tree_merges_runs():
     rng = np.random.default_rng(1)
     for k in (0, 1, 2, 3, 5, 8, 13):
