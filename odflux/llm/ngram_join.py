@@ -9,12 +9,15 @@ The join is a sparse product of the document by n-gram incidence matrix with its
    block; equal sets enter once for each task.
 3. A block brings its columns together.  Columns of one set fall away.  Of the others, each set is multiplied with the
    column's pivot, the set with the smallest digest: a group of near copies gives one product for each member, not for
-   each pair.  Overlap counts are added up over the blocks; pairs below the overlap that their sizes imply are discarded,
-   and the rest held against their whole sets.
+   each pair.  Overlap counts are added up over the blocks; pairs below a part of the overlap that their sizes imply are
+   discarded, and the rest held against their whole sets.  Columns of a pair may have different pivots, so this finds
+   most links inside such groups, and need not find all.
 4. The links found so far make components.  A column whose sets all lie in one component can't add a link and is
-   dropped.  The columns left are multiplied in full, block by block, between sets of different components, and the
-   overlap counts of a pair are added up over the blocks.  A signature of each set's columns bounds what a pair can
-   share over all blocks; pairs below the overlap that their sizes imply are discarded in the block, and again when all
+   dropped.  The others get another pivot, drawn by another hash, and sets of other components are multiplied with it;
+   this is repeated while it goes on to merge components, so a loose group of near copies, too, comes together at linear
+   cost.  The columns left are multiplied in full, block by block, between sets of different components, and the
+   overlap counts of a pair are added up over the blocks.  Signatures of each set's first columns and of its whole set
+   bound what a pair can share over all blocks; pairs below the overlap that their sizes imply are discarded in the block, and again when all
    counts are in.  The pairs left are held against their whole sets.  No link between components is missed, so the final
    components are exact.
 
@@ -51,8 +54,8 @@ CHUNK = 1 << 14
 #: Columns of a block, about; and documents of a column that are multiplied at once.
 BLOCK = 1_000_000
 SLICE = 2_048
-#: 64-bit words of a signature, and pairs whose signatures are compared at once.
-SIGNATURE = 8
+#: 64-bit words of the signature of a set's first columns, and of that of its whole set; pairs compared at once.
+SIGNATURE, WHOLE = 8, 16
 COMPARED = 200_000
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -120,18 +123,31 @@ def column_signatures(h: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([np.bincount(doc, minlength=size).astype(np.int64)[None], bits.view(np.int64)])
 
 
+def whole_signature(h: np.ndarray) -> bytes:
+    """Bits of a whole set, one bit for each n-gram."""
+    bits = np.zeros(64 * WHOLE, dtype=bool)
+    bits[((h >> np.uint64(20)) & np.uint64(64 * WHOLE - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def may_share(about: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether documents a and b can share enough of their first columns.
+    """Whether documents a and b can share enough of their first columns, and enough of their whole sets.
 
-    ``about`` has a column for each document: id, component, set size, number of columns, ``SIGNATURE`` words of bits.
-    Each bit of a's signature that b's lacks stands for a column that b hasn't got, so the bound is never too low.
+    ``about`` has a column for each document: id, component, set size, number of columns, ``SIGNATURE`` words of bits,
+    and, where known, whether the whole set's bits are, and ``WHOLE`` words of these.
+    Each bit of a's signature that b's lacks stands for a column that b hasn't got, so the bounds are never too low.
     """
-    out = np.zeros(len(a), dtype=bool)
+    out, cut = np.zeros(len(a), dtype=bool), 4 + SIGNATURE
     for at in range(0, len(a), COMPARED):
         x, y = about[:, a[at : at + COMPARED]], about[:, b[at : at + COMPARED]]
-        lacks = lambda p, q: np.bitwise_count((p[4:] & ~q[4:]).view(np.uint64)).sum(axis=0, dtype=np.int64)
-        bound = np.minimum(x[3] - lacks(x, y), y[3] - lacks(y, x))
-        out[at : at + COMPARED] = bound >= least_overlap(x[2], y[2]) - np.maximum(rest(x[2]), rest(y[2]))
+        lacks = lambda p, q: np.bitwise_count((p & ~q).view(np.uint64)).sum(axis=0, dtype=np.int64)
+        bound = np.minimum(x[3] - lacks(x[4:cut], y[4:cut]), y[3] - lacks(y[4:cut], x[4:cut]))
+        need = least_overlap(x[2], y[2])
+        fit = bound >= need - np.maximum(rest(x[2]), rest(y[2]))
+        if len(about) > cut:
+            p, q = x[cut + 1 :], y[cut + 1 :]
+            fit &= (np.minimum(x[2] - lacks(p, q), y[2] - lacks(q, p)) >= need) | (x[cut] == 0) | (y[cut] == 0)
+        out[at : at + COMPARED] = fit
     return out
 
 
@@ -230,18 +246,18 @@ def verified(docs: DataFrame, pairs: DataFrame, total: int) -> DataFrame:
     return full.mapInArrow(run, out).distinct()
 
 
-COLUMNS = StructType([StructField("doc_id", LongType()), StructField("set", LongType()), StructField("n", LongType()), StructField("columns", BinaryType())])
+COLUMNS = StructType([StructField("doc_id", LongType()), StructField("set", LongType()), StructField("n", LongType()), StructField("columns", BinaryType()), StructField("bits", BinaryType())])
 
 
 def first_columns(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(doc_id, set, n, columns): the packed first n-grams of each document, rare cells first; a set once for each task."""
+    """(doc_id, set, n, columns, bits): the packed first n-grams of each document, rare cells first; a set once for each task."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, level = Shingler(), shared.value.astype(np.uint64) << np.uint64(57)
         seen: set[bytes] = set()
         for batch in batches:
-            found: list[list] = [[], [], [], []]
+            found: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 h = shingles(text)
                 key = xxhash.xxh3_128_digest(h.tobytes())
@@ -253,7 +269,7 @@ def first_columns(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 order = level[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)] | (h & np.uint64((1 << 57) - 1))
                 p = prefix_length(len(h))
                 first = h[np.argpartition(order, p - 1)[:p]] if p < len(h) else h
-                for to, x in zip(found, (doc, int.from_bytes(key[:8], "little", signed=True), len(h), first.tobytes())):
+                for to, x in zip(found, (doc, int.from_bytes(key[:8], "little", signed=True), len(h), first.tobytes(), whole_signature(h))):
                     to.append(x)
             yield _batch(COLUMNS, found)
 
@@ -290,6 +306,10 @@ PACKED = StructType([StructField("block", IntegerType()), StructField("salt", In
 SHARED = StructType([StructField(c, LongType()) for c in ("col", "set", "n", "doc", "pivot_set", "pivot_n", "pivot", "weight")])
 #: Weight of a column in a salted block: its sets meet the pivot of their salt only, so counts of columns tell nothing.
 SURE = 1 << 40
+#: The part of the least overlap that a pair with a pivot must show, as a divisor; and the most rounds of further pivots.
+PIVOT_PART, ROUNDS = 3, 6
+#: Links for each mixed entry below which a round isn't followed by another.
+LEAST_MERGED = 0.002
 
 
 def _runs(h: np.ndarray) -> np.ndarray:
@@ -365,10 +385,10 @@ def _beyond(n: str) -> str:
     return f"(({UP} * {n} + {DOWN - 1}) div {DOWN} - 1)"
 
 
-def enough(counted: DataFrame) -> DataFrame:
-    """Pairs (u, v) of (u, v, nu, nv, c) that share as many first columns as a link between sets of their sizes must."""
+def enough(counted: DataFrame, part: int = 1) -> DataFrame:
+    """Pairs (u, v) of (u, v, nu, nv, c) that share as many first columns as a link between sets of their sizes must, or 1 / ``part`` of them."""
     least = f"({UP} * (nu + nv) + {UP + DOWN - 1}) div {UP + DOWN} - greatest({_beyond('nu')}, {_beyond('nv')})"
-    return counted.where(f"u <> v and {DOWN} * least(nu, nv) >= {UP} * greatest(nu, nv) and c >= {least}").select("u", "v").distinct()
+    return counted.where(f"u <> v and {DOWN} * least(nu, nv) >= {UP} * greatest(nu, nv) and {part} * c >= {least}").select("u", "v").distinct()
 
 
 def pivot_pairs(shared: DataFrame, salted: bool) -> DataFrame:
@@ -383,21 +403,22 @@ def pivot_pairs(shared: DataFrame, salted: bool) -> DataFrame:
         top = own.groupBy("col").agg(F.min("own").alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("col", "top")
         more = own.join(top, "col").where("own <> top").select(F.col("top.pivot").alias("u"), F.col("own.pivot").alias("v"), F.col("top.pivot_n").alias("nu"), F.col("own.pivot_n").alias("nv"))
         pairs = pairs.unionByName(more.withColumn("weight", F.lit(SURE)))
-    return enough(pairs.groupBy("u", "v", "nu", "nv").agg(F.sum("weight").alias("c")))
+    return enough(pairs.groupBy("u", "v", "nu", "nv").agg(F.sum("weight").alias("c")), PIVOT_PART)
 
 
 COUNTED = StructType([StructField(c, LongType()) for c in ("u", "v", "nu", "nv", "c")])
 
 
-def shared_counts(mixed: DataFrame, entries: int) -> DataFrame:
+def shared_counts(mixed: DataFrame, entries: int, bits: DataFrame) -> DataFrame:
     """(u, v, nu, nv, c): pairs of sets from different components that may share enough mixed columns, with those of a block.
 
-    ``mixed`` has (col, rep, n, component, k), k being the number of sets of a column.  A column of more than ``SLICE``
+    ``mixed`` has (col, rep, n, component, k), k being the number of sets of a column, and ``bits`` the signatures of
+    whole sets by (rep, n), null where there are several.  A column of more than ``SLICE``
     sets is cut into slices by a hash of the set; each slice, and each pair of slices, is a piece of its own.
     """
-    blocks, wide, most = max(1, -(-entries // BLOCK)), 4 + SIGNATURE, SLICE
+    blocks, wide, most = max(1, -(-entries // BLOCK)), 5 + SIGNATURE + WHOLE, SLICE
     packed = StructType([StructField("block", IntegerType()), StructField("piece", LongType()), StructField("columns", BinaryType()), StructField("docs", BinaryType())])
-    rows = mixed.groupBy("rep", "n", "component").agg(F.collect_list(F.struct("col", "k")).alias("columns"))
+    rows = mixed.groupBy("rep", "n", "component").agg(F.collect_list(F.struct("col", "k")).alias("columns")).join(bits, ["rep", "n"], "left")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,7 +429,10 @@ def shared_counts(mixed: DataFrame, entries: int) -> DataFrame:
             h, k = flat.field("col").to_numpy().view(np.uint64), flat.field("k").to_numpy()
             doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             about = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("rep", "component", "n")])
-            about = np.concatenate([about, column_signatures(h, doc, about.shape[1])])
+            whole = batch.column("bits").to_pylist()
+            known = np.asarray([[x is not None for x in whole]], dtype=np.int64)
+            whole = np.frombuffer(b"".join(x or bytes(8 * WHOLE) for x in whole), dtype=np.int64).reshape(-1, WHOLE).T
+            about = np.concatenate([about, column_signatures(h, doc, about.shape[1]), known, whole])
             slot = _scramble(about[0].astype(np.uint64) * _MIX[0] + about[2].astype(np.uint64))
             slices = np.where(k > most, 1 << np.ceil(np.log2(np.maximum(k, 1) / most)).astype(np.int64), 1)
             parts = [(h[slices == 1], doc[slices == 1], np.zeros((slices == 1).sum(), dtype=np.int64), np.zeros((slices == 1).sum(), dtype=np.uint8))]
@@ -508,6 +532,16 @@ def _merged(found: DataFrame, more: DataFrame, total: int) -> DataFrame:
     return old.unionByName(new)
 
 
+def turn_pairs(mixed: DataFrame, total: int, turn: int) -> DataFrame:
+    """(u, v): sets with the pivot that ``turn`` draws for each of their mixed columns, where it lies in another component."""
+    drawn = F.struct(F.xxhash64("rep", "n", F.lit(turn)).alias("h"), F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("component").alias("other"))
+    rows = mixed.select("col", "rep", "n", "component")
+    top = rows.groupBy("col").agg(F.min(drawn).alias("top"), F.count(F.lit(1)).alias("k"))
+    met = meet(rows, top, "col", least_heavy(total), ["rep", "n"]).where("component <> top.other")
+    pairs = met.groupBy(F.col("top.u").alias("u"), F.col("rep").alias("v"), F.col("top.nu").alias("nu"), F.col("n").alias("nv")).agg(F.count(F.lit(1)).alias("c"))
+    return enough(pairs, PIVOT_PART)
+
+
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
     small_batches(docs.sparkSession)
@@ -529,20 +563,32 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns, at = written(first_columns(docs, levels), "ngram-columns")
     hot = hot_blocks(columns, blocks)
     shared, beside = written(shared_columns(columns, blocks, hot), "ngram-shared")
-    remove(docs.sparkSession, at)
+    bits = columns.select("doc_id", "n", "bits").join(copies, "doc_id", "left").groupBy(F.coalesce("rep", "doc_id").alias("rep"), "n").agg(F.min("bits").alias("low"), F.max("bits").alias("high"))
+    bits = bits.select("rep", "n", F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
     to_rep = lambda pairs, c: pairs.join(copies, F.col(c) == F.col("doc_id"), "left").withColumn(c, F.coalesce("rep", c)).select("u", "v")
     near = durable(to_rep(to_rep(pivot_pairs(shared, bool(hot)), "u"), "v").where("u <> v").distinct())
     links = durable(verified(docs, near, near.count()).unionByName(same_id))
     found = durable(components(links))
-    total = shared.count()
-    mixed = durable(mixed_columns(shared, copies, found, total))
+    mixed = durable(mixed_columns(shared, copies, found, shared.count()))
     remove(docs.sparkSession, beside)
+    for turn in range(ROUNDS):
+        if not (entries := mixed.count()):
+            break
+        near = durable(turn_pairs(mixed, entries, turn))
+        more = durable(verified(docs, near, near.count()))
+        if not (merged := more.count()):
+            break
+        found = durable(_merged(found, more, found.count()))
+        mixed = durable(mixed_columns(mixed.select("col", F.col("rep").alias("doc"), "n"), copies, found, entries))
+        if merged < LEAST_MERGED * entries:
+            break
     if entries := mixed.count():
-        counted = shared_counts(mixed, entries).groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
+        counted = shared_counts(mixed, entries, bits).groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
         candidates = durable(enough(counted))
         if pairs := candidates.count():
             more = durable(verified(docs, candidates, pairs))
             found = durable(_merged(found, more, found.count()))
+    remove(docs.sparkSession, at)
     # copies get their component with their class, so the class's smallest id needn't meet all of them
     of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("of_class"), "k")
     wide = meet(sets.select("doc_id", "n", "set_key"), of_class, "set_key", least, ["doc_id"], "left").join(found, F.col("doc_id") == F.col("id"), "left")

@@ -225,6 +225,12 @@ def test_signature_bound_is_never_too_low():
         about = np.concatenate([np.asarray([[0, 1], [0, 1], [size * 4, size * 4]]), ngram_join.column_signatures(h, doc, 2)])
         need = ngram_join.least_overlap(size * 4, size * 4) - ngram_join.rest(size * 4)
         assert n < need or ngram_join.may_share(about, np.asarray([0]), np.asarray([1]))[0]
+        sets = [np.unique(np.concatenate([common, x])) for x in own]
+        sizes = np.asarray([len(x) for x in sets])
+        bits = np.stack([np.frombuffer(ngram_join.whole_signature(x), dtype=np.int64) for x in sets], axis=1)
+        about = np.concatenate([np.asarray([[0, 1], [0, 1], sizes, sizes]), np.full((ngram_join.SIGNATURE, 2), -1), np.ones((1, 2), dtype=np.int64), bits])
+        linked = len(np.intersect1d(*sets)) >= ngram_join.least_overlap(*sizes)
+        assert not linked or ngram_join.may_share(about, np.asarray([0]), np.asarray([1]))[0]
 
 
 def test_keep_one_leaves_one_of_each_component(awkward, nothing):
