@@ -31,6 +31,7 @@ from odflux.llm._common import fresh, small_batches
 BITS = 16
 SPACE = 1 << BITS
 ROWS = 800
+CHUNK = 50
 THRESHOLD = 0.3
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -113,21 +114,27 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 120) -> tup
         return None
     y = np.asarray([r[0] for r in rows], dtype=np.float64)
     held = np.arange(len(rows)) % 5 == 4
-    column, value = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
+    # rows in chunks of at most 256, so that the arrays of a step stay small
+    chunks = []
+    for at in range(0, len(rows), CHUNK):
+        some = rows[at : at + CHUNK]
+        sizes = np.asarray([len(r[1]) for r in some])
+        chunks.append((slice(at, at + len(some)), np.repeat(np.arange(len(some), dtype=np.uint8), sizes), np.concatenate([r[1] for r in some]), np.concatenate([r[2] for r in some])))
     train = ~held
     share = np.where(y == 1, 0.5 / max(1, (y[train] == 1).sum()), 0.5 / max(1, (y[train] == 0).sum())) * train
+    outputs = lambda w, bias: np.concatenate([np.bincount(row, w[column] * value, part.stop - part.start) for part, row, column, value in chunks]) + bias
     w, bias = np.zeros(2 * SPACE), 0.0
     m, v = np.zeros(2 * SPACE + 1), np.zeros(2 * SPACE + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[column] * value, len(rows)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        g = np.append(np.bincount(column, error[row] * value, 2 * SPACE) + 1e-7 * w, error.sum())
+        error = (1 / (1 + np.exp(-np.clip(outputs(w, bias), -30, 30))) - y) * share
+        g = np.append(1e-7 * w, error.sum())
+        for part, row, column, value in chunks:
+            g[:-1] += np.bincount(column, error[part][row] * value, 2 * SPACE)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w -= 1.0 * step[:-1]
         bias -= 0.05 * step[-1]
-    z = np.bincount(row, w[column] * value, len(rows)) + bias
+    z = outputs(w, bias)
     a, b = platt(z[held], y[held])
     return w.reshape(2, SPACE).astype(np.float32), bias, a, b
 
