@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflux.llm._common import durable, least_heavy, meet
+from odflux.llm._common import durable, least_heavy, meet, release
 
 
 def _large_star(edges: DataFrame, least: int) -> DataFrame:
@@ -39,3 +39,4 @@ def components(edges: DataFrame) -> DataFrame:
             return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         seal, least = now, least_heavy(2 * now[0])
         state = durable(_small_star(_large_star(state, least), least))
+        release(state.sparkSession)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from odflux.llm._common import durable, fresh, least_heavy, marked, meet, members, remove, small_batches, written
+from odflux.llm._common import durable, fresh, least_heavy, marked, meet, members, release, remove, small_batches, written
 from odflux.llm.components import components
 
 SHINGLE = 5
@@ -567,10 +567,12 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = bits.select("rep", "n", F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
     to_rep = lambda pairs, c: pairs.join(copies, F.col(c) == F.col("doc_id"), "left").withColumn(c, F.coalesce("rep", c)).select("u", "v")
     near = durable(to_rep(to_rep(pivot_pairs(shared, bool(hot)), "u"), "v").where("u <> v").distinct())
+    release(docs.sparkSession)
     links = durable(verified(docs, near, near.count()).unionByName(same_id))
     found = durable(components(links))
     mixed = durable(mixed_columns(shared, copies, found, shared.count()))
     remove(docs.sparkSession, beside)
+    release(docs.sparkSession)
     for turn in range(ROUNDS):
         if not (entries := mixed.count()):
             break
@@ -580,6 +582,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         found = durable(_merged(found, more, found.count()))
         mixed = durable(mixed_columns(mixed.select("col", F.col("rep").alias("doc"), "n"), copies, found, entries))
+        release(docs.sparkSession)
         if merged < LEAST_MERGED * entries:
             break
     if entries := mixed.count():
@@ -589,6 +592,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             more = durable(verified(docs, candidates, pairs))
             found = durable(_merged(found, more, found.count()))
     remove(docs.sparkSession, at)
+    release(docs.sparkSession)
     # copies get their component with their class, so the class's smallest id needn't meet all of them
     of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("of_class"), "k")
     wide = meet(sets.select("doc_id", "n", "set_key"), of_class, "set_key", least, ["doc_id"], "left").join(found, F.col("doc_id") == F.col("id"), "left")
