@@ -40,6 +40,32 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Narrow rows of a checkpointed frame that one task may take, and the most rows of a look-up table that is broadcast.
+TASK_ROWS = 1 << 18
+LOOK_UP = 1 << 16
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` of a few numbers a row, checkpointed, and its row count.
+
+    Its partitions are merged until each has about ``TASK_ROWS`` rows: a small frame needn't cost a task for each
+    shuffle partition in every later step, and a frame of one partition needs no shuffle at all.
+    """
+    df = durable(df)
+    rows = df.count()
+    return df.coalesce(max(1, -(-rows // TASK_ROWS))), rows
+
+
+def replaced(rows: DataFrame, column: str, names: DataFrame, total: int) -> DataFrame:
+    """``rows`` with ``column`` replaced by its entry in ``names`` (old, new; ``total`` rows), if it has one there.
+
+    Up to ``LOOK_UP`` names are broadcast; more are joined by shuffle.
+    """
+    names = names.toDF("_old", "_new")
+    met = rows.join(F.broadcast(names) if total <= LOOK_UP else names, F.col(column) == F.col("_old"), "left")
+    return met.withColumn(column, F.coalesce("_new", column)).select(*rows.columns)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffles, broadcasts and checkpoints of frames that nothing refers to any more.
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from odflux.llm._common import durable, fresh, least_heavy, marked, meet, members, release, remove, small_batches, written
+from odflux.llm._common import LOOK_UP, durable, fresh, least_heavy, marked, meet, members, release, remove, replaced, settled, small_batches, written
 from odflux.llm.components import components
 
 SHINGLE = 5
@@ -215,8 +215,9 @@ def cell_levels(profiles: DataFrame) -> np.ndarray:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, total: int) -> DataFrame:
-    """The pairs (u, v) of ``pairs`` (durable, ``total`` rows) whose texts are linked, by exact overlap of their whole n-gram sets.
+    """The pairs (u, v) of ``pairs`` (settled, ``total`` rows) whose texts are linked, by exact overlap of their whole n-gram sets.
 
+    A pair shows once for each way to take its two texts, where an id has several.
     A document that is in very many pairs is their u; its pairs are dealt over salts, 256 to each.
     """
     least = max(256, least_heavy(total))
@@ -243,7 +244,7 @@ def verified(docs: DataFrame, pairs: DataFrame, total: int) -> DataFrame:
                     vs.append(v)
             yield _batch(out, [us, vs])
 
-    return full.mapInArrow(run, out).distinct()
+    return full.mapInArrow(run, out)
 
 
 COLUMNS = StructType([StructField("doc_id", LongType()), StructField("set", LongType()), StructField("n", LongType()), StructField("columns", BinaryType()), StructField("bits", BinaryType())])
@@ -509,27 +510,26 @@ def shared_counts(mixed: DataFrame, entries: int, bits: DataFrame) -> DataFrame:
     return rows.mapInArrow(split, packed).groupBy("block", "piece").applyInArrow(multiply, COUNTED)
 
 
-def mixed_columns(shared: DataFrame, copies: DataFrame, found: DataFrame, total: int) -> DataFrame:
-    """(col, rep, n, component, k): the shared columns whose sets lie in two or more components.
+def mixed_columns(placed: DataFrame, found: DataFrame, known: int) -> tuple[DataFrame, int]:
+    """(col, rep, n, component, k) and its row count: the rows of ``placed`` (col, rep, n) in columns whose sets lie in two or more components.
 
-    ``copies`` (doc_id, rep) and ``found`` (id, component) tell a document's class and the class's component, each
-    where it isn't the id itself.
+    ``found`` (id, component; ``known`` rows) tells a class's component, where it isn't the id itself.
     """
-    placed = shared.select("col", "doc", "n").join(copies, F.col("doc") == F.col("doc_id"), "left").select("col", "n", F.coalesce("rep", "doc").alias("rep"))
-    placed = durable(placed.join(found, F.col("rep") == F.col("id"), "left").select("col", "rep", "n", F.coalesce("component", "rep").alias("component")))
+    placed, total = settled(replaced(placed.select("col", "rep", "n", F.col("rep").alias("component")), "component", found, known))
     groups = placed.groupBy("col").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"), F.count(F.lit(1)).alias("sets")).where("low <> high")
-    return meet(placed, groups, "col", least_heavy(total), ["rep", "n"]).select("col", "rep", "n", "component", F.col("sets").alias("k"))
+    return settled(meet(placed, groups, "col", least_heavy(total), ["rep", "n"]).select("col", "rep", "n", "component", F.col("sets").alias("k")))
 
 
-def _merged(found: DataFrame, more: DataFrame, total: int) -> DataFrame:
-    """Components ``found`` after the links ``more`` between them: links move to component numbers, so they stay few."""
-    named = lambda c: more.join(found, F.col(c) == F.col("id"), "left").withColumn(c, F.coalesce("component", c)).select("u", "v")
-    more = durable(named("u"))
-    second = durable(components(durable(named("v"))).withColumnRenamed("component", "final"))
-    groups = found.groupBy("component").agg(F.count(F.lit(1)).alias("k")).join(second, F.col("component") == F.col("id"), "left").select("component", F.coalesce("final", "component").alias("final"), "k")
-    old = meet(found, groups, "component", least_heavy(total), ["id"]).select("id", F.col("final").alias("component"))
-    new = second.join(found.select("id"), "id", "left_anti").select("id", F.col("final").alias("component"))
-    return old.unionByName(new)
+def _merged(found: DataFrame, known: int, more: DataFrame) -> tuple[DataFrame, int]:
+    """Components ``found`` (``known`` rows) after the links ``more`` between them, and their row count: links move to component numbers, so they stay few."""
+    second, moved = settled(components(replaced(replaced(more.select("u", "v"), "u", found, known), "v", found, known)))
+    if moved <= LOOK_UP:
+        old = replaced(found, "component", second, moved)
+    else:
+        groups = found.groupBy("component").agg(F.count(F.lit(1)).alias("k")).join(second.toDF("_id", "_final"), F.col("component") == F.col("_id"), "left").select("component", F.coalesce("_final", "component").alias("final"), "k")
+        old = meet(found, groups, "component", least_heavy(known), ["id"]).select("id", F.col("final").alias("component"))
+    new = second.join(found.select("id"), "id", "left_anti").select("id", "component")
+    return settled(old.unionByName(new))
 
 
 def turn_pairs(mixed: DataFrame, total: int, turn: int) -> DataFrame:
@@ -555,7 +555,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = durable(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1"))
     named = meet(full.select("doc_id", "set_key"), classes, "set_key", least, ["doc_id"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     ids = durable(named.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high or low <> doc_id"))
-    copies = ids.where("low = high").select("doc_id", F.col("low").alias("rep"))
+    copies, named_so = settled(ids.where("low = high").select("doc_id", F.col("low").alias("rep")))
     # an id with several texts lies in several classes, and makes them one
     same_id = named.join(ids.where("low <> high").select("doc_id"), "doc_id").where("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
@@ -563,40 +563,40 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns, at = written(first_columns(docs, levels), "ngram-columns")
     hot = hot_blocks(columns, blocks)
     shared, beside = written(shared_columns(columns, blocks, hot), "ngram-shared")
-    bits = columns.select("doc_id", "n", "bits").join(copies, "doc_id", "left").groupBy(F.coalesce("rep", "doc_id").alias("rep"), "n").agg(F.min("bits").alias("low"), F.max("bits").alias("high"))
-    bits = bits.select("rep", "n", F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
-    to_rep = lambda pairs, c: pairs.join(copies, F.col(c) == F.col("doc_id"), "left").withColumn(c, F.coalesce("rep", c)).select("u", "v")
-    near = durable(to_rep(to_rep(pivot_pairs(shared, bool(hot)), "u"), "v").where("u <> v").distinct())
+    near, pairs = settled(replaced(replaced(pivot_pairs(shared, bool(hot)), "u", copies, named_so), "v", copies, named_so).where("u <> v").distinct())
     release(docs.sparkSession)
-    links = durable(verified(docs, near, near.count()).unionByName(same_id))
-    found = durable(components(links))
-    mixed = durable(mixed_columns(shared, copies, found, shared.count()))
+    found, known = settled(components(verified(docs, near, pairs).unionByName(same_id)))
+    placed = replaced(shared.select("col", F.col("doc").alias("rep"), "n"), "rep", copies, named_so)
+    mixed, entries = mixed_columns(placed, found, known)
     remove(docs.sparkSession, beside)
     release(docs.sparkSession)
     for turn in range(ROUNDS):
-        if not (entries := mixed.count()):
+        if not entries:
             break
-        near = durable(turn_pairs(mixed, entries, turn))
-        more = durable(verified(docs, near, near.count()))
-        if not (merged := more.count()):
+        near, pairs = settled(turn_pairs(mixed, entries, turn))
+        more, merged = settled(verified(docs, near, pairs))
+        if not merged:
             break
-        found = durable(_merged(found, more, found.count()))
-        mixed = durable(mixed_columns(mixed.select("col", F.col("rep").alias("doc"), "n"), copies, found, entries))
+        found, known = _merged(found, known, more)
+        before = entries
+        mixed, entries = mixed_columns(mixed, found, known)
         release(docs.sparkSession)
-        if merged < LEAST_MERGED * entries:
+        if merged < LEAST_MERGED * before:
             break
-    if entries := mixed.count():
+    if entries:
+        bits = replaced(columns.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep", copies, named_so).groupBy("rep", "n").agg(F.min("bits").alias("low"), F.max("bits").alias("high"))
+        bits = bits.select("rep", "n", F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
         counted = shared_counts(mixed, entries, bits).groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
-        candidates = durable(enough(counted))
-        if pairs := candidates.count():
-            more = durable(verified(docs, candidates, pairs))
-            found = durable(_merged(found, more, found.count()))
+        candidates, pairs = settled(enough(counted))
+        if pairs:
+            found, known = _merged(found, known, verified(docs, candidates, pairs))
     remove(docs.sparkSession, at)
     release(docs.sparkSession)
     # copies get their component with their class, so the class's smallest id needn't meet all of them
-    of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("of_class"), "k")
-    wide = meet(sets.select("doc_id", "n", "set_key"), of_class, "set_key", least, ["doc_id"], "left").join(found, F.col("doc_id") == F.col("id"), "left")
-    own = F.when(F.col("n") > 0, F.coalesce("of_class", "component", "doc_id")).otherwise(F.coalesce("component", "doc_id"))
+    of_class = replaced(classes, "rep", found, known).select("set_key", F.col("rep").alias("of_class"), "k")
+    wide = meet(sets.select("doc_id", "n", "set_key"), of_class, "set_key", least, ["doc_id"], "left").withColumn("component", F.col("doc_id"))
+    wide = replaced(wide, "component", found, known)
+    own = F.when(F.col("n") > 0, F.coalesce("of_class", "component")).otherwise(F.col("component"))
     out = durable(wide.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id")))
     remove(docs.sparkSession, where)
     return out
