@@ -205,6 +205,23 @@ def test_join_splits_hot_blocks_and_columns(spark, monkeypatch, block, part):
     assert rows(ngram_join.join_components(df), "doc_id", "n_shingles", "component_id") == brute_components(table)
 
 
+def test_join_by_shuffles_where_nothing_is_small(spark, monkeypatch):
+    """Limits so low that no look-up table is broadcast and no step runs in one task."""
+    for module in (_common, components, ngram_join):
+        for name, most in (("TASK_ROWS", 32), ("LOOK_UP", 0)):
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, most)
+    table = []
+    for g in range(4):
+        for k in range(10):
+            words = [f"n{g}_{x}" for x in range(80)]
+            words[7 * k] = f"y{k}"
+            table.append((len(table), " ".join(words)))
+        table.append((len(table), table[-1][1]))
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    assert rows(ngram_join.join_components(df), "doc_id", "n_shingles", "component_id") == brute_components(table)
+
+
 def test_join_of_ids_with_several_texts(spark):
     a, b, c = ([f"{x}{k}" for k in range(60)] for x in "abc")
     near = lambda w: " ".join([*w[:58], "z", w[59]])
@@ -250,6 +267,28 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(200)} | {400: 400, 500: 400}
 
 
+def test_components_over_several_tasks(spark, monkeypatch):
+    """Limits so low that no task has all edges and no table is broadcast: contraction and star rounds alternate."""
+    monkeypatch.setattr(components, "TASK_ROWS", 16)
+    monkeypatch.setattr(_common, "TASK_ROWS", 16)
+    path = [(k, k - 1) for k in range(1, 60)]
+    star = [(1000 + k, 1000) for k in range(1, 40)]
+    table = [*path, *star, *star[:5], (7, 7), (None, 3), (2000, 3000)]
+    edges = spark.createDataFrame(table, "u long, v long").repartition(6)
+    got = {r["id"]: r["component"] for r in components.components(edges).collect()}
+    assert got == {k: 0 for k in range(60)} | {1000 + k: 1000 for k in range(40)} | {2000: 2000, 3000: 2000}
+    assert components.components(edges.limit(0)).count() == 0
+
+
+def test_replaced_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    table = spark.createDataFrame([(1, 5), (2, 6), (None, 7), (1, 8)], "a long, b long")
+    names = spark.createDataFrame([(1, 10), (3, 30)], "id long, component long")
+    want = [(10, 5), (10, 8), (2, 6), (None, 7)]
+    for most in (100, 0):
+        monkeypatch.setattr(_common, "LOOK_UP", most)
+        assert sorted(map(tuple, _common.replaced(table, "a", names, 2).collect()), key=str) == sorted(want, key=str)
+
+
 # --- 4 Kneser-Ney
 
 
