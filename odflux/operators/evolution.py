@@ -53,7 +53,7 @@ def adjusted_rand(pairs: DataFrame, *by: str) -> DataFrame:
 
 
 def panel(yearly: DataFrame) -> DataFrame:
-    """One row a year: edges, nodes, trips, own trips, mean distance, of edges keyed by yr."""
+    """One row a year: edges, nodes, trips, own trips, mean distance, density, reciprocity and assortativity, of edges keyed by yr."""
     proper = F.col("o") != F.col("d")
     when = lambda c: F.sum(F.when(proper, F.col(c)))
     sums = yearly.groupBy("yr").agg(
@@ -63,7 +63,18 @@ def panel(yearly: DataFrame) -> DataFrame:
         safe_ratio(when("sum_dist"), when("trips")).alias("mean_dist"),
     )
     nodes = yearly.where(proper).select("yr", F.explode(F.array("o", "d")).alias("id")).distinct().groupBy("yr").agg(F.count(F.lit(1)).alias("n_nodes"))
-    return sums.join(nodes, "yr", "left").na.fill(0, ["n_nodes"])
+    links = yearly.where(proper).select("yr", "o", "d", "trips")
+    back = links.select("yr", F.col("d").alias("o"), F.col("o").alias("d"), F.col("trips").alias("back"))
+    near = lambda c: F.count(F.lit(1)).over(Window.partitionBy("yr", c)).cast("double")
+    both = links.withColumns({"ko": near("o"), "kd": near("d")}).join(back, ["yr", "o", "d"], "left").groupBy("yr")
+    shape = both.agg(
+        safe_ratio(F.sum(F.least("trips", F.coalesce("back", F.lit(0)))), F.sum("trips")).alias("weighted_reciprocity"),
+        safe_ratio(F.count("back"), F.count(F.lit(1))).alias("r"),
+        F.corr("ko", "kd").alias("degree_assortativity"),
+    )
+    out = sums.join(nodes, "yr", "left").na.fill(0, ["n_nodes"]).join(shape, "yr", "left")
+    out = out.withColumn("density", safe_ratio(F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)))
+    return out.withColumn("reciprocity_rho", F.try_divide(F.col("r") - F.col("density"), 1 - F.col("density"))).drop("r")
 
 
 def yearly_change(yearly: DataFrame, metric: str) -> DataFrame:

@@ -258,9 +258,9 @@ def rich_club_null(edges: DataFrame, percentiles: list[float], seeds: int) -> Da
 
     def phi(x: np.ndarray, p: float) -> float:
         s = x.sum(axis=0) + x.sum(axis=1)
-        rich = s > np.percentile(s, p)
+        rich = s >= np.percentile(s, p)
         inner = x[np.ix_(rich, rich)]
-        k = int((inner > 0).sum())
+        k = int(rich.sum() * (rich.sum() - 1) // 2)
         best = np.sort(x[x > 0])[::-1][:k].sum()
         return float(inner.sum() / best) if best else 0.0
 

@@ -113,13 +113,20 @@ def without_geometry(edges: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def rich_club(edges: DataFrame, percentile: float) -> DataFrame:
-    """Trips among the strongest nodes over the trips of as many strongest pairs."""
+    """Trips among the nodes of at least the percentile's strength, over the trips of as many strongest pairs.
+
+    Every pair of rich nodes counts, with trips or without.  The strongest pairs are summed over the table of distinct trip
+    counts, so no task sorts all pairs."""
     pairs = undirected(edges)
     strength = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("id"), "trips"), F.struct(F.col("v").alias("id"), "trips"))).alias("x")).groupBy("x.id").agg(F.sum("x.trips").alias("s"))
     cut = strength.agg(F.percentile("s", F.lit(percentile)).alias("cut"))
-    rich = strength.join(F.broadcast(cut), F.col("s") > F.col("cut")).select("id")
+    rich = strength.join(F.broadcast(cut), F.col("s") >= F.col("cut")).select("id")
     a = pairs.join(rich, F.col("u") == F.col("id"), "left_semi").join(rich, F.col("v") == F.col("id"), "left_semi")
-    inside = a.agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum("trips"), F.lit(0)).alias("rich_trips"))
-    ranked = pairs.withColumn("n", F.row_number().over(Window.orderBy(F.desc("trips"), "u", "v")))
-    best = ranked.join(F.broadcast(inside.select("pairs")), F.col("n") <= F.col("pairs")).agg(F.coalesce(F.sum("trips"), F.lit(0)).alias("best_trips"))
+    n = F.count(F.lit(1))
+    room = rich.agg((n * (n - 1) / 2).cast("long").alias("pairs"))
+    inside = room.join(a.agg(F.coalesce(F.sum("trips"), F.lit(0)).alias("rich_trips")))
+    weights = pairs.groupBy("trips").agg(n.alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("trips")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = F.greatest(F.least("n", F.col("pairs") - F.col("before")), F.lit(0))
+    best = weights.withColumn("before", before).join(F.broadcast(room)).agg(F.coalesce(F.sum(F.col("trips") * taken), F.lit(0)).alias("best_trips"))
     return inside.join(best).withColumn("phi", safe_ratio(F.col("rich_trips"), F.col("best_trips")))

@@ -419,9 +419,9 @@ _both(
     "rich_club",
     """SELECT pairs, rich_trips, best_trips, round(rich_trips / nullif(best_trips, 0)::DOUBLE, 6) AS phi FROM (SELECT pairs, rich_trips,
   (SELECT coalesce(sum(trips), 0)::BIGINT FROM (SELECT trips, row_number() OVER (ORDER BY trips DESC, u, v) AS n FROM un) WHERE n <= pairs) AS best_trips FROM (
-  SELECT count(*) AS pairs, coalesce(sum(trips), 0)::BIGINT AS rich_trips FROM un WHERE u IN (SELECT id FROM rich) AND v IN (SELECT id FROM rich)))""",
+  SELECT (SELECT (count(*) * (count(*) - 1) // 2)::BIGINT FROM rich) AS pairs, coalesce(sum(trips), 0)::BIGINT AS rich_trips FROM un WHERE u IN (SELECT id FROM rich) AND v IN (SELECT id FROM rich)))""",
     lambda e: structure.rich_club(e, 0.8),
-    f"{EDGES_SQL}, {UNDIRECTED_SQL}, st AS (SELECT id, sum(trips) AS s FROM (SELECT u AS id, trips FROM un UNION ALL SELECT v, trips FROM un) GROUP BY id), rich AS (SELECT id FROM st WHERE s > (SELECT quantile_cont(s::DOUBLE, 0.8::DOUBLE) FROM st))",
+    f"{EDGES_SQL}, {UNDIRECTED_SQL}, st AS (SELECT id, sum(trips) AS s FROM (SELECT u AS id, trips FROM un UNION ALL SELECT v, trips FROM un) GROUP BY id), rich AS (SELECT id FROM st WHERE s >= (SELECT quantile_cont(s::DOUBLE, 0.8::DOUBLE) FROM st))",
 )
 
 
@@ -646,9 +646,13 @@ def ari_region_vs_segment(spark, sf_dir):
 
 
 @query(
-    """SELECT yr, count(*) FILTER (o <> d) AS n_edges, (SELECT count(*) FROM (SELECT o FROM ye x WHERE x.yr = ye.yr AND o <> d UNION SELECT d FROM ye x WHERE x.yr = ye.yr AND o <> d)) AS n_nodes,
-  coalesce(sum(trips) FILTER (o <> d), 0)::BIGINT AS total_trips, coalesce(sum(trips) FILTER (o = d), 0)::BIGINT AS self_trips, round(sum(sum_dist) FILTER (o <> d) / sum(trips) FILTER (o <> d), 6) AS mean_dist FROM ye GROUP BY yr""",
-    f"{CLEAN_SQL}, ye AS (SELECT yr, o, d, count(*) AS trips, sum(dist) AS sum_dist FROM clean GROUP BY ALL)",
+    """SELECT yr, n_edges, coalesce(n_nodes, 0)::BIGINT AS n_nodes, total_trips, self_trips, round(mean_dist, 6) AS mean_dist, round(density, 6) AS density, round(weighted_reciprocity, 6) AS weighted_reciprocity,
+  round((r - density) / nullif(1 - density, 0), 6) AS reciprocity_rho, round(degree_assortativity, 6) AS degree_assortativity
+FROM (SELECT *, n_edges / nullif(n_nodes * (n_nodes - 1), 0)::DOUBLE AS density FROM ysum LEFT JOIN ynodes USING (yr)) LEFT JOIN yrec USING (yr)""",
+    f"""{CLEAN_SQL}, ye AS (SELECT yr, o, d, count(*) AS trips, sum(dist) AS sum_dist FROM clean GROUP BY ALL), yp AS (SELECT *, count(*) OVER (PARTITION BY yr, o) AS ko, count(*) OVER (PARTITION BY yr, d) AS kd FROM ye WHERE o <> d),
+ysum AS (SELECT yr, count(*) FILTER (o <> d) AS n_edges, coalesce(sum(trips) FILTER (o <> d), 0)::BIGINT AS total_trips, coalesce(sum(trips) FILTER (o = d), 0)::BIGINT AS self_trips, sum(sum_dist) FILTER (o <> d) / sum(trips) FILTER (o <> d) AS mean_dist FROM ye GROUP BY yr),
+ynodes AS (SELECT yr, count(*) AS n_nodes FROM (SELECT yr, o FROM yp UNION SELECT yr, d FROM yp) GROUP BY yr),
+yrec AS (SELECT a.yr, sum(least(a.trips, coalesce(b.trips, 0))) / sum(a.trips)::DOUBLE AS weighted_reciprocity, count(b.o) / count(*)::DOUBLE AS r, corr(a.ko, a.kd) AS degree_assortativity FROM yp a LEFT JOIN yp b ON a.yr = b.yr AND a.o = b.d AND a.d = b.o GROUP BY a.yr)""",
 )
 def year_panel(spark, sf_dir):
     return rounded(evolution.panel(A.edges(clean_orders(spark, sf_dir), "yr")))
