@@ -8,8 +8,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from odflux.operators import aggregates as A
-from odflux.operators import evolution, interaction, network, spatial, structure, temporal
-from odflux.plans.catalog import clean_orders, order_edges, order_furness, order_nodes, query, rounded
+from odflux.operators import evolution, interaction, network, spatial, structure, tables, temporal
+from odflux.plans.catalog import clean_orders, order_edges, order_furness, order_nodes, order_residuals, query, rounded
 from odflux.sources import sinks, views
 from odflux.streaming.hourly import hourly_flows
 
@@ -221,6 +221,22 @@ def results_document(spark, sf_dir):
     return sinks.results_document({"reciprocity": rounded(structure.reciprocity(edges)), "scalars": rounded(A.graph_scalars(edges, 15))})
 
 
+@query()
+def centrality_table(spark, sf_dir):
+    return rounded(tables.centrality_table(_sparse(spark, sf_dir)))
+
+
+@query()
+def structure_bundle(spark, sf_dir):
+    return rounded(tables.structure_bundle(order_edges(spark, sf_dir)))
+
+
+@query()
+def node_analysis(spark, sf_dir):
+    surprise = interaction.surprise(order_residuals(spark, sf_dir))
+    return rounded(tables.node_analysis(order_edges(spark, sf_dir), order_nodes(spark, sf_dir), surprise))
+
+
 def _squares(spark, side: float, columns: int, first: int = 0):
     """Square polygons on a grid, numbered by row and column."""
     n = spark.range(columns * columns)

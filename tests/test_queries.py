@@ -43,6 +43,36 @@ def test_attack_curves_fall_from_one(spark, sf_dir):
         assert shares[0] > 0.9 and shares == sorted(shares, reverse=True) and len(shares) == 31
 
 
+def test_structure_bundle_equals_its_parts(spark, sf_dir):
+    got = QUERIES["structure_bundle"](spark, sf_dir).collect()
+    assert len(got) == 1
+    parts = {"rho": "gl_reciprocity", "weighted_reciprocity": "weighted_reciprocity", "mean_imbalance": "flow_imbalance", "median_imbalance": "flow_imbalance"}
+    for column, name in parts.items():
+        assert got[0][column] == QUERIES[name](spark, sf_dir).first()[column]
+    near: dict = {}
+    for r in QUERIES["undirected_projection"](spark, sf_dir).collect():
+        near.setdefault(r["u"], set()).add(r["v"])
+        near.setdefault(r["v"], set()).add(r["u"])
+    k = 0
+    while near:
+        least = min(near, key=lambda x: len(near[x]))
+        k = max(k, len(near[least]))
+        for other in near.pop(least):
+            near[other].discard(least)
+    assert got[0]["max_kcore"] == k
+
+
+def test_node_analysis_has_one_row_a_node(spark, sf_dir):
+    rows = QUERIES["node_analysis"](spark, sf_dir).collect()
+    nodes = {r["zone_id"]: r for r in QUERIES["node_table"](spark, sf_dir).collect() if r["out_strength"] + r["in_strength"]}
+    assert len(rows) == len({r["zone_id"] for r in rows}) == len(nodes)
+    for r in rows:
+        want = nodes[r["zone_id"]]
+        assert all(r[c] == want[c] for c in ("out_strength", "in_strength", "self_trips", "zone"))
+        assert r["coreness"] > 0 and r["leiden_community"] is not None
+    assert abs(sum(r["pagerank"] for r in rows) - 1) < 1e-3
+
+
 def test_entry_has_a_stable_schema(spark):
     import __spark_entry__
 
