@@ -50,6 +50,16 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson correlation as an aggregate of the rows that have both values; null where either doesn't vary.
+
+    The variances are compared by their extremes, so rounding can't make a constant column vary."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    varies = (F.max(a) > F.min(a)) & (F.max(b) > F.min(b))
+    return F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+
+
 def net_flow_index(outward: Column, inward: Column) -> Column:
     """(out - in) / (out + in): +1 for a pure source; null without flow."""
     return safe_ratio(outward - inward, outward + inward)

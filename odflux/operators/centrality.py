@@ -41,7 +41,7 @@ def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
 
 def _unit(df: DataFrame, column: str) -> DataFrame:
     size = F.sqrt(F.sum(F.col(column) * F.col(column)).over(Window.partitionBy()))
-    return df.withColumn(column, F.col(column) / size)
+    return df.withColumn(column, F.coalesce(F.try_divide(F.col(column), size), F.lit(0.0)))
 
 
 def hits(edges: DataFrame, rounds: int) -> DataFrame:

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from odflux.functions.expressions import safe_ratio
+from odflux.functions.expressions import safe_corr, safe_ratio
 
 
 def modularity(pairs: DataFrame, part: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def adjusted_rand(pairs: DataFrame, *by: str) -> DataFrame:
     rows = total(table.groupBy(*by, "a").agg(F.sum("n").alias("n")), "sa")
     columns = total(table.groupBy(*by, "b").agg(F.sum("n").alias("n")), "sb")
     meet = (lambda x, y: x.join(y, list(by))) if by else (lambda x, y: x.join(y))
-    expected = F.col("sa") * F.col("sb") / two(F.col("t"))
+    expected = F.try_divide(F.col("sa") * F.col("sb"), two(F.col("t")))
     top = F.col("idx") - F.col("expected")
     return meet(meet(cells, rows), columns).withColumn("expected", expected).select(*by, F.try_divide(top, (F.col("sa") + F.col("sb")) / 2 - F.col("expected")).alias("ari"))
 
@@ -70,7 +70,7 @@ def panel(yearly: DataFrame) -> DataFrame:
     shape = both.agg(
         safe_ratio(F.sum(F.least("trips", F.coalesce("back", F.lit(0)))), F.sum("trips")).alias("weighted_reciprocity"),
         safe_ratio(F.count("back"), F.count(F.lit(1))).alias("r"),
-        F.corr("ko", "kd").alias("degree_assortativity"),
+        safe_corr(F.col("ko"), F.col("kd")).alias("degree_assortativity"),
     )
     out = sums.join(nodes, "yr", "left").na.fill(0, ["n_nodes"]).join(shape, "yr", "left")
     out = out.withColumn("density", safe_ratio(F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)))
@@ -111,7 +111,7 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
     ranked = df.select(*[rank(c).alias(c) for c in columns])
     pairs = list(combinations(columns, 2))
-    one = ranked.agg(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.corr(a, b).alias("rho")) for a, b in pairs]).alias("all"))
+    one = ranked.agg(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), safe_corr(F.col(a), F.col(b)).alias("rho")) for a, b in pairs]).alias("all"))
     return one.select(F.inline("all"))
 
 

@@ -25,7 +25,7 @@ def morans_i(nodes: DataFrame, zones: DataFrame, column: str, k: int) -> DataFra
     a, b = z.select(F.col("zone_id").alias("o"), F.col("z").alias("za")), z.select(F.col("zone_id").alias("d"), F.col("z").alias("zb"))
     num = near.join(a, "o").join(b, "d").agg((F.sum(F.col("za") * F.col("zb")) / k).alias("num"))
     den = z.agg(F.sum(F.col("z") * F.col("z")).alias("den"), F.max("n").alias("n"))
-    return num.join(den).select("n", F.try_divide("num", "den").alias("morans_i"), (-1 / (F.col("n") - 1)).alias("expected"))
+    return num.join(den).select("n", F.try_divide("num", "den").alias("morans_i"), F.try_divide(F.lit(-1.0), (F.col("n") - 1).cast("double")).alias("expected"))
 
 
 def _boxed(polygons: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from odflux.functions.expressions import safe_ratio
+from odflux.functions.expressions import safe_corr, safe_ratio
 from odflux.operators.aggregates import endpoints, without_loops
 
 
@@ -49,10 +49,10 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def assortativity(edges: DataFrame) -> DataFrame:
-    """Correlation over edges of the source's out-degree with the target's in-degree."""
+    """Correlation over edges of the source's out-degree with the target's in-degree; null where either is the same on every edge."""
     deg = degrees(edges)
     e = without_loops(edges).join(deg.select(F.col("id").alias("o"), "out_degree"), "o").join(deg.select(F.col("id").alias("d"), "in_degree"), "d")
-    return e.agg(F.corr("out_degree", "in_degree").alias("assortativity"))
+    return e.agg(safe_corr(F.col("out_degree"), F.col("in_degree")).alias("assortativity"))
 
 
 def kappa(edges: DataFrame) -> DataFrame:
