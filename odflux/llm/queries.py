@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from odflux.llm import bpe, chat, kneser_ney, langid, ngram_join, packing, quality_rules, sharding, spotsigs, trie, warc
+from odflux.llm import bpe, chat, kneser_ney, langid, negatives, ngram_join, packing, quality_rules, sharding, spotsigs, trie, warc
 from odflux.llm._common import table
 
 
@@ -52,13 +52,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_vantage_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_sharding, op2_quality_rules, op3_ngram_jaccard_join, op4_kneser_ney_quality, op5_tool_call_chats, op6_spot_signatures, op7_length_bucket_packing, op8_warc_index, op9_byte_bpe, op10_language_id, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_feistel_sharding, op2_quality_rules, op3_ngram_jaccard_join, op4_kneser_ney_quality, op5_tool_call_chats, op6_spot_signatures, op7_length_bucket_packing, op8_warc_index, op9_byte_bpe, op10_language_id, op11_vantage_negatives, op12_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_feistel_sharding": sharding.oracle(), "op3_ngram_jaccard_join": ngram_join.oracle(), "op5_tool_call_chats": chat.oracle(), "op8_warc_index": warc.oracle(), "op12_prefix_trie": trie.oracle()}
+    return {"op1_feistel_sharding": sharding.oracle(), "op3_ngram_jaccard_join": ngram_join.oracle(), "op5_tool_call_chats": chat.oracle(), "op8_warc_index": warc.oracle(), "op11_vantage_negatives": negatives.oracle(), "op12_prefix_trie": trie.oracle()}
