@@ -68,17 +68,18 @@ class Space:
         return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * (x @ y.T), 0))
 
     def fit(self, x: np.ndarray, levels: int) -> None:
+        """Split down to ``levels``; a cell has a vantage point of its own too, which splits nothing but bounds its rows."""
         lifted = self.lift(x)
-        self.points, self.radii = np.zeros((2**levels - 1, self.dims + 1)), np.full(2**levels - 1, np.inf)
+        self.points, self.radii = np.zeros((2 ** (levels + 1) - 1, self.dims + 1)), np.full(2**levels - 1, np.inf)
         inside = {0: np.arange(len(lifted))}
-        for node in range(2**levels - 1):
+        for node in range(len(self.points)):
             rows = inside.pop(node)
+            near = np.zeros(0)
             if len(rows):
                 self.points[node], near = self.split(lifted, rows)
-                self.radii[node] = np.median(near)
+            if node < len(self.radii):
+                self.radii[node] = np.median(near) if len(rows) else np.inf
                 inside[2 * node + 1], inside[2 * node + 2] = rows[near <= self.radii[node]], rows[near > self.radii[node]]
-            else:
-                inside[2 * node + 1] = inside[2 * node + 2] = rows
 
     def split(self, lifted: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A vantage point at the edge of the rows, and their distances to it."""
@@ -95,7 +96,9 @@ class Space:
         return node - len(self.radii)
 
     def above(self, cell: int) -> list[int]:
-        out, node = [], cell + len(self.radii)
+        """Vantage points of a cell: its own and those on the way to it."""
+        node = cell + len(self.radii)
+        out = [node]
         while node:
             node = (node - 1) // 2
             out.append(node)
