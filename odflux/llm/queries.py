@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from odflux.llm import bpe, chat, kneser_ney, langid, negatives, ngram_join, packing, quality_rules, sharding, spotsigs, trie, warc
+from odflux.llm import bpe, chat, kneser_ney, langid, negatives, ngram_join, packing, pii, quality_rules, sharding, spotsigs, trie, warc
 from odflux.llm._common import table
 
 
@@ -60,8 +60,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_sharding, op2_quality_rules, op3_ngram_jaccard_join, op4_kneser_ney_quality, op5_tool_call_chats, op6_spot_signatures, op7_length_bucket_packing, op8_warc_index, op9_byte_bpe, op10_language_id, op11_vantage_negatives, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_feistel_sharding, op2_quality_rules, op3_ngram_jaccard_join, op4_kneser_ney_quality, op5_tool_call_chats, op6_spot_signatures, op7_length_bucket_packing, op8_warc_index, op9_byte_bpe, op10_language_id, op11_vantage_negatives, op12_prefix_trie, op13_skip_chain_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
