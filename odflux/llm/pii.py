@@ -33,6 +33,8 @@ KINDS = ["email", "ip", "card", "phone"]
 DOCS, ATOMS = 2000, 400
 #: Message passes, steps of the fit, its penalty on squared weights, and the belief from which an atom is of a kind.
 PASSES, STEPS, PENALTY, LEAST = 20, 150, 0.02, 0.5
+#: Edges whose messages are worked out at a time, and atoms from which on a batch's documents are labelled without the next ones.
+EDGES, BATCH = 1 << 14, 1 << 16
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -188,18 +190,19 @@ class Field:
     def __init__(self) -> None:
         self.nodes, self.pairs = np.zeros((FEATURES, LABELS)), np.zeros((3, LABELS, LABELS))
 
-    def beliefs(self, on: np.ndarray, edges: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+    def beliefs(self, on: np.ndarray, edges: np.ndarray, passes: int = PASSES, of_edges: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """Beliefs of nodes and edges after so many passes of damped messages along all edges at once."""
         own = on @ self.nodes
         i, j, kind = edges.T
-        table = self.pairs[kind]
         forth, back = np.zeros((len(edges), LABELS)), np.zeros((len(edges), LABELS))
         for _ in range(passes if len(edges) else 0):
             total = own + _gathered(len(own), i, j, forth, back)
-            forth, back = (forth + _message(total[i] - back, table)) / 2, (back + _message(total[j] - forth, table.transpose(0, 2, 1))) / 2
+            forth, back = (forth + _message(total[i] - back, self.pairs, kind)) / 2, (back + _message(total[j] - forth, self.pairs.transpose(0, 2, 1), kind)) / 2
         total = own + _gathered(len(own), i, j, forth, back)
-        both = (total[i] - back)[:, :, None] + (total[j] - forth)[:, None, :] + table
-        return _soft(total), _soft(both.reshape(len(edges), -1)).reshape(both.shape)
+        if not of_edges:
+            return _soft(total), None
+        both = (total[i] - back)[:, :, None] + (total[j] - forth)[:, None, :] + self.pairs[kind]
+        return _soft(total), _soft(both.reshape(len(edges), both.shape[1] * both.shape[2])).reshape(both.shape)
 
     def fit(self, on: np.ndarray, label: np.ndarray, edges: np.ndarray, steps: int = STEPS) -> Field:
         """Climb the penalised likelihood: gradients are observed less believed counts, steps of each weight its own size."""
@@ -223,11 +226,15 @@ def _soft(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _message(pre: np.ndarray, table: np.ndarray) -> np.ndarray:
-    x = pre[:, :, None] + table
-    top = x.max(axis=1)
-    out = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
-    return out - out.max(axis=1, keepdims=True)
+def _message(pre: np.ndarray, tables: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Messages over edges, so many edges at a time as memory bears."""
+    sent = np.empty_like(pre)
+    for at in range(0, len(pre), EDGES):
+        x = pre[at : at + EDGES, :, None] + tables[kind[at : at + EDGES]]
+        top = x.max(axis=1)
+        out = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
+        sent[at : at + EDGES] = out - out.max(axis=1, keepdims=True)
+    return sent
 
 
 def _gathered(n: int, i: np.ndarray, j: np.ndarray, forth: np.ndarray, back: np.ndarray) -> np.ndarray:
@@ -246,17 +253,25 @@ def _valid(kind: int, text: str) -> bool:
     return checks[kind]()
 
 
-def label_spans(field: Field, texts: list[str]) -> list[list[list[Span]]]:
-    """Spans that the field adds to each text, for each kind; all texts' graphs are passed over at once."""
+def label_spans(field: Field, texts: list[str]) -> Iterator[list[list[Span]]]:
+    """Spans that the field finds in each text, for each kind; the graphs of many texts are passed over at once."""
     parts, offset = [], 0
     for text in texts:
         found = atoms(text) if _HINT.search(text) else []
         bits, edges = graph(text, found) if found else (np.zeros(0, dtype=np.int64), np.zeros((0, 3), dtype=np.int64))
-        parts.append((found, bits, edges + [offset, offset, 0], offset))
+        parts.append((text, found, bits, edges + [offset, offset, 0], offset))
         offset += len(found)
-    belief, _ = field.beliefs(_on(np.concatenate([p[1] for p in parts])), np.concatenate([p[2] for p in parts]))
-    out = []
-    for text, (found, _bits, edges, first) in zip(texts, parts):
+        if offset >= BATCH:
+            yield from _labelled(field, parts)
+            parts, offset = [], 0
+    if parts:
+        yield from _labelled(field, parts)
+
+
+def _labelled(field: Field, parts: list[tuple]) -> Iterator[list[list[Span]]]:
+    """Spans of texts of which each has its atoms, features, edges and the number of its first node."""
+    belief, _ = field.beliefs(_on(np.concatenate([p[2] for p in parts])), np.concatenate([p[3] for p in parts]), of_edges=False)
+    for text, found, _bits, edges, first in parts:
         spans: list[list[Span]] = [[], [], [], []]
         kinds = belief[first : first + len(found), 1:].reshape(len(found), len(KINDS), 2)
         linked = set((edges[edges[:, 2] == 0, 1] - first).tolist())
@@ -273,8 +288,7 @@ def label_spans(field: Field, texts: list[str]) -> list[list[list[Span]]]:
             if _valid(kind, text[span[0] : span[1]]):
                 spans[kind].append(span)
             at = stop
-        out.append(spans)
-    return out
+        yield spans
 
 
 def _free(spans: list[Span], taken: list[Span]) -> list[Span]:
