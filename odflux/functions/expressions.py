@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,13 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! of a whole number, to about 1e-12: its own logarithms up to 16, Stirling's series beyond."""
+    x = n.cast("double")
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(n > 16, series).otherwise(F.element_at(F.array(*[F.lit(math.lgamma(k + 1)) for k in range(17)]), (n + 1).cast("int")))
+
+
 def net_flow_index(outward: Column, inward: Column) -> Column:
     """(out - in) / (out + in): +1 for a pure source; null without flow."""
     return safe_ratio(outward - inward, outward + inward)

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from odflux.functions.expressions import safe_corr, safe_ratio
+from odflux.functions.expressions import log_factorial, safe_corr, safe_ratio
 
 
 def modularity(pairs: DataFrame, part: DataFrame) -> DataFrame:
@@ -52,6 +52,41 @@ def adjusted_rand(pairs: DataFrame, *by: str) -> DataFrame:
     return meet(meet(cells, rows), columns).withColumn("expected", expected).select(*by, F.try_divide(top, (F.col("sa") + F.col("sb")) / 2 - F.col("expected")).alias("ari"))
 
 
+def adjusted_mutual(pairs: DataFrame, *by: str) -> DataFrame:
+    """Adjusted mutual information of labellings a and b, for each group of ``by``: less its expectation under shuffled
+    items, over the mean entropy less the same.
+
+    The expectation depends on the sizes of the classes only, so sizes are counted first: at most about the root of twice
+    the items differ, and their pairs are no more than the items."""
+    keys = list(by) or ["_all"]
+    rows = pairs if by else pairs.withColumn("_all", F.lit(1))
+    cells = rows.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    a = cells.groupBy(*keys, "a").agg(F.sum("n").alias("x"))
+    b = cells.groupBy(*keys, "b").agg(F.sum("n").alias("y"))
+    total = cells.groupBy(*keys).agg(F.sum("n").alias("t"))
+    n, x, y, t = (F.col(c) for c in "nxyt")
+    mutual = cells.join(a, [*keys, "a"]).join(b, [*keys, "b"]).join(total, keys).groupBy(*keys).agg(F.sum(n / t * F.log(t * n / (x * y))).alias("mi"))
+    entropy = lambda df, c, name: df.join(total, keys).groupBy(*keys).agg((-F.sum(F.col(c) / t * F.log(F.col(c) / t))).alias(name))
+    sizes = lambda df, c: df.groupBy(*keys, c).agg(F.count(F.lit(1)).alias(f"of_{c}"))
+    met = sizes(a, "x").join(sizes(b, "y"), keys).join(total, keys)
+    terms = met.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), x + y - t).cast("long"), F.least(x, y).cast("long"))))
+    up = [log_factorial(c) for c in (x, y, t - x, t - y)]
+    down = [log_factorial(c) for c in (t, n, x - n, y - n, t - x - y + n)]
+    chance = F.exp(reduce(lambda p, q: p + q, up) - reduce(lambda p, q: p + q, down))
+    expected = terms.groupBy(*keys).agg(F.sum(F.col("of_x") * F.col("of_y") * n / t * F.log(t * n / (x * y)) * chance).alias("emi"))
+    out = mutual.join(entropy(a, "x", "ha"), keys).join(entropy(b, "y", "hb"), keys).join(expected, keys)
+    top, bottom = F.col("mi") - F.col("emi"), (F.col("ha") + F.col("hb")) / 2 - F.col("emi")
+    score = F.when((F.col("ha") == 0) & (F.col("hb") == 0), 1.0).when(F.abs(bottom) > 1e-12, F.try_divide(top, bottom))
+    return out.select(*by, score.alias("ami"))
+
+
+def agreement(pairs: DataFrame, *by: str) -> DataFrame:
+    """Items, adjusted Rand index and adjusted mutual information of labellings a and b; null for fewer than two items."""
+    items = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("items"))
+    met = items.join(adjusted_rand(pairs, *by), list(by), "left").join(adjusted_mutual(pairs, *by), list(by), "left")
+    return met.withColumns({c: F.when(F.col("items") >= 2, F.col(c)) for c in ("ari", "ami")})
+
+
 def panel(yearly: DataFrame) -> DataFrame:
     """One row a year: edges, nodes, trips, own trips, mean distance, density, reciprocity and assortativity, of edges keyed by yr."""
     proper = F.col("o") != F.col("d")
@@ -116,13 +151,11 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def alignment(members: DataFrame) -> DataFrame:
-    """Adjusted Rand index of consecutive years' communities (yr, zone_id, community) over the zones they share."""
+    """Agreement of consecutive years' communities (yr, zone_id, community) over the zones they share."""
     years = members.select("yr").distinct().select("yr", F.lag("yr").over(Window.orderBy("yr")).alias("before"))
     now = members.join(F.broadcast(years), "yr").where("before is not null").select("before", "yr", "zone_id", F.col("community").alias("b"))
     old = members.select(F.col("yr").alias("before"), "zone_id", F.col("community").alias("a"))
-    shared = now.join(old, ["before", "zone_id"])
-    size = shared.groupBy("before", "yr").agg(F.count(F.lit(1)).alias("shared_zones"))
-    return size.join(adjusted_rand(shared, "before", "yr"), ["before", "yr"], "left").withColumn("ari", F.when(F.col("shared_zones") >= 2, F.col("ari")))
+    return agreement(now.join(old, ["before", "zone_id"]), "before", "yr").withColumnRenamed("items", "shared_zones")
 
 
 def unite(frames: list[DataFrame]) -> DataFrame:

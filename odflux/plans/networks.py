@@ -11,7 +11,6 @@ from odflux.operators import aggregates as A
 from odflux.operators import evolution, interaction, network, spatial, structure, tables, temporal
 from odflux.plans.catalog import clean_orders, order_edges, order_furness, order_nodes, order_residuals, query, rounded
 from odflux.sources import sinks, views
-from odflux.streaming.hourly import hourly_flows
 
 
 def _sparse(spark, sf_dir):
@@ -38,11 +37,6 @@ def local_efficiency(spark, sf_dir):
     return network.local_efficiency(order_edges(spark, sf_dir))
 
 
-@query()
-def circuity(spark, sf_dir):
-    return network.circuity(structure.backbone(order_edges(spark, sf_dir), 0.3).where("keep"), interaction.pair_distances(views.zones(spark, sf_dir)))
-
-
 @query()
 def static_attacks(spark, sf_dir):
     return network.targeted_attacks(_sparse(spark, sf_dir))
@@ -259,9 +253,3 @@ def polygons_intersect(spark, sf_dir):
 def dissolve(spark, sf_dir):
     cells = views.zones(spark, sf_dir).where("cx_ft is not null").select("borough", (F.col("cx_ft") / 5280).cast("long").alias("x"), (F.col("cy_ft") / 5280).cast("long").alias("y")).dropDuplicates(["x", "y"])
     return spatial.dissolve(cells, "borough")
-
-
-@query()
-def streamed_hourly_flows(spark, sf_dir):
-    """The hourly flows of the events table read as a stream, once, to a memory table."""
-    return hourly_flows(spark, sf_dir)

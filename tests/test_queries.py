@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
-from odflux.plans import networks  # noqa: F401  registers its queries
+from odflux.plans import networks, reaching  # noqa: F401  they register their queries
 from odflux.plans.catalog import ORACLES, QUERIES
 
-PLAIN = sorted(set(QUERIES) - set(ORACLES))
+PLAIN = sorted(set(QUERIES) - set(ORACLES) - {"gravity_by_year"})  # that one has a test against bisection below
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -32,6 +33,56 @@ def test_streamed_flows_equal_the_batch(spark, sf_dir):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def bisected(t, miles):
+    """Exponent and common part of the doubly constrained model, balanced to 1e-10 within 300 rounds, by bisection."""
+    far = miles > 0
+    t = np.where(far, t, 0.0)
+    out, inn = t.sum(axis=1), t.sum(axis=0)
+
+    def model(beta):
+        f = np.where(far, np.where(far, miles, 1) ** -beta, 0)
+        b = np.ones(len(t))
+        for _ in range(300):
+            a = np.where(out > 0, 1 / np.maximum(f @ (b * inn), 1e-300), 0)
+            new = np.where(inn > 0, 1 / np.maximum(f.T @ (a * out), 1e-300), 0)
+            if np.abs(new - b).max() < 1e-10:
+                break
+            b = new
+        return np.outer(a * out, b * inn) * f
+
+    mean = lambda x: (x * miles)[far].sum() / x[far].sum()
+    low, high = -1.0, 5.0
+    if not mean(model(low)) >= mean(t) >= mean(model(high)):
+        return None, None
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if mean(model(mid)) > mean(t) else (low, mid)
+    m = model(low)
+    return low, 2 * np.minimum(m, t).sum() / (m.sum() + t.sum())
+
+
+def test_calibration_of_all_years_equals_bisection_of_each(spark, sf_dir):
+    from odflux.operators import aggregates
+    from odflux.plans.catalog import clean_orders
+    from odflux.sources import views
+
+    at = {r["zone_id"]: (r["cx_ft"], r["cy_ft"]) for r in views.zones(spark, sf_dir).collect() if r["cx_ft"] is not None}
+    ids = sorted(at)
+    miles = np.array([[np.hypot(at[i][0] - at[j][0], at[i][1] - at[j][1]) / 5280 for j in ids] for i in ids])
+    trips: dict = {}
+    for r in aggregates.edges(clean_orders(spark, sf_dir), "yr").collect():
+        if r["o"] in at and r["d"] in at:
+            trips.setdefault(r["yr"], np.zeros(miles.shape))[ids.index(r["o"]), ids.index(r["d"])] = r["trips"]
+    got = {r["yr"]: (r["beta"], r["cpc"]) for r in QUERIES["gravity_by_year"](spark, sf_dir).collect()}
+    assert set(got) == set(trips) and any(b is not None for b, _ in got.values())
+    for yr, t in trips.items():
+        beta, cpc = bisected(t, miles)
+        if beta is None:
+            assert got[yr] == (None, None)
+        else:
+            assert got[yr] == (pytest.approx(beta, abs=1e-5), pytest.approx(cpc, abs=1e-5))
+
+
 def test_attack_curves_fall_from_one(spark, sf_dir):
     curves: dict = {}
     for r in QUERIES["static_attacks"](spark, sf_dir).collect():
