@@ -10,7 +10,7 @@ The join is a sparse product of the document by n-gram incidence matrix with its
 3. A block brings its columns together.  Columns of one set fall away.  Of the others, each set is multiplied with the
    column's pivot, the set with the smallest digest: a group of near copies gives one product for each member, not for
    each pair.  Overlap counts are added up over the blocks; pairs below a part of the overlap that their sizes imply are
-   discarded, and the rest held against their whole sets.  Columns of a pair may have different pivots, so this finds
+   discarded, as are those whose signatures of whole sets rule a link out, and the rest held against their whole sets.  Columns of a pair may have different pivots, so this finds
    most links inside such groups, and need not find all.
 4. The links found so far make components.  A column whose sets all lie in one component can't add a link and is
    dropped.  The others get another pivot, drawn by another hash, and sets of other components are multiplied with it;
@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -247,6 +248,43 @@ def verified(docs: DataFrame, pairs: DataFrame, total: int) -> DataFrame:
     return full.mapInArrow(run, out)
 
 
+def set_bits(columns: DataFrame, copies: DataFrame, named: int) -> DataFrame:
+    """(doc_id, n, bits) of each class's representative; n and bits are null where the id has several sets."""
+    own = replaced(columns.select("doc_id", "n", "bits"), "doc_id", copies, named)
+    ends = own.groupBy("doc_id").agg(*[f(c).alias(f"{name}_{c}") for name, f in (("low", F.min), ("high", F.max)) for c in ("n", "bits")])
+    one = (F.col("low_n") == F.col("high_n")) & (F.col("low_bits") == F.col("high_bits"))
+    return ends.select("doc_id", *[F.when(one, F.col(f"low_{c}")).alias(c) for c in ("n", "bits")])
+
+
+def plausible(pairs: DataFrame, total: int, bits: DataFrame) -> tuple[DataFrame, int]:
+    """Those of ``pairs`` (u, v; settled, ``total`` rows) whose whole sets' signatures allow a link, and their row count.
+
+    Signatures are a small part of a text, and only those of documents in pairs move; what has none stays.
+    """
+    if not total:
+        return pairs, 0
+    met, out = pairs, StructType([StructField("u", LongType()), StructField("v", LongType())])
+    for end, other in (("u", "v"), ("v", "u")):
+        counted = durable(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("k")))
+        some = members(counted.select(F.col(end).alias("doc_id")), bits)
+        groups = counted.join(some, F.col(end) == F.col("doc_id"), "left").select(end, "k", F.col("n").alias(f"n{end}"), F.col("bits").alias(f"b{end}"))
+        met = meet(met, groups, end, max(256, least_heavy(total)), [other], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.filter(pa.compute.and_(batch.column("bu").is_valid(), batch.column("bv").is_valid()))
+            rest_ = batch.filter(pa.compute.invert(pa.compute.and_(batch.column("bu").is_valid(), batch.column("bv").is_valid())))
+            yield _batch(out, [rest_.column("u"), rest_.column("v")])
+            if known.num_rows:
+                a, b = (np.frombuffer(b"".join(known.column(c).to_pylist()), dtype=np.uint64).reshape(-1, WHOLE) for c in ("bu", "bv"))
+                nu, nv = (known.column(c).to_numpy() for c in ("nu", "nv"))
+                lacks = lambda x, y: np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+                fit = np.minimum(nu - lacks(a, b), nv - lacks(b, a)) >= least_overlap(nu, nv)
+                yield _batch(out, [known.column("u").to_numpy()[fit], known.column("v").to_numpy()[fit]])
+
+    return settled(met.select("u", "v", "nu", "bu", "nv", "bv").mapInArrow(run, out))
+
+
 COLUMNS = StructType([StructField("doc_id", LongType()), StructField("set", LongType()), StructField("n", LongType()), StructField("columns", BinaryType()), StructField("bits", BinaryType())])
 
 
@@ -288,6 +326,18 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return h, np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
 
 
+def _short(h: np.ndarray) -> bytes:
+    """The upper six bytes of each hash; with its block, they tell a column from the others as well as all eight do."""
+    return h.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _long(raw: bytes, block: int) -> np.ndarray:
+    """Hashes from their upper bytes, the block's number in place of the lower ones."""
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, 2:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0] | np.uint64(block & 0xFFFF)
+
+
 def hot_blocks(rows: DataFrame, blocks: int) -> dict[int, int]:
     """Number of salts of each block that holds more than twice ``BLOCK`` columns: fewer than half of the blocks do."""
     counted = StructType([StructField("block", LongType()), StructField("k", LongType())])
@@ -340,12 +390,12 @@ def shared_columns(rows: DataFrame, blocks: int, hot: dict[int, int]) -> DataFra
             columns: list[list] = [[], [], [], []]
             for a, b in zip(cut, [*cut[1:], len(h)]):
                 who, local = np.unique(doc[a:b], return_inverse=True)
-                for to, x in zip(columns, (int(block[a]), int(salt[a]), h[a:b].tobytes(), np.uint32(len(who)).tobytes() + about[:, who].tobytes() + local.astype(np.uint16).tobytes())):
+                for to, x in zip(columns, (int(block[a]), int(salt[a]), _short(h[a:b]), np.uint32(len(who)).tobytes() + about[:, who].tobytes() + local.astype(np.uint16).tobytes())):
                     to.append(x)
             yield _batch(PACKED, columns)
 
     def find(table: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(x.as_py() for x in table.column("columns")), dtype=np.uint64)
+        h = _long(b"".join(x.as_py() for x in table.column("columns")), table.column("block")[0].as_py())
         docs, local, at = [], [], 0
         for x in table.column("docs"):
             raw = x.as_py()
@@ -563,7 +613,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns, at = written(first_columns(docs, levels), "ngram-columns")
     hot = hot_blocks(columns, blocks)
     shared, beside = written(shared_columns(columns, blocks, hot), "ngram-shared")
-    near, pairs = settled(replaced(replaced(pivot_pairs(shared, bool(hot)), "u", copies, named_so), "v", copies, named_so).where("u <> v").distinct())
+    bits, aside = written(set_bits(columns, copies, named_so), "ngram-bits")
+    near, pairs = plausible(*settled(replaced(replaced(pivot_pairs(shared, bool(hot)), "u", copies, named_so), "v", copies, named_so).where("u <> v").distinct()), bits)
     release(docs.sparkSession)
     found, known = settled(components(verified(docs, near, pairs).unionByName(same_id)))
     placed = replaced(shared.select("col", F.col("doc").alias("rep"), "n"), "rep", copies, named_so)
@@ -573,7 +624,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn in range(ROUNDS):
         if not entries:
             break
-        near, pairs = settled(turn_pairs(mixed, entries, turn))
+        near, pairs = plausible(*settled(turn_pairs(mixed, entries, turn)), bits)
         more, merged = settled(verified(docs, near, pairs))
         if not merged:
             break
@@ -584,13 +635,13 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if merged < LEAST_MERGED * before:
             break
     if entries:
-        bits = replaced(columns.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep", copies, named_so).groupBy("rep", "n").agg(F.min("bits").alias("low"), F.max("bits").alias("high"))
-        bits = bits.select("rep", "n", F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
-        counted = shared_counts(mixed, entries, bits).groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
+        own = bits.where("bits is not null").select(F.col("doc_id").alias("rep"), "n", "bits")
+        counted = shared_counts(mixed, entries, own).groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
         candidates, pairs = settled(enough(counted))
         if pairs:
             found, known = _merged(found, known, verified(docs, candidates, pairs))
     remove(docs.sparkSession, at)
+    remove(docs.sparkSession, aside)
     release(docs.sparkSession)
     # copies get their component with their class, so the class's smallest id needn't meet all of them
     of_class = replaced(classes, "rep", found, known).select("set_key", F.col("rep").alias("of_class"), "k")
