@@ -16,8 +16,9 @@ before is found from a range-partitioned order and a carried value for each part
 a third of all rows is spread over many tasks.
 
 ``others`` gives a row of kind ``turn`` for each turn that is neither of the user nor of the assistant (system turns,
-null and other roles), with its role and text as canonical JSON; ``format_all`` gives these and the exchanges, ordered by
-(conv_id, turn).  ``format_chats`` is the exchanges alone, as its SQL has them: there such turns have no row.
+null and other roles), with its role and text as canonical JSON, and one more for each repeated row; texts are taken whole
+and row by row, however long.  ``format_all`` gives these and the exchanges, so every turn of the table is in it; its rows
+are in no order.  ``format_chats`` is the exchanges alone.
 
 Defined cases: null conv_id is a conversation of its own; null turns sort first; a result without a call gives a row
 of kind ``orphan``; a call without a result has ``answered`` false; of repeated (conv_id, call_id) calls each is
@@ -280,7 +281,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for ``format_chats`` over ``conversations``, for tables without nulls or repeated turns."""
+    """DuckDB SQL for ``format_all`` over ``conversations``, for tables without nulls or repeated turns."""
     return """
 WITH seen AS (
   SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS before,
@@ -298,4 +299,7 @@ FROM paired
 UNION ALL
 SELECT conv_id, result_turn, answers, 'orphan', result_turn, false, NULL, false, 'no such call',
   '{"call":null,"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}'
-FROM results WHERE answers = 'none'"""
+FROM results WHERE answers = 'none'
+UNION ALL
+SELECT conv_id, turn, NULL, 'turn', NULL, false, NULL, true, NULL, '{"turn":{"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"text":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || '}}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')"""

@@ -28,7 +28,7 @@ def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_tool_call_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations"))
+    return chat.format_all(table(spark, sf_dir, "conversations"))
 
 
 def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
