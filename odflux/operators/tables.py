@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from odflux.operators import centrality, network, structure
 from odflux.operators.aggregates import endpoints, without_loops
+from odflux.operators.iterate import Iterates
 
 
-def centrality_table(edges: DataFrame, ranks: int = 8, rounds: int = 6) -> DataFrame:
-    """One row a node: strengths, PageRank, hub and authority scores, betweenness, eigenvector centrality.
+def centrality_table(edges: DataFrame) -> DataFrame:
+    """One row a node: strengths, PageRank, hub and authority scores, betweenness, eigenvector centrality, all settled.
 
-    An empty edge table gives an empty result."""
-    proper = without_loops(edges)
+    The edges are added up and stored once.  An empty edge table gives an empty result."""
+    steps = Iterates(edges.sparkSession, "centrality")
+    proper = steps.keep("edges", without_loops(edges).groupBy("o", "d").agg(F.sum("trips").alias("trips")))
     strength = lambda end, name: proper.groupBy(F.col(end).alias("zone_id")).agg(F.sum("trips").alias(name))
     out = endpoints(proper).select(F.col("id").alias("zone_id"))
     out = out.join(strength("o", "out_strength"), "zone_id", "left").join(strength("d", "in_strength"), "zone_id", "left").na.fill(0, ["out_strength", "in_strength"])
-    scores = (centrality.pagerank(edges, ranks).withColumnRenamed("rank", "pagerank"), centrality.hits(edges, rounds), network.betweenness(edges), centrality.eigenvector(edges, rounds))
+    scores = (centrality.settled_pagerank(proper).withColumnRenamed("rank", "pagerank"), centrality.settled_hits(proper), network.betweenness(proper), centrality.settled_eigenvector(proper))
     for score in scores:
         out = out.join(score, "zone_id", "left")
     return out
@@ -34,6 +36,8 @@ def node_analysis(edges: DataFrame, nodes: DataFrame, surprise: DataFrame) -> Da
     """The centrality table with core number, Leiden community, gravity surprise and the attributes of each zone.
 
     Nodes without a zone row, or whose cells the gravity model expects too little of, have nulls there."""
+    steps = Iterates(edges.sparkSession, "nodes")
+    edges = steps.keep("edges", edges.groupBy("o", "d").agg(F.sum("trips").alias("trips")))
     core = centrality.core_numbers(edges).withColumnRenamed("core", "coreness")
     part = network.communities(edges, "leiden").select("zone_id", F.col("community").alias("leiden_community"))
     fit = surprise.select("zone_id", F.col("surprise").alias("gravity_surprise"))

@@ -512,6 +512,11 @@ def common_part_of_commuters(spark, sf_dir):
     return rounded(interaction.common_part(order_furness(spark, sf_dir)))
 
 
+@query("SELECT round(sum(model * miles) / sum(model) - sum(obs * miles) / sum(obs), 6) AS gap FROM fm", FURNESS_SQL)
+def mean_miles_gap(spark, sf_dir):
+    return rounded(interaction.mean_miles_gap(order_furness(spark, sf_dir)))
+
+
 @query("SELECT o, d, obs, round(miles, 4) AS miles, round(model, 4) AS model, round(resid, 4) AS resid FROM res", RESID_SQL)
 def deviance_residuals(spark, sf_dir):
     return rounded(order_residuals(spark, sf_dir), 4)
@@ -605,11 +610,49 @@ def weak_components(spark, sf_dir):
     return centrality.weak_components(views.sparse_edges(spark, sf_dir))
 
 
-@query()
+def _core_sql(rounds: int) -> str:
+    """Core numbers by so many refinements of the degrees."""
+    out = "wk AS (SELECT o AS a, d AS b FROM p UNION SELECT d, o FROM p), k0 AS MATERIALIZED (SELECT a, count(*) AS k FROM wk GROUP BY a)"
+    for i in range(1, rounds + 1):
+        out += f", k{i} AS MATERIALIZED (SELECT a, least(max(k0_), max(least(i, kb))) AS k FROM (SELECT w.a, y.k AS k0_, x.k AS kb, row_number() OVER (PARTITION BY w.a ORDER BY x.k DESC) AS i FROM wk w JOIN k{i - 1} x ON x.a = w.b JOIN k{i - 1} y ON y.a = w.a) GROUP BY a)"
+    return out
+
+
+@query("SELECT a AS zone_id, CAST(k AS INTEGER) AS core FROM k25", f"{SPARSE_SQL}, {_core_sql(25)}")
 def kcore(spark, sf_dir):
     return centrality.core_numbers(views.sparse_edges(spark, sf_dir))
 
 
+@query("SELECT id AS zone_id, round(rank, 8) AS rank FROM r40", f"{SPARSE_SQL}, {_pagerank_sql(40)}")
+def pagerank_settled(spark, sf_dir):
+    return rounded(centrality.settled_pagerank(views.sparse_edges(spark, sf_dir), close=1e-13), 8)
+
+
+@query("SELECT id AS zone_id, round(coalesce(h, 0), 6) AS hub, round(coalesce(a, 0), 6) AS authority FROM ids LEFT JOIN h60 USING (id) LEFT JOIN a60 USING (id)", f"{SPARSE_SQL}, {_hits_sql(60)}")
+def hits_settled(spark, sf_dir):
+    return rounded(centrality.settled_hits(views.sparse_edges(spark, sf_dir)))
+
+
+@query("SELECT id AS zone_id, round(x, 6) AS eigenvector FROM x60", f"{SPARSE_SQL}, {_eigen_sql(60)}")
+def eigenvector_settled(spark, sf_dir):
+    return rounded(centrality.settled_eigenvector(views.sparse_edges(spark, sf_dir)))
+
+
+@query(
+    """SELECT (SELECT round(sum(least(a.trips, coalesce(b.trips, 0))) / sum(a.trips)::DOUBLE, 6) FROM p a LEFT JOIN p b ON a.o = b.d AND a.d = b.o) AS weighted_reciprocity,
+  (SELECT round((r - density) / nullif(1 - density, 0), 6) FROM (SELECT m / links::DOUBLE AS r, links / (n * (n - 1))::DOUBLE AS density FROM (
+    SELECT count(*) AS links, count(b.o) AS m, (SELECT count(*) FROM (SELECT o FROM p UNION SELECT d FROM p)) AS n FROM p a LEFT JOIN p b ON a.o = b.d AND a.d = b.o))) AS rho,
+  (SELECT round(avg(x), 6) FROM im) AS mean_imbalance, (SELECT round(median(x), 6) FROM im) AS median_imbalance,
+  (SELECT CASE WHEN max(ko) > min(ko) AND max(kd) > min(kd) THEN round(corr(ko, kd), 6) END FROM (SELECT count(*) OVER (PARTITION BY o) AS ko, count(*) OVER (PARTITION BY d) AS kd FROM p)) AS assortativity,
+  (SELECT CAST(max(k) AS INTEGER) FROM k25) AS max_kcore""",
+    f"{EDGES_SQL}, im AS (SELECT abs(a.trips - b.trips) / (a.trips + b.trips)::DOUBLE AS x FROM p a JOIN p b ON a.o = b.d AND a.d = b.o WHERE a.o < a.d), {_core_sql(25)}",
+)
+def structure_bundle(spark, sf_dir):
+    from odflux.operators import tables
+
+    return rounded(tables.structure_bundle(order_edges(spark, sf_dir)))
+
+
 # --- partitions given by attributes
 
 

@@ -162,11 +162,6 @@ def poisson_gravity(spark, sf_dir):
     return interaction.poisson_gravity(order_edges(spark, sf_dir), views.zones(spark, sf_dir))
 
 
-@query()
-def mean_miles_gap(spark, sf_dir):
-    return rounded(interaction.mean_miles_gap(order_furness(spark, sf_dir)))
-
-
 @query()
 def rhythm_kmeans(spark, sf_dir):
     """Clusters of the hourly profiles of users, with their size and peak hour."""
@@ -220,11 +215,6 @@ def centrality_table(spark, sf_dir):
     return rounded(tables.centrality_table(_sparse(spark, sf_dir)))
 
 
-@query()
-def structure_bundle(spark, sf_dir):
-    return rounded(tables.structure_bundle(order_edges(spark, sf_dir)))
-
-
 @query()
 def node_analysis(spark, sf_dir):
     surprise = interaction.surprise(order_residuals(spark, sf_dir))
