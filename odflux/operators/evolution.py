@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from odflux.functions.expressions import log_factorial, safe_corr, safe_ratio
 
 
-def modularity(pairs: DataFrame, part: DataFrame) -> DataFrame:
-    """Weighted modularity of a partition (zone_id, community) over undirected pairs (u, v, trips)."""
-    a = part.select(F.col("zone_id").alias("u"), F.col("community").alias("cu"))
-    b = part.select(F.col("zone_id").alias("v"), F.col("community").alias("cv"))
-    both = pairs.join(a, "u").join(b, "v")
+def modularity(pairs: DataFrame, part: DataFrame, *by: str) -> DataFrame:
+    """Weighted modularity of a partition (by, zone_id, community) over undirected pairs (by, u, v, trips), for each group of ``by``."""
+    keys = list(by)
+    a = part.select(*keys, F.col("zone_id").alias("u"), F.col("community").alias("cu"))
+    b = part.select(*keys, F.col("zone_id").alias("v"), F.col("community").alias("cv"))
+    both = pairs.join(a, [*keys, "u"]).join(b, [*keys, "v"])
     inside = F.when(F.col("cu") == F.col("cv"), F.col("trips")).otherwise(0)
     ends = F.explode(F.array(F.struct(F.col("cu").alias("g"), inside.alias("inside")), F.struct(F.col("cv").alias("g"), F.lit(0).cast("long").alias("inside"))))
-    rows = both.select(ends.alias("e"), "trips").groupBy("e.g").agg(F.sum("e.inside").alias("inside"), F.sum("trips").alias("degree"))
-    m = F.sum("degree").over(Window.partitionBy()) / 2.0
-    return rows.select((F.col("inside") / m - F.pow(F.col("degree") / (2 * m), F.lit(2.0))).alias("q")).agg(F.sum("q").alias("modularity"))
+    rows = both.select(*keys, ends.alias("e"), "trips").groupBy(*keys, "e.g").agg(F.sum("e.inside").alias("inside"), F.sum("trips").alias("degree"))
+    m = F.sum("degree").over(Window.partitionBy(*keys)) / 2.0
+    return rows.select(*keys, (F.col("inside") / m - F.pow(F.col("degree") / (2 * m), F.lit(2.0))).alias("q")).groupBy(*keys).agg(F.sum("q").alias("modularity"))
 
 
 def flow_matrix(edges: DataFrame, part: DataFrame) -> DataFrame:
@@ -121,6 +122,24 @@ def variation(yearly: DataFrame, metric: str) -> DataFrame:
     return yearly.agg(F.avg(metric).alias("mean"), F.min(metric).alias("min"), F.max(metric).alias("max"), F.try_divide(F.stddev_samp(metric), F.avg(F.abs(metric))).alias("cv"))
 
 
+def fixed_changes(yearly: DataFrame, metric: str, spans: list[tuple[int, int]]) -> DataFrame:
+    """(from_year, to_year, change_pct) of a metric between given years; null where a year is absent or its value 0."""
+    wanted = yearly.sparkSession.createDataFrame(spans, "from_year int, to_year int")
+    at = lambda name, value: yearly.select(F.col("yr").alias(name), F.col(metric).cast("double").alias(value))
+    met = wanted.join(at("from_year", "before"), "from_year", "left").join(at("to_year", "after"), "to_year", "left")
+    return met.select("from_year", "to_year", F.try_divide((F.col("after") - F.col("before")) * 100.0, F.col("before")).alias("change_pct"))
+
+
+def timeline(monthly: DataFrame, metric: str) -> DataFrame:
+    """(yr, mo, value, share_of_peak, is_least): one row for every month from the first to the last, those without trips 0."""
+    whole = monthly.select((F.col("yr") * 12 + F.col("mo") - 1).alias("m"), F.col(metric).alias("value")).groupBy("m").agg(F.sum("value").alias("value"))
+    months = whole.agg(F.min("m").alias("a"), F.max("m").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("m"))
+    every = Window.partitionBy()
+    filled = months.join(whole, "m", "left").na.fill(0, ["value"])
+    share = safe_ratio(F.col("value"), F.max("value").over(every))
+    return filled.select(F.floor(F.col("m") / 12).cast("int").alias("yr"), (F.col("m") % 12 + 1).cast("int").alias("mo"), "value", share.alias("share_of_peak"), (F.col("value") == F.min("value").over(every)).alias("is_least"))
+
+
 def base_index(yearly: DataFrame, metric: str, base: int) -> DataFrame:
     """100 at the base year."""
     at = F.max(F.when(F.col("yr") == base, F.col(metric))).over(Window.partitionBy())

@@ -175,7 +175,7 @@ def rhythm_kmeans(spark, sf_dir):
     return means.groupBy(F.col("prediction").alias("cluster")).agg(F.max("size").alias("size"), F.max_by("hr", F.struct("share", -F.col("hr"))).alias("peak_hour"))
 
 
-def _yearly_members(spark, sf_dir):
+def yearly_members(spark, sf_dir):
     """Leiden communities of each year: years run in parallel, one year's zone graph a group."""
     from odflux.kernels import graph as G
 
@@ -194,7 +194,7 @@ def _yearly_members(spark, sf_dir):
 
 @query()
 def community_alignment(spark, sf_dir):
-    return rounded(evolution.alignment(_yearly_members(spark, sf_dir)))
+    return rounded(evolution.alignment(yearly_members(spark, sf_dir)))
 
 
 @query()

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from odflux.operators import aggregates as A
-from odflux.operators import density, evolution, interaction, reach
+from odflux.operators import density, evolution, interaction, panel, reach
 from odflux.operators.iterate import Iterates
-from odflux.plans.catalog import CLEAN_SQL, DAYPART_SQL, EDGES_SQL, FURNESS_SQL, MILES_SQL, SPARSE_SQL, clean_orders, off_ties, order_edges, order_furness, query, rounded
+from odflux.plans.catalog import CLEAN_SQL, DAYPART_SQL, EDGES_SQL, FURNESS_SQL, MILES_SQL, ORACLES, SPARSE_SQL, clean_orders, off_ties, order_edges, order_furness, query, rounded
 from odflux.sources import store, views
 from odflux.streaming import hourly
 
@@ -287,3 +287,88 @@ def streamed_hourly_flows(spark, sf_dir):
 def appended_hourly_flows(spark, sf_dir):
     """Hours that the stream has closed, appended batch by batch."""
     return rounded(hourly.closed_hours(spark, sf_dir))
+
+
+# --- the whole panel
+
+PANEL_SQL = f"""{CURVES_SQL.replace(" AND mo <= 2", "")}, {views.ZONES}, {ORACLES["year_panel"].split(CLEAN_SQL + ", ", 1)[1].rsplit(chr(10) + "SELECT yr, n_edges", 1)[0].replace("ye AS", "yt AS", 1).replace("FROM ye", "FROM yt")},
+long AS (SELECT yr AS k, o, d, greatest({MILES_SQL}, 1e-9) AS len FROM ye JOIN zones a ON a.zone_id = o JOIN zones b ON b.zone_id = d WHERE {MILES_SQL} IS NOT NULL), {_doubled("long", 3)},
+wk AS (SELECT yr, o AS a, d AS b FROM ye UNION SELECT yr, d, o FROM ye), c0 AS MATERIALIZED (SELECT yr, a, count(*) AS k FROM wk GROUP BY ALL)"""
+for _i in range(1, 9):
+    PANEL_SQL += f", c{_i} AS MATERIALIZED (SELECT yr, a, least(max(own), max(least(i, kb))) AS k FROM (SELECT w.yr, w.a, y.k AS own, x.k AS kb, row_number() OVER (PARTITION BY w.yr, w.a ORDER BY x.k DESC) AS i FROM wk w JOIN c{_i - 1} x ON x.yr = w.yr AND x.a = w.b JOIN c{_i - 1} y ON y.yr = w.yr AND y.a = w.a) GROUP BY ALL)"
+
+
+@query(
+    """SELECT yr, n_edges, coalesce(n_nodes, 0)::BIGINT AS n_nodes, total_trips, self_trips, round(mean_dist, 6) AS mean_dist, round(density, 6) AS density, round(weighted_reciprocity, 6) AS weighted_reciprocity,
+  round((r - density) / nullif(1 - density, 0), 6) AS reciprocity_rho, round(degree_assortativity, 6) AS degree_assortativity, CAST(core AS INTEGER) AS max_kcore, round(coalesce(paths, 0) / (n_nodes * (n_nodes - 1)), 6) AS global_efficiency, round(schneider_r, 6) AS schneider_r
+FROM (SELECT *, n_edges / nullif(n_nodes * (n_nodes - 1), 0)::DOUBLE AS density FROM ysum LEFT JOIN ynodes USING (yr)) LEFT JOIN yrec USING (yr)
+LEFT JOIN (SELECT yr, max(k) AS core FROM c8 GROUP BY yr) USING (yr) LEFT JOIN (SELECT k AS yr, sum(1 / len) AS paths FROM m3 WHERE o <> d AND len > 0 GROUP BY k) USING (yr)
+LEFT JOIN (SELECT yr, avg(r) AS schneider_r FROM (SELECT yr, seed, avg(largest / n::DOUBLE) AS r FROM curve JOIN (SELECT DISTINCT yr, seed, n FROM ord) USING (yr, seed) GROUP BY ALL) GROUP BY yr) USING (yr)""",
+    PANEL_SQL,
+)
+def year_panel_structure(spark, sf_dir):
+    edges = Iterates(spark, "yearly").keep("edges", A.edges(clean_orders(spark, sf_dir), "yr"))
+    return rounded(panel.structure_panel(edges, views.zones(spark, sf_dir), SEEDS, EVERY))
+
+
+@query()
+def year_panel_full(spark, sf_dir):
+    """All seventeen measures of each year."""
+    from odflux.plans.networks import yearly_members
+
+    return rounded(panel.full_panel(A.edges(clean_orders(spark, sf_dir), "yr"), views.zones(spark, sf_dir), yearly_members(spark, sf_dir), low=-1.0))
+
+
+# --- small tables of years and months
+
+MONTHS_SQL = f"{CLEAN_SQL}, ym AS (SELECT yr, mo, count(*) AS trips FROM clean GROUP BY ALL)"
+
+
+@query("SELECT f AS from_year, t AS to_year, round((b.trips - a.trips) * 100.0::DOUBLE / a.trips, 6) AS change_pct FROM (VALUES (1995, 1997), (1997, 1998), (1998, 2001), (1990, 1995)) v(f, t) LEFT JOIN yv a ON a.yr = f LEFT JOIN yv b ON b.yr = t", f"{CLEAN_SQL}, yv AS (SELECT yr, count(*) AS trips FROM clean WHERE o <> d GROUP BY yr)")
+def fixed_point_changes(spark, sf_dir):
+    volumes = clean_orders(spark, sf_dir).where("o <> d").groupBy("yr").agg(F.count(F.lit(1)).alias("trips"))
+    return rounded(evolution.fixed_changes(volumes, "trips", [(1995, 1997), (1997, 1998), (1998, 2001), (1990, 1995)]))
+
+
+@query(
+    "SELECT CAST(m // 12 AS INTEGER) AS yr, CAST(m % 12 + 1 AS INTEGER) AS mo, coalesce(trips, 0)::BIGINT AS value, round(coalesce(trips, 0) / (max(coalesce(trips, 0)) OVER ())::DOUBLE, 6) AS share_of_peak, coalesce(trips, 0) = min(coalesce(trips, 0)) OVER () AS is_least FROM (SELECT unnest(range((SELECT min(yr * 12 + mo - 1) FROM ym), (SELECT max(yr * 12 + mo) FROM ym))) AS m) LEFT JOIN ym ON m = yr * 12 + mo - 1",
+    MONTHS_SQL,
+)
+def monthly_timeline(spark, sf_dir):
+    monthly = clean_orders(spark, sf_dir).groupBy("yr", "mo").agg(F.count(F.lit(1)).alias("trips"))
+    return rounded(evolution.timeline(monthly, "trips"))
+
+
+@query("SELECT CAST(week(ts) AS INTEGER) AS week, CAST(day(ts) AS INTEGER) AS day, CAST(dayofyear(ts) AS INTEGER) AS day_of_year, count(*) AS events FROM events GROUP BY ALL")
+def calendar_counts(spark, sf_dir):
+    return views.read(spark, sf_dir, "events").groupBy(F.weekofyear("ts").alias("week"), F.dayofmonth("ts").alias("day"), F.dayofyear("ts").alias("day_of_year")).agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("SELECT o, d, trips, rank FROM (SELECT o, d, trips, CAST(row_number() OVER (ORDER BY trips DESC, o, d) AS INTEGER) AS rank FROM p) WHERE rank <= 40", EDGES_SQL)
+def top_edges_overall(spark, sf_dir):
+    """The forty strongest edges over all years; a sort that keeps forty rows, then their ranks."""
+    top = A.without_loops(order_edges(spark, sf_dir)).select("o", "d", "trips").orderBy(F.desc("trips"), "o", "d").limit(40)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("trips"), "o", "d")))
+
+
+@query("SELECT degree, count(*) AS nodes FROM (SELECT id, count(*) AS degree FROM (SELECT o AS id FROM top UNION ALL SELECT d FROM top) GROUP BY id) GROUP BY degree", _main_flows(3))
+def degree_sequence(spark, sf_dir):
+    ends = main_flows(spark, sf_dir, 3).select(F.explode(F.array("o", "d")).alias("id"))
+    return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")).groupBy("degree").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query("SELECT yr, mo, CASE WHEN trips >= 5 THEN 'frequent' ELSE 'infrequent' END AS class, count(*) AS edges, sum(trips)::BIGINT AS trips, count(DISTINCT o) AS origins FROM (SELECT yr, mo, o, d, count(*) AS trips FROM clean WHERE o <> d GROUP BY ALL) GROUP BY ALL", CLEAN_SQL)
+def monthly_frequency_split(spark, sf_dir):
+    """Frequent and other edges of each month's graph."""
+    kind = F.when(F.col("trips") >= 5, "frequent").otherwise("infrequent").alias("class")
+    monthly = A.edges(clean_orders(spark, sf_dir), "yr", "mo").where("o <> d")
+    return monthly.groupBy("yr", "mo", kind).agg(F.count(F.lit(1)).alias("edges"), F.sum("trips").alias("trips"), F.count_distinct("o").alias("origins"))
+
+
+@query("SELECT hr, count(*) AS trips, round(avg(value), 6) AS mean_value, round(stddev_samp(value), 6) AS sd_value, round(sum(value * n) / sum(n), 6) AS weighted_value FROM (SELECT hr, value, count(*) OVER (PARTITION BY o, d) AS n FROM ev) GROUP BY hr", views.EVENT_TRIPS)
+def hourly_weighted_summary(spark, sf_dir):
+    """Mean value by hour, plain and weighted by the trips of each trip's edge."""
+    trips = views.event_trips(spark, sf_dir).select("o", "d", "hr", "value")
+    weight = trips.groupBy("o", "d").agg(F.count(F.lit(1)).alias("n"))
+    met = trips.join(weight, ["o", "d"])
+    return rounded(met.groupBy("hr").agg(F.count(F.lit(1)).alias("trips"), F.avg("value").alias("mean_value"), F.stddev_samp("value").alias("sd_value"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("weighted_value")))

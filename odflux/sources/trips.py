@@ -27,10 +27,25 @@ def describe(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, name string, type string, is_coordinate boolean")
 
 
-def listing(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, bytes, valid) of files: valid ones have at least a mebibyte and end in the Parquet magic."""
-    files = spark.read.format("binaryFile").load(pattern)
-    return files.select("path", F.col("length").alias("bytes"), ((F.col("length") >= 1 << 20) & (F.expr("right(content, 4)") == F.lit(b"PAR1"))).alias("valid"))
+def listing(spark: SparkSession, pattern: str, least: int = 1 << 20) -> DataFrame:
+    """(path, bytes, valid) of files: valid ones have at least ``least`` bytes and end in the Parquet magic.
+
+    Lengths come from the file listing; of a file long enough only its last four bytes are read, at their position, whatever
+    store it is in.  Files are those of a download run, a few hundred."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("bytes"))
+    tails = [(r["path"], r["bytes"], r["bytes"] >= max(4, least) and _tail(spark, r["path"], r["bytes"]) == b"PAR1") for r in files.collect()]
+    return spark.createDataFrame(tails, "path string, bytes long, valid boolean")
+
+
+def _tail(spark: SparkSession, path: str, length: int) -> bytes:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(sc._jsc.hadoopConfiguration()).open(at)
+    try:
+        stream.seek(length - 4)
+        return bytes(stream.read() for _ in range(4))
+    finally:
+        stream.close()
 
 
 def wanted_months(spark: SparkSession, years: list[int], present: DataFrame) -> DataFrame:
