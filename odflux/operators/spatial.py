@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odflux.operators.interaction import nearest
+from odflux.operators.iterate import Iterates
 
 
 def in_box(points: DataFrame, x0: float, x1: float, y0: float, y1: float, x: str = "cx_ft", y: str = "cy_ft") -> DataFrame:
@@ -92,3 +93,82 @@ def dissolve(cells: DataFrame, by: str) -> DataFrame:
     edges = cells.select(by, F.explode(sides).alias("s")).groupBy(by, "s").agg(F.count(F.lit(1)).alias("n"))
     outline = edges.where("n = 1").groupBy(by).agg(F.count(F.lit(1)).alias("perimeter"))
     return cells.groupBy(by).agg(F.count(F.lit(1)).alias("area")).join(outline, by)
+
+
+def _turn(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """How far left of an incoming direction a an outgoing direction b turns, from a half turn right to one left."""
+    cross, dot = ax * by - ay * bx, ax * bx + ay * by
+    return F.atan2(cross, dot)
+
+
+def split_at_corners(segments: DataFrame, cell: float) -> DataFrame:
+    """Directed segments (by, x0, y0, x1, y1) cut wherever a corner of the same ``by`` lies inside them.
+
+    Corners and segments meet by the grid squares of ``cell`` that a segment's box touches."""
+    square = lambda c: F.floor(F.col(c) / cell)
+    along = lambda a, b: F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))
+    numbered = segments.select("by", "x0", "y0", "x1", "y1").distinct()
+    spread = numbered.withColumn("gx", F.explode(along("x0", "x1"))).withColumn("gy", F.explode(along("y0", "y1")))
+    corners = segments.select("by", F.col("x0").alias("x"), F.col("y0").alias("y")).union(segments.select("by", "x1", "y1")).distinct().withColumns({"gx": square("x"), "gy": square("y")})
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    t = (F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy
+    on = ((F.col("x") - F.col("x0")) * dy - (F.col("y") - F.col("y0")) * dx == 0) & (t > 0) & (t < dx * dx + dy * dy)
+    cuts = spread.join(corners, ["by", "gx", "gy"]).where(on).groupBy("by", "x0", "y0", "x1", "y1").agg(F.sort_array(F.collect_set(F.struct(t.alias("t"), "x", "y"))).alias("cuts"))
+    met = segments.join(cuts, ["by", "x0", "y0", "x1", "y1"], "left")
+    inner = F.coalesce(F.transform("cuts", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))), F.array().cast("array<struct<x:double,y:double>>"))
+    points = F.concat(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"))), inner, F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))))
+    pieces = met.select("by", points.alias("p")).select("by", F.explode(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("a"), F.slice("p", F.lit(2), F.size("p") - 1).alias("b"))).alias("s"))
+    return pieces.select("by", F.col("s.a.x").alias("x0"), F.col("s.a.y").alias("y0"), F.col("s.b.x").alias("x1"), F.col("s.b.y").alias("y1"))
+
+
+def outlines(polygons: DataFrame, cell: float) -> DataFrame:
+    """Directed boundary segments of the union of each group's polygons (by, xs, ys), which don't overlap; the inside is on
+    the left.  A segment that two polygons have in opposite directions is inside the union and cancels.
+
+    A polygon's corners may run either way round; rings of holes are rows of their own, with ``hole`` true."""
+    after = lambda c: F.concat(F.slice(c, F.lit(2), F.size(c) - 1), F.slice(c, 1, 1))
+    sides = F.arrays_zip(F.col("xs").alias("x0"), F.col("ys").alias("y0"), after("xs").alias("x1"), after("ys").alias("y1"))
+    area = F.aggregate(sides, F.lit(0.0), lambda s, e: s + e["x0"] * e["y1"] - e["x1"] * e["y0"])
+    ways = polygons.select("by", F.explode(sides).alias("s"), ((area < 0) != F.col("hole")).alias("back"))
+    one = lambda a, b: F.when(F.col("back"), F.col(f"s.{b}")).otherwise(F.col(f"s.{a}"))
+    directed = ways.select("by", one("x0", "x1").alias("x0"), one("y0", "y1").alias("y0"), one("x1", "x0").alias("x1"), one("y1", "y0").alias("y1")).where("x0 <> x1 or y0 <> y1")
+    cut = split_at_corners(directed, cell)
+    ahead = F.struct("x0", "y0") < F.struct("x1", "y1")
+    ends = [F.when(ahead, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("x0", "x1", "ax"), ("y0", "y1", "ay"), ("x1", "x0", "bx"), ("y1", "y0", "by_"))]
+    net = cut.select("by", *ends, F.when(ahead, 1).otherwise(-1).alias("way")).groupBy("by", "ax", "ay", "bx", "by_").agg(F.sum("way").alias("net")).where("net <> 0")
+    flip = lambda a, b: F.when(F.col("net") > 0, F.col(a)).otherwise(F.col(b))
+    return net.select("by", flip("ax", "bx").alias("x0"), flip("ay", "by_").alias("y0"), flip("bx", "ax").alias("x1"), flip("by_", "ay").alias("y1"))
+
+
+def rings(boundary: DataFrame) -> DataFrame:
+    """(by, ring, points, area): the rings that directed boundary segments form, in order from their least corner; outer
+    rings have a positive area and holes a negative one.
+
+    Each segment is followed by that which turns farthest left of those that leave its end: parts that touch at a corner
+    stay apart, and a hole that touches the outline at a corner is a part of it.  Rings are found by pointer doubling: rounds grow with the logarithm of the longest ring."""
+    steps = Iterates(boundary.sparkSession, "rings")
+    key = F.struct("x0", "y0", "x1", "y1")
+    sides = steps.keep("sides", boundary.select("by", key.alias("e"), "x0", "y0", "x1", "y1"))
+    out = sides.select("by", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("e").alias("f"))
+    turn = _turn(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("f.x1") - F.col("x1"), F.col("f.y1") - F.col("y1"))
+    follow = sides.join(out, ["by", "x1", "y1"]).where("not (f.x1 = x0 and f.y1 = y0)").groupBy("by", "e").agg(F.max_by("f", turn).alias("next"))
+    # the least segment of the ring, as far as seen, and how many steps on it lies
+    state = steps.keep("state", follow.select("by", "e", "next", F.col("e").alias("least"), F.lit(0).cast("long").alias("at"), F.lit(1).cast("long").alias("jump")))
+    longest = state.groupBy("by").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(max(1, int(longest)).bit_length()):
+        ahead = state.select("by", F.col("e").alias("next"), F.col("next").alias("next2"), F.col("least").alias("least2"), F.col("at").alias("at2"))
+        met = state.join(ahead, ["by", "next"])
+        lower = F.col("least2") < F.col("least")
+        state = steps.keep("state", met.select("by", "e", F.col("next2").alias("next"), F.least("least", "least2").alias("least"), F.when(lower, F.col("jump") + F.col("at2")).otherwise(F.col("at")).alias("at"), (F.col("jump") * 2).alias("jump")))
+    size = Window.partitionBy("by", "least")
+    placed = state.select("by", "least", "e", F.pmod(-F.col("at"), F.count(F.lit(1)).over(size)).alias("place"))
+    shoelace = F.sum(F.col("e.x0") * F.col("e.y1") - F.col("e.x1") * F.col("e.y0")) / 2
+    made = placed.groupBy("by", "least").agg(F.sort_array(F.collect_list(F.struct("place", F.col("e.x0").alias("x"), F.col("e.y0").alias("y")))).alias("p"), shoelace.alias("area"))
+    result = steps.keep("rings", made.select("by", F.struct(F.col("least.x0").alias("x"), F.col("least.y0").alias("y")).alias("ring"), F.transform("p", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("points"), "area"))
+    steps.result("rings")
+    return result
+
+
+def dissolve_polygons(polygons: DataFrame, cell: float) -> DataFrame:
+    """(by, ring, points, area) of the unions of polygons (by, xs, ys, hole); see ``outlines`` and ``rings``."""
+    return rings(outlines(polygons, cell))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from odflux.operators import aggregates as A
-from odflux.operators import density, evolution, interaction, panel, reach
+from odflux.operators import density, evolution, interaction, panel, reach, spatial
 from odflux.operators.iterate import Iterates
 from odflux.plans.catalog import CLEAN_SQL, DAYPART_SQL, EDGES_SQL, FURNESS_SQL, MILES_SQL, ORACLES, SPARSE_SQL, clean_orders, off_ties, order_edges, order_furness, query, rounded
 from odflux.sources import store, views
@@ -372,3 +372,34 @@ def hourly_weighted_summary(spark, sf_dir):
     weight = trips.groupBy("o", "d").agg(F.count(F.lit(1)).alias("n"))
     met = trips.join(weight, ["o", "d"])
     return rounded(met.groupBy("hr").agg(F.count(F.lit(1)).alias("trips"), F.avg("value").alias("mean_value"), F.stddev_samp("value").alias("sd_value"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("weighted_value")))
+
+
+# --- polygons dissolved
+
+BRICKS_SQL = """bricks AS (SELECT r_name AS borough, 2 * (n_nationkey % 5) + 0.75 * ((n_nationkey // 5) % 2) AS x, n_nationkey // 5 AS y FROM nation JOIN region ON n_regionkey = r_regionkey),
+flat AS (SELECT borough, x + 0.25 * i AS a, y AS b, 0.25::DOUBLE AS len, 0 AS kind FROM bricks, unnest(range(8)) t(i) UNION ALL SELECT borough, x + 0.5 + 0.25 * i, y + 1, 0.25, 0 FROM bricks, unnest(range(8)) t(i)
+  UNION ALL SELECT borough, x, y, sqrt(1.25), 1 FROM bricks UNION ALL SELECT borough, x + 2, y, sqrt(1.25), 1 FROM bricks),
+rim AS (SELECT borough, sum(len) AS perimeter FROM (SELECT borough, any_value(len) AS len FROM flat GROUP BY borough, kind, a, b HAVING count(*) = 1) GROUP BY borough)"""
+
+
+def bricks(spark, sf_dir):
+    """A slanted brick for each nation, laid in rows that are shifted, so that corners lie inside sides."""
+    zones = views.read(spark, sf_dir, "nation").join(views.read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = F.col("n_nationkey")
+    row = F.floor(n / 5)
+    x, y = (2 * (n % 5) + 0.75 * (row % 2)).cast("double"), row.cast("double")
+    return zones.select(F.col("r_name").alias("by"), F.array(x, x + 2, x + 2.5, x + 0.5).alias("xs"), F.array(y, y, y + 1, y + 1).alias("ys"), F.lit(False).alias("hole"))
+
+
+@query("SELECT borough, round(2.0 * count(*), 6) AS area, round(any_value(perimeter), 6) AS perimeter FROM bricks JOIN rim USING (borough) GROUP BY borough", BRICKS_SQL)
+def dissolve_regions(spark, sf_dir):
+    """Area and length of outline of the regions that the nations' bricks make."""
+    rim = Iterates(spark, "outlines").keep("rim", spatial.outlines(bricks(spark, sf_dir), 2.0))
+    area = spatial.rings(rim).groupBy("by").agg(F.sum("area").alias("area"))
+    length = rim.groupBy("by").agg(F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("perimeter"))
+    return rounded(area.join(length, "by").withColumnRenamed("by", "borough"))
+
+
+@query()
+def dissolve_rings(spark, sf_dir):
+    return spatial.dissolve_polygons(bricks(spark, sf_dir), 2.0)
