@@ -47,7 +47,7 @@ def settled_pagerank(edges: DataFrame, damping: float = 0.85, close: float = 1e-
     share = steps.keep("share", proper.join(out, "o").select(F.col("o").alias("id"), "d", (F.col("trips") / F.col("out")).alias("share")))
     ids = steps.keep("ids", endpoints(proper).join(out.select(F.col("o").alias("id"), F.lit(False).alias("loose")), "id", "left").na.fill(True, ["loose"]))
     n, loose = ids.agg(F.count(F.lit(1)), F.count_if("loose")).first()
-    rank, loose = ids.select("id", "loose", F.lit(1 / max(1, n)).alias("rank")), loose / max(1, n)
+    rank, loose = steps.keep("rank", ids.select("id", "loose", F.lit(1 / max(1, n)).alias("rank"))), loose / max(1, n)
     for _ in range(most if n else 0):
         flow = share.join(rank.select("id", "rank"), "id").groupBy(F.col("d").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
         new = F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("flow", F.lit(0.0))

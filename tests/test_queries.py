@@ -8,7 +8,7 @@ import pytest
 from odflux.plans import networks, reaching  # noqa: F401  they register their queries
 from odflux.plans.catalog import ORACLES, QUERIES
 
-PLAIN = sorted(set(QUERIES) - set(ORACLES) - {"gravity_by_year"})  # that one has a test against bisection below
+PLAIN = sorted(set(QUERIES) - set(ORACLES) - {"gravity_by_year", "year_panel_full"})  # a test against bisection is below
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -61,7 +61,7 @@ def bisected(t, miles):
     return low, 2 * np.minimum(m, t).sum() / (m.sum() + t.sum())
 
 
-def test_calibration_of_all_years_equals_bisection_of_each(spark, sf_dir):
+def test_whole_panel_equals_its_parts_and_bisection_of_each_year(spark, sf_dir):
     from odflux.operators import aggregates
     from odflux.plans.catalog import clean_orders
     from odflux.sources import views
@@ -73,7 +73,14 @@ def test_calibration_of_all_years_equals_bisection_of_each(spark, sf_dir):
     for r in aggregates.edges(clean_orders(spark, sf_dir), "yr").collect():
         if r["o"] in at and r["d"] in at:
             trips.setdefault(r["yr"], np.zeros(miles.shape))[ids.index(r["o"]), ids.index(r["d"])] = r["trips"]
-    got = {r["yr"]: (r["beta"], r["cpc"]) for r in QUERIES["gravity_by_year"](spark, sf_dir).collect()}
+    rows = {r["yr"]: r for r in QUERIES["year_panel_full"](spark, sf_dir).collect()}
+    for r in QUERIES["year_panel"](spark, sf_dir).collect():
+        assert all(rows[r["yr"]][c] == r[c] for c in r.asDict())
+    for r in rows.values():
+        assert 0 < r["global_efficiency"] and 0 < r["schneider_r"] <= 1 and 0 < r["max_kcore"] < r["n_nodes"] and r["n_communities"] >= 1 and -0.5 <= r["modularity_q"] <= 1
+        hubs = [int(h.split(":")[2]) for h in r["top_hubs"].split(",")]
+        assert len(hubs) == 3 and hubs == sorted(hubs, reverse=True)
+    got = {yr: (r["gravity_beta"], r["gravity_cpc"]) for yr, r in rows.items()}
     assert set(got) == set(trips) and any(b is not None for b, _ in got.values())
     for yr, t in trips.items():
         beta, cpc = bisected(t, miles)
