@@ -259,22 +259,24 @@ def set_bits(columns: DataFrame, copies: DataFrame, named: int) -> DataFrame:
 def plausible(pairs: DataFrame, total: int, bits: DataFrame) -> tuple[DataFrame, int]:
     """Those of ``pairs`` (u, v; settled, ``total`` rows) whose whole sets' signatures allow a link, and their row count.
 
-    Signatures are a small part of a text, and only those of documents in pairs move; what has none stays.
+    Signatures are a small part of a text, and only those of documents in pairs move, up to ``LOOK_UP`` of them by
+    broadcast; what has none stays.
     """
     if not total:
         return pairs, 0
-    met, out = pairs, StructType([StructField("u", LongType()), StructField("v", LongType())])
-    for end, other in (("u", "v"), ("v", "u")):
-        counted = durable(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("k")))
-        some = members(counted.select(F.col(end).alias("doc_id")), bits)
-        groups = counted.join(some, F.col(end) == F.col("doc_id"), "left").select(end, "k", F.col("n").alias(f"n{end}"), F.col("bits").alias(f"b{end}"))
-        met = meet(met, groups, end, max(256, least_heavy(total)), [other], "left")
+    out = StructType([StructField("u", LongType()), StructField("v", LongType())])
+    ids = durable(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+    some, rows = settled(members(ids, bits))
+    some = F.broadcast(some) if rows <= LOOK_UP else some
+    met = pairs
+    for end in ("u", "v"):
+        met = met.join(some.select(F.col("doc_id").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"b{end}")), end, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = batch.filter(pa.compute.and_(batch.column("bu").is_valid(), batch.column("bv").is_valid()))
-            rest_ = batch.filter(pa.compute.invert(pa.compute.and_(batch.column("bu").is_valid(), batch.column("bv").is_valid())))
-            yield _batch(out, [rest_.column("u"), rest_.column("v")])
+            both = pa.compute.and_(batch.column("bu").is_valid(), batch.column("bv").is_valid())
+            known, unknown = batch.filter(both), batch.filter(pa.compute.invert(both))
+            yield _batch(out, [unknown.column("u"), unknown.column("v")])
             if known.num_rows:
                 a, b = (np.frombuffer(b"".join(known.column(c).to_pylist()), dtype=np.uint64).reshape(-1, WHOLE) for c in ("bu", "bv"))
                 nu, nv = (known.column(c).to_numpy() for c in ("nu", "nv"))
@@ -338,6 +340,16 @@ def _long(raw: bytes, block: int) -> np.ndarray:
     return out.view(np.uint64)[:, 0] | np.uint64(block & 0xFFFF)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Rows of 64-bit numbers by their bytes, the lowest of all first: small numbers leave runs of zeros, which compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8).transpose(0, 2, 1).tobytes()
+
+
+def _from_planes(raw: bytes, rows: int, size: int, at: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, 8 * rows * size, at).reshape(rows, 8, size)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(rows, size)
+
+
 def hot_blocks(rows: DataFrame, blocks: int) -> dict[int, int]:
     """Number of salts of each block that holds more than twice ``BLOCK`` columns: fewer than half of the blocks do."""
     counted = StructType([StructField("block", LongType()), StructField("k", LongType())])
@@ -389,8 +401,8 @@ def shared_columns(rows: DataFrame, blocks: int, hot: dict[int, int]) -> DataFra
             cut = _runs(block * (1 + salts.max()) + salt)
             columns: list[list] = [[], [], [], []]
             for a, b in zip(cut, [*cut[1:], len(h)]):
-                who, local = np.unique(doc[a:b], return_inverse=True)
-                for to, x in zip(columns, (int(block[a]), int(salt[a]), _short(h[a:b]), np.uint32(len(who)).tobytes() + about[:, who].tobytes() + local.astype(np.uint16).tobytes())):
+                who, count = np.unique(doc[a:b], return_counts=True)
+                for to, x in zip(columns, (int(block[a]), int(salt[a]), _short(h[a:b]), np.uint32(len(who)).tobytes() + _planes(np.concatenate([about[:, who], count[None]])))):
                     to.append(x)
             yield _batch(PACKED, columns)
 
@@ -400,8 +412,9 @@ def shared_columns(rows: DataFrame, blocks: int, hot: dict[int, int]) -> DataFra
         for x in table.column("docs"):
             raw = x.as_py()
             size = int(np.frombuffer(raw, np.uint32, 1)[0])
-            docs.append(np.frombuffer(raw, np.int64, 3 * size, 4).reshape(3, size))
-            local.append(np.frombuffer(raw, np.uint16, -1, 4 + 24 * size).astype(np.int64) + at)
+            part = _from_planes(raw, 4, size, 4)
+            docs.append(part[:3])
+            local.append(np.repeat(np.arange(size) + at, part[3]))
             at += size
         about, doc = np.concatenate(docs, axis=1), np.concatenate(local)
         order = np.argsort(h, kind="stable")
