@@ -161,6 +161,17 @@ def sweep_summary(sweep: DataFrame, column: str = "wcc_frac") -> DataFrame:
     )
 
 
+def attack_gap(attacks: DataFrame, failures: DataFrame, at: float = 0.1) -> DataFrame:
+    """One row at the swept fraction nearest ``at``: what random failure leaves of trips and efficiency, what the worst attack
+    leaves (the one that leaves fewest trips, the first by name among equals), and the gap between their trips."""
+    near = lambda df: df.withColumn("_far", F.abs(F.col("f") - at)).groupBy("strategy").agg(F.min_by(F.struct("f", "trip_frac", "eff_frac"), F.struct("_far", "f")).alias("p")).select("strategy", "p.*")
+    worst = near(attacks).agg(F.min_by(F.struct("strategy", "trip_frac", "eff_frac"), F.struct("trip_frac", "strategy")).alias("w"))
+    random = near(failures.where("strategy = 'random'")).select("f", F.col("trip_frac").alias("random_trip_frac"), F.col("eff_frac").alias("random_eff_frac"))
+    return random.join(worst).select(
+        "f", "random_trip_frac", "random_eff_frac", F.col("w.strategy").alias("worst_attack"), F.col("w.trip_frac").alias("attack_trip_frac"), F.col("w.eff_frac").alias("attack_eff_frac"), (F.col("random_trip_frac") - F.col("w.trip_frac")).alias("trip_frac_gap")
+    )
+
+
 def cascades(edges: DataFrame, tolerances: list[float]) -> DataFrame:
     ids, trips = matrix(edges)
     schema = "alpha double, g_wcc double, failed long, failed_frac double, flow_frac double, injectors long, absorbers long, steps long"

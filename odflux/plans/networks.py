@@ -57,6 +57,12 @@ def schneider_critical_f(spark, sf_dir):
     return network.sweep_summary(network.targeted_attacks(order_edges(spark, sf_dir)))
 
 
+@query()
+def attack_against_failure(spark, sf_dir):
+    edges = _sparse(spark, sf_dir)
+    return rounded(network.attack_gap(network.targeted_attacks(edges).unionByName(network.recomputed_attack(edges)), network.random_failure(edges, 100, 20)))
+
+
 @query()
 def cascade(spark, sf_dir):
     return network.cascades(order_edges(spark, sf_dir), [0.0, 0.1, 0.2, 0.5, 1.0, 2.0])

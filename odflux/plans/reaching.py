@@ -68,7 +68,7 @@ def yearly_links(spark, sf_dir):
     return A.edges(clean_orders(spark, sf_dir).where("mo <= 2"), "yr")
 
 
-@query("SELECT yr, seed, gone, largest, n FROM curve JOIN (SELECT DISTINCT yr, seed, n FROM ord) USING (yr, seed)", CURVES_SQL)
+@query("SELECT yr, CAST(seed AS INTEGER) AS seed, CAST(gone AS INTEGER) AS gone, largest, n FROM curve JOIN (SELECT DISTINCT yr, seed, n FROM ord) USING (yr, seed)", CURVES_SQL)
 def scc_failure_curves(spark, sf_dir):
     return reach.failure_curves(yearly_links(spark, sf_dir), SEEDS, EVERY, "yr")
 
@@ -391,7 +391,7 @@ def bricks(spark, sf_dir):
     return zones.select(F.col("r_name").alias("by"), F.array(x, x + 2, x + 2.5, x + 0.5).alias("xs"), F.array(y, y, y + 1, y + 1).alias("ys"), F.lit(False).alias("hole"))
 
 
-@query("SELECT borough, round(2.0 * count(*), 6) AS area, round(any_value(perimeter), 6) AS perimeter FROM bricks JOIN rim USING (borough) GROUP BY borough", BRICKS_SQL)
+@query("SELECT borough, round(2.0::DOUBLE * count(*), 6) AS area, round(any_value(perimeter), 6) AS perimeter FROM bricks JOIN rim USING (borough) GROUP BY borough", BRICKS_SQL)
 def dissolve_regions(spark, sf_dir):
     """Area and length of outline of the regions that the nations' bricks make."""
     rim = Iterates(spark, "outlines").keep("rim", spatial.outlines(bricks(spark, sf_dir), 2.0))

@@ -111,3 +111,11 @@ def test_valid_files_are_told_by_their_last_bytes(spark, tmp_path):
 def test_betweenness_of_a_path(spark):
     df = spark.createDataFrame([(1, 2, 1), (2, 3, 1)], "o int, d int, trips long")
     assert {r["zone_id"]: r["betweenness"] for r in network.betweenness(df).collect()} == {1: 0.0, 2: 0.5, 3: 0.0}
+
+
+def test_gap_of_the_worst_attack(spark):
+    schema = "strategy string, f double, trip_frac double, eff_frac double"
+    attacks = spark.createDataFrame([("a", 0.1, 0.5, 0.4), ("a", 0.2, 0.0, 0.0), ("b", 0.1, 0.3, 0.6), ("b", 0.08, 0.9, 0.9)], schema)
+    failures = spark.createDataFrame([("random", 0.1, 0.8, 0.7), ("random", 0.0, 1.0, 1.0)], schema)
+    r = network.attack_gap(attacks, failures).first()
+    assert (r["worst_attack"], r["attack_trip_frac"], r["attack_eff_frac"], r["random_trip_frac"]) == ("b", 0.3, 0.6, 0.8) and r["trip_frac_gap"] == pytest.approx(0.5)
