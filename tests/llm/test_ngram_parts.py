@@ -1,0 +1,45 @@
+"""Parts of the n-gram join: what is packed comes back, and signatures rule out no link."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from odflux.llm import _common, ngram_join
+
+
+def prose(seed, n):
+    return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 500, size=n))
+
+
+@pytest.mark.parametrize("size", [0, 1, 7])
+def test_byte_planes_come_back(size):
+    x = np.random.default_rng(3).integers(-(2**62), 2**62, size=(4, size))
+    x[1] = np.arange(size)
+    raw = b"abcd" + ngram_join._planes(x)
+    assert (ngram_join._from_planes(raw, 4, size, 4) == x).all()
+
+
+def test_short_hashes_keep_their_upper_bytes_and_tell_blocks():
+    h = np.random.default_rng(4).integers(0, 2**63, size=1000, dtype=np.uint64)
+    back = ngram_join._long(ngram_join._short(h), 7)
+    assert (back >> np.uint64(16) == h >> np.uint64(16)).all() and (back & np.uint64(0xFFFF) == 7).all()
+    assert len(np.unique(back)) == len(np.unique(h))
+
+
+def test_signatures_rule_out_no_link_and_most_strangers(spark):
+    texts = {i: prose(i, 200) for i in range(12)}
+    words = texts[0].split()
+    texts |= {20: " ".join([*words[:5], "x", *words[6:]]), 21: " ".join([*words[:60], "y", "z", *words[62:]])}
+    shingles = ngram_join.Shingler()
+    sets = {i: shingles(t) for i, t in texts.items()}
+    rows = [(i, len(h), bytearray(ngram_join.whole_signature(h))) for i, h in sets.items()] + [(30, None, None)]
+    bits, _path = _common.written(spark.createDataFrame(rows, "doc_id long, n long, bits binary"), "bits")
+    all_pairs = [(u, v) for u in sets for v in sets if u < v] + [(1, 30), (30, 31)]
+    pairs, total = _common.settled(spark.createDataFrame(all_pairs, "u long, v long"))
+    kept, n = ngram_join.plausible(pairs, total, bits)
+    got = {tuple(r) for r in kept.collect()}
+    linked = {(u, v) for u, v in all_pairs if u in sets and v in sets and 7 * len(np.intersect1d(sets[u], sets[v])) >= 3 * (len(sets[u]) + len(sets[v]))}
+    assert {(0, 20), (0, 21)} <= linked <= got and {(1, 30), (30, 31)} <= got and n == len(got)
+    assert len(got) < len(all_pairs) / 2
+    assert ngram_join.plausible(pairs.limit(0), 0, bits)[1] == 0
