@@ -388,7 +388,7 @@ def bricks(spark, sf_dir):
     n = F.col("n_nationkey")
     row = F.floor(n / 5)
     x, y = (2 * (n % 5) + 0.75 * (row % 2)).cast("double"), row.cast("double")
-    return zones.select(F.col("r_name").alias("by"), F.array(x, x + 2, x + 2.5, x + 0.5).alias("xs"), F.array(y, y, y + 1, y + 1).alias("ys"), F.lit(False).alias("hole"))
+    return zones.select("n_nationkey", "n_name", "n_regionkey", F.col("r_name").alias("by"), F.array(x, x + 2, x + 2.5, x + 0.5).alias("xs"), F.array(y, y, y + 1, y + 1).alias("ys"), F.lit(False).alias("hole"))
 
 
 @query("SELECT borough, round(2.0::DOUBLE * count(*), 6) AS area, round(any_value(perimeter), 6) AS perimeter FROM bricks JOIN rim USING (borough) GROUP BY borough", BRICKS_SQL)

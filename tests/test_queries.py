@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from odflux.plans import networks, reaching  # noqa: F401  they register their queries
+from odflux.plans import geometry, networks, reaching  # noqa: F401  they register their queries
 from odflux.plans.catalog import ORACLES, QUERIES
 
 PLAIN = sorted(set(QUERIES) - set(ORACLES) - {"gravity_by_year", "year_panel_full"})  # a test against bisection is below
