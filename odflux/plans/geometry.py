@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from odflux.operators import shapes, spatial
-from odflux.operators.iterate import delete, shared_folder
+from odflux.operators.iterate import Iterates, delete, shared_folder
 from odflux.plans.catalog import query, rounded
 from odflux.plans.reaching import bricks
 from odflux.sources import geoparquet, shapefile, views, wkb
@@ -72,8 +72,11 @@ def zone_dimension(spark, sf_dir):
   ON (a.y = b.y AND abs(a.x - b.x) <= 2) OR (b.y = a.y + 1 AND b.x - a.x BETWEEN -1.5 AND 2.5) OR (a.y = b.y + 1 AND a.x - b.x BETWEEN -1.5 AND 2.5) GROUP BY 1)""",
 )
 def zone_crosswalk(spark, sf_dir):
-    """The block around each region's centroid, and the blocks that it meets."""
-    zones = geoparquet.read(spark, zone_dimension_table(spark, sf_dir)).withColumnRenamed("zone", "id")
-    tracts = blocks(spark, sf_dir).select(F.col("tract").alias("id"), wkb.polygons_of(F.col("geometry")).alias("polygons"))
-    found = shapes.crosswalk(zones.select("id", wkb.polygons_of(F.col("geometry")).alias("polygons")), zones.select("id", "cx", "cy"), tracts, CELL)
+    """The block around each region's centroid, and the blocks that it meets; polygons are decoded once and stored."""
+    steps, path = Iterates(spark, "crosswalk"), _folder(spark, "tracts")
+    geoparquet.write(blocks(spark, sf_dir), path)
+    decoded = lambda df, key: df.select(F.col(key).alias("id"), wkb.polygons_of(F.col("geometry")).alias("polygons"))
+    zones = geoparquet.read(spark, zone_dimension_table(spark, sf_dir))
+    tracts = steps.keep("tracts", decoded(geoparquet.read(spark, path), "tract"))
+    found = shapes.crosswalk(steps.keep("zones", decoded(zones, "zone")), zones.select(F.col("zone").alias("id"), "cx", "cy"), tracts, CELL)
     return found.withColumnRenamed("id", "zone")

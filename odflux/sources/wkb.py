@@ -9,6 +9,8 @@ read by ``point_of`` and polygons by ``polygons_of``, any other kind of geometry
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,10 +22,18 @@ NAN, INFINITY, SIGN = 0x7FF8 << 48, 0x7FF0 << 48, -(1 << 63)
 HALF = 2.0**537
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def double_bits(x: Column) -> Column:
     """The bits of a double as a long: powers of two scale it exactly, so its exponent and fraction can be worked out."""
+    return _let(x, lambda x: _let(F.floor(F.log2(F.abs(x))), lambda guess: _double_bits(x, guess)))
+
+
+def _double_bits(x: Column, guess: Column) -> Column:
     a = F.abs(x)
-    guess = F.floor(F.log2(a))
     e = guess + F.when(a >= F.pow(F.lit(2.0), guess + 1), 1).when(a < F.pow(F.lit(2.0), guess), -1).otherwise(0)
     normal = (e + 1023) * (1 << 52) + ((a * F.pow(F.lit(2.0), -e) - 1) * 2.0**52).cast("long")
     size = F.when(F.isnan(x), NAN).when(a == float("inf"), INFINITY).when(a < 2.0**-1022, (a * HALF * HALF).cast("long")).otherwise(normal)
@@ -33,6 +43,10 @@ def double_bits(x: Column) -> Column:
 
 def bits_double(bits: Column) -> Column:
     """The double that a long's bits stand for."""
+    return _let(bits, _bits_double)
+
+
+def _bits_double(bits: Column) -> Column:
     field = F.shiftrightunsigned(bits, 52).bitwiseAND(F.lit(2047))
     part = bits.bitwiseAND(F.lit((1 << 52) - 1))
     whole = (part + F.when(field > 0, 1 << 52).otherwise(0)).cast("double") * F.pow(F.lit(2.0), F.greatest(field, F.lit(1)) - 1075)
@@ -79,8 +93,8 @@ def closed(points: Column) -> Column:
 def _bytes(wkb: Column, at: Column, n: int, little: Column) -> Column:
     """Signed number of ``n`` bytes at a place counted from 1."""
     digits = F.hex(F.substring(wkb, at, F.lit(n)))
-    swapped = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(n))])
-    return F.conv(F.when(little, swapped).otherwise(digits), 16, -10).cast("long")
+    swapped = lambda d: F.concat(*[F.substring(d, 2 * i + 1, 2) for i in reversed(range(n))])
+    return _let(digits, lambda d: F.conv(F.when(little, swapped(d)).otherwise(d), 16, -10).cast("long"))
 
 
 def _little(wkb: Column, at: Column) -> Column:
@@ -100,39 +114,39 @@ def point_of(wkb: Column) -> Column:
     return F.when(_kind(wkb, F.lit(1)) == POINT, _point_at(wkb, F.lit(6), _little(wkb, F.lit(1))))
 
 
-def _walk(wkb: Column, count: Column, start: Column, kind: str, step) -> Column:
-    """``count`` items that lie one after another: ``step`` takes the place of one and gives it and the place after it."""
+def _walk(count: Column, start: Column, kind: str, step: Callable[[Column], Column]) -> Column:
+    """``count`` items that lie one after another: ``step`` takes the place of one and gives (the place after it, the item)."""
     first = F.struct(start.cast("int").alias("at"), F.array().cast(f"array<{kind}>").alias("got"))
 
     def add(state: Column, _: Column) -> Column:
-        item, after = step(state["at"])
-        return F.struct(after.cast("int").alias("at"), F.concat(state["got"], F.array(item)).alias("got"))
+        return _let(step(state["at"]), lambda s: F.struct(s["at"].cast("int").alias("at"), F.concat(state["got"], F.array(s["item"])).alias("got")))
 
     return F.aggregate(F.array_repeat(F.lit(0), count.cast("int")), first, add)
 
 
+def _step(at: Column, item: Column) -> Column:
+    return F.struct(at.alias("at"), item.alias("item"))
+
+
 def _polygon_at(wkb: Column, at: Column) -> Column:
-    little = _little(wkb, at)
+    def ring(place: Column, little: Column) -> Column:
+        def points(n: Column) -> Column:
+            body = F.substring(wkb, place + 4, n * 16)
+            return _step(place + 4 + n * 16, _let(body, lambda b: F.transform(F.array_repeat(F.lit(0), n), lambda _, i: _point_at(b, i * 16 + 1, little))))
 
-    def ring(place: Column) -> tuple[Column, Column]:
-        n = _bytes(wkb, place, 4, little).cast("int")
-        body = F.substring(wkb, place + 4, n * 16)
-        points = F.transform(F.array_repeat(F.lit(0), n), lambda _, i: _point_at(body, i * 16 + 1, little))
-        return points, place + 4 + n * 16
+        return _let(_bytes(wkb, place, 4, little).cast("int"), points)
 
-    return _walk(wkb, _bytes(wkb, at + 5, 4, little), at + 9, RING, ring)
+    return _let(_little(wkb, at), lambda little: _walk(_bytes(wkb, at + 5, 4, little), at + 9, RING, lambda place: ring(place, little)))
 
 
 def polygons_of(wkb: Column) -> Column:
     """The polygons of a WKB polygon or multipolygon, as a column of the type ``POLYGONS``."""
 
-    def part(place: Column) -> tuple[Column, Column]:
-        read = _polygon_at(wkb, place)
-        return read["got"], read["at"]
-
     kind = _kind(wkb, F.lit(1))
-    several = _walk(wkb, _bytes(wkb, F.lit(6), 4, _little(wkb, F.lit(1))), F.lit(10), f"array<{RING}>", part)["got"]
-    return F.when(kind == POLYGON, F.array(_polygon_at(wkb, F.lit(1))["got"])).when(kind == MULTIPOLYGON, several)
+    head = F.when(kind == POLYGON, 1).when(kind == MULTIPOLYGON, _bytes(wkb, F.lit(6), 4, _little(wkb, F.lit(1))))
+    start = F.when(kind == POLYGON, 1).otherwise(10)
+    part = lambda place: _let(_polygon_at(wkb, place), lambda p: _step(p["at"], p["got"]))
+    return F.when(head.isNotNull(), _walk(head, start, f"array<{RING}>", part)["got"])
 
 
 def _moments(ring: Column) -> Column:
@@ -154,11 +168,14 @@ def measures(polygons: Column) -> Column:
     """(area, cx, cy): area and centroid of polygons, whichever way round their rings run."""
 
     def ring(r: Column, i: Column) -> Column:
-        m = _moments(r)
+        return _let(_moments(r), lambda m: shifted(r, i, m))
+
+    def shifted(r: Column, i: Column, m: Column) -> Column:
         sign = F.signum(m["a"]) * F.when(i == 0, 1).otherwise(-1)
         area = sign * m["a"] / 2
         return F.struct(area.alias("a"), (sign * m["x"] / 6 + area * r[0]["x"]).alias("x"), (sign * m["y"] / 6 + area * r[0]["y"]).alias("y"))
 
     rings = F.flatten(F.transform(polygons, lambda p: F.transform(p, ring)))
-    total = lambda c: F.aggregate(rings, F.lit(0.0), lambda s, r: s + r[c])
-    return F.struct(total("a").alias("area"), F.try_divide(total("x"), total("a")).alias("cx"), F.try_divide(total("y"), total("a")).alias("cy"))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in "axy"])
+    total = F.aggregate(rings, zero, lambda s, r: F.struct(*[(s[c] + r[c]).alias(c) for c in "axy"]))
+    return _let(total, lambda t: F.struct(t["a"].alias("area"), F.try_divide(t["x"], t["a"]).alias("cx"), F.try_divide(t["y"], t["a"]).alias("cy")))

@@ -115,3 +115,36 @@ def test_geoparquet_is_read_by_another_library(spark, tmp_path):
     assert {r["name"]: r["geometry"] for r in geoparquet.read(spark, path).collect()} == {r["name"]: r["geometry"] for r in geometries(spark).collect()}
     with pytest.raises(Exception):
         geoparquet.write(geometries(spark), path, geometry="shape")
+
+
+def box(x0, y0, x1, y1):
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+
+
+#: A frame with a hole, a box in the hole, one over the frame's side, one that touches a corner, one far away with two parts.
+SHAPES = {1: [[box(0.0, 0.0, 8.0, 8.0), box(2.0, 2.0, 6.0, 6.0)[::-1]]], 2: [[box(3.0, 3.0, 5.0, 5.0)]], 3: [[box(7.0, 1.0, 9.0, 2.0)]], 4: [[box(8.0, 8.0, 9.0, 9.0)]], 5: [[box(20.0, 20.0, 21.0, 21.0)], [box(4.0, 4.0, 4.5, 4.5)]], 6: [], 7: None}
+
+
+def test_points_within_and_shapes_that_meet(spark):
+    from odflux.operators import shapes
+
+    table = spark.createDataFrame(list(SHAPES.items()), f"id long, polygons {wkb.POLYGONS}").repartition(3).persist()
+    points = [(1, 1.0, 1.0), (2, 4.0, 4.0), (3, 8.0, 4.0), (4, 0.0, 0.0), (5, 4.25, 4.25), (6, 20.5, 20.5), (7, 30.0, 0.0), (8, 7.5, 1.5), (9, 2.0, 2.0)]
+    want = {(1, 1), (2, 2), (2, 5), (3, None), (4, 1), (5, 2), (5, 5), (6, 5), (7, None), (8, 1), (8, 3), (9, None)}
+    pairs = {(a, a) for a in (1, 2, 3, 4, 5)} | {(1, 3), (3, 1), (1, 4), (4, 1), (2, 5), (5, 2)}
+    for cell in (1.5, 50.0):
+        assert {tuple(r) for r in shapes.within(spark.createDataFrame(points, "point_id long, x double, y double"), table, cell).collect()} == want
+        met = [tuple(r) for r in shapes.meeting(table, table, cell).collect()]
+        assert len(met) == len(set(met)) and set(met) == pairs
+    table.unpersist()
+
+
+def test_holes_join_the_smallest_outline_around_them(spark):
+    from odflux.operators import shapes
+
+    whole = {"a": [(box(0, 0, 9, 9), 81.0), (box(1, 1, 8, 8)[::-1], -49.0), (box(2, 2, 7, 7), 25.0), (box(3, 3, 4, 4)[::-1], -1.0), (box(5, 5, 6, 6)[::-1], -1.0)], "b": [(box(0, 0, 2, 2), 4.0)]}
+    rows = [(by, tuple(map(float, r[0])), [tuple(map(float, p)) for p in r[:-1]], area) for by, found in whole.items() for r, area in found]
+    rings = spark.createDataFrame(rows, "by string, ring struct<x:double,y:double>, points array<struct<x:double,y:double>>, area double")
+    got = {r["by"]: plain(r["polygons"]) for r in shapes.assembled(rings, 2.0).collect()}
+    assert got["b"] == [[box(0, 0, 2, 2)]] and [len(p) for p in got["a"]] == [2, 3]
+    assert got["a"][0] == [box(0, 0, 9, 9), box(1, 1, 8, 8)[::-1]] and got["a"][1][0] == box(2, 2, 7, 7)
