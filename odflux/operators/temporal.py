@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odflux.functions.expressions import net_flow_index, safe_ratio
+from odflux.operators.iterate import Iterates
 
 
 def seasonality(monthly: DataFrame) -> DataFrame:
@@ -80,6 +83,37 @@ def rhythm_profiles(cells: DataFrame, floor: int) -> DataFrame:
     return week.withColumn("total", total).where(F.col("total") >= floor).select("zone_id", "hr", "pickups", safe_ratio(F.col("pickups"), F.col("total")).alias("share"))
 
 
+def rhythm_clusters(cells: DataFrame, floor: int, k: int = 4, seed: int = 42, inits: int = 10) -> DataFrame:
+    """(zone_id, volume, shares, rhythm_cluster): zones clustered by their weekday profile over the 24 hours.
+
+    The best of ``inits`` starts by the squared distances within clusters; clusters are numbered by size, largest first, then
+    by the least zone.  Zones below ``floor`` have no row; with fewer than two of them there is one cluster."""
+    hours = [str(h) for h in range(24)]
+    profile = rhythm_profiles(cells, floor).groupBy("zone_id").pivot("hr", list(range(24))).agg(F.sum("share")).na.fill(0.0)
+    volume = cells.where("not weekend").groupBy("zone_id").agg(F.sum("pickups").alias("volume"))
+    steps = Iterates(cells.sparkSession, "rhythm")
+    stored = steps.keep("profiles", profile.join(volume, "zone_id").select("zone_id", "volume", F.array(*hours).alias("shares")).sortWithinPartitions("zone_id"))
+    if stored.limit(2).count() < 2:
+        return stored.withColumn("rhythm_cluster", F.lit(0))
+    data = stored.withColumn("features", array_to_vector("shares"))
+    fitted = [KMeans(k=k, seed=seed + i, maxIter=50, initSteps=5).fit(data) for i in range(inits)]
+    best = min(fitted, key=lambda m: m.summary.trainingCost)
+    told = best.transform(data).select("zone_id", "volume", "shares", F.col("prediction").alias("_c"))
+    order = Window.orderBy(F.desc("n"), "least")  # over k rows
+    names = told.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.min("zone_id").alias("least")).select("_c", (F.row_number().over(order) - 1).alias("rhythm_cluster"))
+    return told.join(F.broadcast(names), "_c").drop("_c")
+
+
+def describe_rhythms(labelled: DataFrame, examples: int = 5) -> DataFrame:
+    """(rhythm_cluster, size, peak_hour, examples): each cluster's zones, the hour of its mean profile's peak, its busiest zones."""
+    means = labelled.select("rhythm_cluster", F.posexplode("shares").alias("hr", "share")).groupBy("rhythm_cluster", "hr").agg(F.avg("share").alias("share"), F.count(F.lit(1)).alias("size"))
+    peaks = means.groupBy("rhythm_cluster").agg(F.max("size").alias("size"), F.max_by("hr", F.struct("share", -F.col("hr"))).alias("peak_hour"))
+    busiest = Window.partitionBy("rhythm_cluster").orderBy(F.desc("volume"), "zone_id")
+    top = labelled.select("rhythm_cluster", "zone_id", F.row_number().over(busiest).alias("place")).where(F.col("place") <= examples)
+    named = top.groupBy("rhythm_cluster").agg(F.sort_array(F.collect_list(F.struct("place", "zone_id"))).alias("t"))
+    return peaks.join(named.select("rhythm_cluster", F.transform("t", lambda t: t["zone_id"]).alias("examples")), "rhythm_cluster")
+
+
 def forward_fill(series: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """The last value seen where one is missing, in order, for each key."""
     upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

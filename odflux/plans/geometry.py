@@ -66,8 +66,8 @@ def zone_dimension(spark, sf_dir):
 
 
 @query(
-    """SELECT r_regionkey AS zone, any_value(b.n_nationkey) AS rep_tract, any_value(n_tracts) AS n_tracts FROM regions LEFT JOIN blocks b
-  ON y <= cy AND cy < y + 1 AND x + (cy - y) / 2 <= cx AND cx < x + 2 + (cy - y) / 2 JOIN touched USING (r_regionkey) GROUP BY 1""",
+    """SELECT g.r_regionkey AS zone, min(b.n_nationkey) AS rep_tract, min(n_tracts) AS n_tracts FROM regions g LEFT JOIN blocks b
+  ON y <= cy AND cy < y + 1 AND x + (cy - y) / 2 <= cx AND cx < x + 2 + (cy - y) / 2 JOIN touched t ON t.r_regionkey = g.r_regionkey GROUP BY 1""",
     f"""{REGIONS_SQL}, touched AS (SELECT a.r_regionkey, count(DISTINCT b.n_nationkey) AS n_tracts FROM blocks a JOIN blocks b
   ON (a.y = b.y AND abs(a.x - b.x) <= 2) OR (b.y = a.y + 1 AND b.x - a.x BETWEEN -1.5 AND 2.5) OR (a.y = b.y + 1 AND a.x - b.x BETWEEN -1.5 AND 2.5) GROUP BY 1)""",
 )

@@ -227,6 +227,23 @@ def node_analysis(spark, sf_dir):
     return rounded(tables.node_analysis(order_edges(spark, sf_dir), order_nodes(spark, sf_dir), surprise))
 
 
+def user_hours(spark, sf_dir):
+    """Events of each user by hour, those of weekends apart."""
+    events = views.read(spark, sf_dir, "events").select(F.col("user_id").alias("zone_id"), F.hour("ts").alias("hr"), (F.weekday("ts") >= 5).alias("weekend"))
+    return events.groupBy("zone_id", "hr", "weekend").agg(F.count(F.lit(1)).alias("pickups"))
+
+
+@query()
+def rhythm_labels(spark, sf_dir):
+    """The cluster of each user's weekday hours; the events' own places are too few to be clustered."""
+    return rounded(temporal.rhythm_clusters(user_hours(spark, sf_dir), 20).drop("shares"))
+
+
+@query()
+def rhythm_summary(spark, sf_dir):
+    return temporal.describe_rhythms(temporal.rhythm_clusters(user_hours(spark, sf_dir), 20))
+
+
 def _squares(spark, side: float, columns: int, first: int = 0):
     """Square polygons on a grid, numbered by row and column."""
     n = spark.range(columns * columns)
