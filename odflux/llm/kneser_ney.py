@@ -4,14 +4,15 @@ Trusted text is that of documents labelled good and not toxic; a fifth of it, by
 
 * Vocabulary: every word that trusted text has at least ``LEAST`` times, whatever the size of the input, known by a
   64-bit hash; any other word falls into one of ``ENDINGS`` unknown classes, one for each pair of last bytes: words with
-  an ending that trusted text hasn't are improbable, however many they are.  Tables over classes go to every task; they
-  take about 33 bytes for each word of the vocabulary, and grow with it.
+  an ending that trusted text hasn't are improbable, however many they are.  Frequent words have low numbers, which
+  pack well.  Tables over classes go to every task; they take about 37 bytes for each word of the vocabulary, and grow with it.
 * Counts: each batch of texts sends its distinct bigrams with their counts to shards by the hash of the bigram, and a
   shard adds them up.  Discounts, context weights and continuation counts come from all shards' counts.
 * Scoring: a batch looks up bigrams with at least 1 / ``HEAD`` of all counts, and those whose context or word was never
-  seen, on the spot.  All other bigrams go, packed by batch, to their
-  shards, where they meet the counts; shards stream their requests past the sorted counts and send back one row of
-  partial sums for each batch, which are added up batch by batch.  A bigram that is in very many texts is one entry a batch.
+  seen, on the spot.  All other bigrams are scored there as if never counted, and go, packed by batch, to shards that are
+  ranges of bigrams, where they meet the counts; shards stream their requests past the sorted counts and send back, for each
+  batch, what the bigrams that they found add to its documents, if anything.  A packet's gaps stay as small however many
+  shards there are.  A sample of ``SAMPLE`` documents and the counts set the limits of the ranges, which change no result.
 * Thresholds: the ``QUANTILE`` of the held-out trusted perplexities of each language, times ``SLACK``; a language without
   a held-out document has none, and takes the quantile over all languages.
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from odflux.llm._common import durable, marked, members, remove, small_batches, written
+from odflux.llm._common import durable, marked, members, release, remove, small_batches, written
 from odflux.llm.ngram_join import CELLS, CHUNK, _added, _batch
 
 LEAST = 2
@@ -43,28 +44,82 @@ ENDINGS = 1 << 16
 HEAD = 1 << 19
 #: Trusted tokens, and bytes of text to be scored, for each shard: either may be the larger.
 SHARD, ASKED = 8_000_000, 32 << 20
+#: From so many shards on, text to be scored makes a new one for ``STREAMED`` bytes only: it streams through its shard, and
+#: documents get an answer from each shard that found a bigram of theirs.
+SPREAD, STREAMED = 64, 256 << 20
+#: Documents, keys of a batch and keys of all counts that the limits of the ranges are taken from.
+SAMPLE, PLACES, MARKS = 1000, 1024, 1 << 16
+#: What a shard adds to a document is a multiple of this, so that sums are exact in any order (below about a million).
+GRAIN = 2.0**-32
 QUANTILE, SLACK = 0.99, 1.25
 
-SHARDED = StructType([StructField("shard", IntegerType()), StructField("kind", IntegerType()), StructField("keys", BinaryType()), StructField("rest", BinaryType())])
+SHARDED = StructType([StructField("shard", IntegerType()), StructField("kind", IntegerType()), StructField("batch", LongType()), StructField("body", BinaryType())])
 COUNT, REQUEST, LOCAL = 0, 1, 2
 
 
-def _press(x: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else x.tobytes())
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Equally long arrays of numbers from 0, by byte planes, each compressed alone; high planes of zeros take nothing."""
+    press, planes, widths = zstandard.ZstdCompressor(level=1).compress, [], []
+    for x in arrays:
+        flat = x.astype("<u8")
+        widths.append((int(flat.max(initial=0)).bit_length() + 7) // 8)
+        planes += [press(flat.view(np.uint8)[k::8].tobytes()) for k in range(widths[-1])]
+    head = np.asarray([len(arrays[0]), *widths, *map(len, planes)], dtype="<u4")
+    return head.tobytes() + b"".join(planes)
 
 
-def _planes(keys: np.ndarray) -> bytes:
-    """Sorted keys by byte planes: the high planes compress to almost nothing."""
-    return _press(np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8).T))
+def _unpacked(raw: bytes, arrays: int) -> list[np.ndarray]:
+    opened, out = zstandard.ZstdDecompressor().decompress, []
+    n, *widths = np.frombuffer(raw, "<u4", 1 + arrays).tolist()
+    sizes = np.frombuffer(raw, "<u4", sum(widths), 4 * (1 + arrays)).tolist()
+    at, sizes = 4 * (1 + arrays + len(sizes)), iter(sizes)
+    for width in widths:
+        flat = np.zeros(8 * n, dtype=np.uint8)
+        for k in range(width):
+            size = next(sizes)
+            flat[k::8] = np.frombuffer(opened(raw[at : at + size]), dtype=np.uint8)
+            at += size
+        out.append(flat.view("<u8"))
+    return out
 
 
-def _unplanes(raw: bytes) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
-    return np.ascontiguousarray(flat.reshape(8, -1).T).view("<u8").ravel()
+def _gaps(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys as gaps of contexts, and words: the first of each context, then gaps within it."""
+    context, word = keys // size, keys % size
+    gap = np.diff(context, prepend=0)
+    same = gap == 0
+    same[:1] = False
+    return gap, np.where(same, np.diff(word, prepend=0), word)
 
 
-def _open(raw: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=kind)
+def _keys(gap: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    gap, word = gap.astype(np.int64), word.astype(np.int64)
+    first = gap != 0
+    first[:1] = True
+    at, along = np.flatnonzero(first), np.cumsum(word)
+    before = np.repeat((along - word)[at], np.diff(np.append(at, len(gap))))
+    return np.cumsum(gap) * size + along - before
+
+
+def _coded(keys: np.ndarray, counts: np.ndarray, size: int) -> bytes:
+    """Sorted keys and their counts (1 or more)."""
+    return _packed(*_gaps(keys, size), counts - 1)
+
+
+def _decoded(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    gap, word, less = _unpacked(raw, 3)
+    return _keys(gap, word, size), less.astype(np.int64) + 1
+
+
+def _merged(pieces: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of all pieces, and their counts added up."""
+    if not pieces:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    keys, counts = map(np.concatenate, zip(*(_decoded(x, size) for x in pieces)))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(counts, at)
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -81,10 +136,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 class Classes:
-    """Class numbers of words: vocabulary (by its sorted hashes), unknown classes, and the start of a text."""
+    """Class numbers of words: vocabulary (by the place of its hash in ``hashes``), unknown classes, and the start of a text."""
 
     def __init__(self, hashes: np.ndarray) -> None:
-        self.hashes = hashes
+        order = np.argsort(hashes)
+        self.hashes, self.number = hashes[order], order.astype(np.uint32)
         self.base, self.start = len(hashes), len(hashes) + ENDINGS
         self.size = len(hashes) + ENDINGS + 1
 
@@ -94,7 +150,7 @@ class Classes:
         if self.base:
             wanted = word_hashes(distinct)
             at = np.minimum(np.searchsorted(self.hashes, wanted), self.base - 1)
-            number = np.where(self.hashes[at] == wanted, at, number)
+            number = np.where(self.hashes[at] == wanted, self.number[at], number)
         get = dict(zip(distinct, number.tolist())).__getitem__
         return np.fromiter(map(get, words), dtype=np.int64, count=len(words))
 
@@ -128,7 +184,7 @@ def trusted(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, s
 
 
 def vocabulary(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Sorted hashes of all words that occur at least LEAST times; and the number of tokens."""
+    """Hashes of all words that occur at least LEAST times, frequent ones (by quarters of an octave) first; and the number of tokens."""
     schema = StructType([StructField("word", LongType()), StructField("n", LongType())])
 
     def out(seen: Counter[bytes]) -> pa.RecordBatch:
@@ -146,40 +202,39 @@ def vocabulary(texts: DataFrame) -> tuple[np.ndarray, int]:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column("word").to_numpy().tobytes()], pa.binary())], ["words"])
+            level = np.floor(4 * np.log2(batch.column("n").to_numpy())).astype(np.uint8)
+            both = [batch.column("word").to_numpy().tobytes(), level.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in both], ["words", "levels"])
 
     counted = texts.mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     total = texts.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
-    rows = counted.select("word").mapInArrow(pack, "words binary").collect()
-    return np.sort(np.frombuffer(b"".join(bytes(r["words"]) for r in rows), dtype="<u8")), total
+    rows = counted.mapInArrow(pack, "words binary, levels binary").collect()
+    hashes = np.frombuffer(b"".join(bytes(r["words"]) for r in rows), dtype="<u8")
+    levels = np.frombuffer(b"".join(bytes(r["levels"]) for r in rows), dtype=np.uint8)
+    return hashes[np.lexsort((hashes, 255 - levels))], total
 
 
-def _packed_counts(keys: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    shard = shard_of(keys, shards)
+def _dealt(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that occurs, and its places in their order."""
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(cuts)):
-        o = order[cuts[s] : cuts[s + 1]]
-        yield int(s), COUNT, _planes(keys[o]), _press(counts[o].astype(np.int64))
+        yield int(s), order[cuts[s] : cuts[s + 1]]
 
 
 def bigram_counts(texts: DataFrame, classes: Classes, shards: int) -> DataFrame:
     """One row a shard: its sorted distinct bigrams and their counts over all ``texts``."""
-    shared = texts.sparkSession.sparkContext.broadcast(classes)
+    shared, size = texts.sparkSession.sparkContext.broadcast(classes), classes.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, counts = np.unique(shared.value.bigrams(batch.column("text").to_pylist())[0], return_counts=True)
-            yield _batch(SHARDED, list(zip(*_packed_counts(keys, counts, shards))) or [[]] * 4)
+            rows = [(s, COUNT, 0, _coded(keys[o], counts[o], size)) for s, o in _dealt(shard_of(keys, shards), shards)]
+            yield _batch(SHARDED, list(zip(*rows)) or [[]] * 4)
 
     def add(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([_unplanes(x.as_py()) for x in table.column("keys")])
-        counts = np.concatenate([_open(x.as_py(), np.int64) for x in table.column("rest")])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        row = [table.column("shard")[0].as_py()], [COUNT], [_planes(keys[at])], [_press(np.add.reduceat(counts, at))]
-        return pa.Table.from_batches([_batch(SHARDED, list(row))])
+        body = _coded(*_merged(table.column("body").to_pylist(), size), size)
+        return pa.Table.from_batches([_batch(SHARDED, [[table.column("shard")[0].as_py()], [COUNT], [0], [body]])])
 
     return texts.mapInArrow(run, SHARDED).groupBy("shard").applyInArrow(add, SHARDED)
 
@@ -193,8 +248,8 @@ def _statistics(counts: DataFrame, size: int) -> np.ndarray:
         flat = np.zeros(chunks * CHUNK, dtype=np.int64)
         out = flat[: 6 * width].reshape(6, width)
         for batch in batches:
-            for k, c in zip(batch.column("keys"), batch.column("rest")):
-                keys, n = _unplanes(k.as_py()).astype(np.int64), _open(c.as_py(), np.int64)
+            for body in batch.column("body"):
+                keys, n = _decoded(body.as_py(), size)
                 context, word = keys // size, keys % size
                 out[0, :size] += np.bincount(context, n, size).astype(np.int64)
                 for row, which in ((1, n == 1), (2, n == 2), (3, n > 2)):
@@ -259,79 +314,147 @@ class Model:
             known |= hit
         return counts, known
 
+    def added(self, asked: np.ndarray, doc: np.ndarray, times: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, sums): what the bigrams asked for add to their score as never counted, by sorted ``keys`` with ``counts``.
+
+        Bigrams that weren't found add nothing, but where those never counted have no probability at all.
+        """
+        found = np.zeros(len(asked), dtype=np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            found = np.where(keys[at] == asked, counts[at], 0)
+        without = self.log_p(asked, np.zeros_like(found))
+        never = np.isneginf(without)
+        says = (found > 0) | never
+        more = self.log_p(asked[says], found[says]) - np.where(never, 0, without)[says]
+        who, place = np.unique(doc[says], return_inverse=True)
+        return who, np.round(np.bincount(place, more * times[says], len(who)) / GRAIN) * GRAIN
+
 
 PACKED = StructType([StructField("batch", LongType()), StructField("kind", IntegerType()), StructField("body", BinaryType())])
 SCORED = StructType([StructField("doc_id", LongType()), StructField("lang", StringType()), StructField("log_p", DoubleType()), StructField("n_tokens", LongType())])
 
 
-def requests(docs: DataFrame, model, shards: int) -> DataFrame:
-    """Packed look-ups of all documents, and what each batch could score by itself.  A body begins with its batch's number."""
+def _marks(step: int, size: int):
+    """Every ``step``-th key of the counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column("body"):
+                keys = _decoded(body.as_py(), size)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[step // 2 :: step])], ["key"])
+
+    return run
+
+
+def limits_of(docs: DataFrame, rows: int, counts: DataFrame, distinct: int, model, shards: int) -> np.ndarray:
+    """First keys of all shards but the first: ranges with about equal parts of the requests, by a sample, and of the counts.
+
+    No shard has more than about twice its part of either.
+    """
+    if shards == 1:
+        return np.zeros(0, dtype=np.int64)
+    size = model.value.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            keys, doc, _ = m.classes.bigrams(batch.column("text").to_pylist())
+            keys = np.sort(keys[~m.at_once(keys)[1]])
+            some = keys[np.arange(min(PLACES, len(keys))) * len(keys) // max(1, min(PLACES, len(keys)))]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), len(keys) / max(1, len(some))))], ["key", "share"])
+
+    few = docs.where(F.rand(7) < min(1.0, SAMPLE / max(1, rows))).select("text")
+    asked = few.mapInArrow(run, "key long, share double").collect()
+    marks = counts.mapInArrow(_marks(max(1, distinct // MARKS), size), "key long").collect()
+    whole = max(sum(r["share"] for r in asked), 1e-9)
+    keys = np.asarray([r["key"] for r in asked] + [r["key"] for r in marks], dtype=np.int64)
+    share = np.asarray([r["share"] / whole for r in asked] + [1 / max(1, len(marks))] * len(marks))
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64)
+    order = np.argsort(keys, kind="stable")
+    along = np.cumsum(share[order])
+    at = np.searchsorted(along, along[-1] * np.arange(1, shards) / shards)
+    return np.unique(keys[order][np.minimum(at, len(keys) - 1)])
+
+
+def ranged(counts: DataFrame, limits: np.ndarray, size: int) -> DataFrame:
+    """The counts, dealt to the ranges that ``limits`` part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column("body"):
+                keys, n = _decoded(body.as_py(), size)
+                cuts = [0, *np.searchsorted(keys, limits).tolist(), len(keys)]
+                rows = [(s, COUNT, 0, _coded(keys[a:b], n[a:b], size)) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                yield _batch(SHARDED, list(zip(*rows)) or [[]] * 4)
+
+    return counts.mapInArrow(run, SHARDED)
+
+
+def requests(docs: DataFrame, model, limits: np.ndarray) -> DataFrame:
+    """Packed look-ups of all documents, and what each batch could score by itself: all bigrams, those looked up as never counted."""
+    shards = len(limits) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, base = model.value, TaskContext.get().partitionId() << 40
         for number, batch in enumerate(batches):
             if not batch.num_rows:
                 continue
-            name = np.int64(base + number).tobytes()
             keys, doc, sizes = m.classes.bigrams(batch.column("text").to_pylist())
             counts, known = m.at_once(keys)
-            local = np.bincount(doc[known], m.log_p(keys[known], counts[known]), len(sizes)).astype(np.float64)
+            p = m.log_p(keys, counts)
+            p[~known & np.isneginf(p)] = 0
+            local = np.bincount(doc, p, len(sizes)).astype(np.float64)
             sink = pa.BufferOutputStream()
             row = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(local), pa.array(sizes)], SCORED.names)
             with pa.ipc.new_stream(sink, row.schema) as w:
                 w.write_batch(row)
-            out = [((base + number) % shards, LOCAL, b"", name + _press(sink.getvalue().to_pybytes()))]
+            out = [((base + number) % shards, LOCAL, base + number, zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes()))]
             keys, doc = keys[~known], doc[~known]
             order = np.lexsort((doc, keys))
             keys, doc = keys[order], doc[order]
             at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])) if len(keys) else np.zeros(0, dtype=np.int64)
             times = np.diff(np.append(at, len(keys)))
             keys, doc = keys[at], doc[at]
-            shard = shard_of(keys, shards)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)):
-                o = order[cuts[s] : cuts[s + 1]]
-                both = _planes(doc[o].astype(np.uint64) | times[o].astype(np.uint64) << np.uint64(32))
-                out.append((int(s), REQUEST, _planes(np.diff(keys[o], prepend=0)), name + both))
+            cuts = [0, *np.searchsorted(keys, limits).tolist(), len(keys)]
+            for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if a < b:
+                    out.append((s, REQUEST, base + number, _packed(*_gaps(keys[a:b], m.size), doc[a:b], times[a:b] - 1)))
             yield _batch(SHARDED, list(zip(*out)))
 
     return docs.select("doc_id", "text", "lang").mapInArrow(run, SHARDED)
 
 
 def partial_scores(counts: DataFrame, asked: DataFrame, model, shards: int) -> DataFrame:
-    """Partial sums of log probabilities, a row for each batch and shard.
+    """What each batch scored by itself, and a row for each batch and shard that adds to it.
 
-    In each partition a shard's counts come first, and its requests stream past them.
+    In each partition the pieces of a shard's counts come first, and its requests stream past them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, shard = model.value, None
-        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        m, shard, pieces, keys, counts = model.value, None, [], None, None
         for batch in batches:
             out = []
-            for s, kind, a, b in zip(*(batch.column(c).to_pylist() for c in SHARDED.names)):
+            for s, kind, name, body in zip(*(batch.column(c).to_pylist() for c in SHARDED.names)):
                 if s != shard:
-                    shard, keys, counts = s, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+                    shard, pieces, keys, counts = s, [], None, None
                 if kind == COUNT:
-                    keys, counts = _unplanes(a).astype(np.int64), _open(b, np.int64)
+                    pieces.append(body)
                     continue
-                name = int(np.frombuffer(b, np.int64, 1)[0])
                 if kind == LOCAL:
-                    out.append((name, LOCAL, b[8:]))
+                    out.append((name, LOCAL, body))
                     continue
-                wanted, both = np.cumsum(_unplanes(a).astype(np.int64)), _unplanes(b[8:])
-                doc, times = (both & np.uint64(0xFFFFFFFF)).astype(np.int64), (both >> np.uint64(32)).astype(np.int64)
-                found = np.zeros(len(wanted), dtype=np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                    found = np.where(keys[at] == wanted, counts[at], 0)
-                who, place = np.unique(doc, return_inverse=True)
-                sums = np.bincount(place, m.log_p(wanted, found) * times, len(who))
-                out.append((name, REQUEST, who.astype(np.uint32).tobytes() + sums.tobytes()))
+                if keys is None:
+                    keys, counts = _merged(pieces, m.size)
+                    pieces = []
+                gap, word, doc, less = _unpacked(body, 4)
+                who, sums = m.added(_keys(gap, word, m.size), doc.astype(np.int64), less.astype(np.int64) + 1, keys, counts)
+                if len(who):
+                    out.append((name, REQUEST, _packed(np.diff(who, prepend=0), sums.view(np.uint64))))
             yield _batch(PACKED, list(zip(*out)) or [[]] * 3)
 
-    both = counts.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    both = counts.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
     return both.mapInArrow(run, PACKED)
 
 
@@ -345,8 +468,8 @@ def whole_scores(partial: DataFrame) -> DataFrame:
                 with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(body)) as r:
                     rows = r.read_all()
             else:
-                n = len(body) // 12
-                extra.append((np.frombuffer(body, np.uint32, n), np.frombuffer(body[4 * n :], np.float64)))
+                who, sums = _unpacked(body, 2)
+                extra.append((np.cumsum(who.astype(np.int64)), sums.view(np.float64)))
         total = rows.column("log_p").to_numpy().copy()
         # in a fixed order, so that sums don't depend on which shard came first
         for who, sums in sorted(extra, key=lambda x: (len(x[0]), x[0].tobytes(), x[1].tobytes())):
@@ -364,14 +487,19 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good, texts, where = trusted(docs, labels)
     hashes, total = vocabulary(texts)
     classes = Classes(hashes)
-    asked = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD), -(-asked // ASKED))
+    rows, asked = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(1, -(-total // SHARD), min(SPREAD, -(-asked // ASKED)), -(-asked // STREAMED))
     counts = durable(bigram_counts(texts, classes, shards))
     remove(spark, where)
-    head = counts.mapInArrow(_frequent(max(1, -(-total // HEAD))), "key long, n long").collect()
-    model = Model(classes, _statistics(counts, classes.size), [(r["key"], r["n"]) for r in head])
+    del texts
+    head = counts.mapInArrow(_frequent(max(1, -(-total // HEAD)), classes.size), "key long, n long").collect()
+    stats = _statistics(counts, classes.size)
+    model = Model(classes, stats, [(r["key"], r["n"]) for r in head])
     shared = spark.sparkContext.broadcast(model)
-    partial = partial_scores(counts, requests(docs, shared, shards), shared, shards)
+    limits = limits_of(docs, rows, counts, int(stats[4].sum()), shared, shards)
+    # shuffles of the vocabulary and the counts; the JVM hears of dropped frames about a second late, so not right after the counts
+    release(spark)
+    partial = partial_scores(ranged(counts, limits, classes.size), requests(docs, shared, limits), shared, len(limits) + 1)
     mean = F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_p") / F.col("n_tokens")))
     scores = durable(whole_scores(partial).select("doc_id", "lang", "n_tokens", mean.alias("perplexity")))
     held = scores.join(good.where("held").select("doc_id"), "doc_id").where("perplexity is not null")
@@ -383,11 +511,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judged.select("doc_id", "lang", "n_tokens", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
 
 
-def _frequent(least: int):
+def _frequent(least: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, c in zip(batch.column("keys"), batch.column("rest")):
-                keys, n = _unplanes(k.as_py()).astype(np.int64), _open(c.as_py(), np.int64)
+            for body in batch.column("body"):
+                keys, n = _decoded(body.as_py(), size)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[n >= least]), pa.array(n[n >= least])], ["key", "n"])
 
     return run

@@ -352,6 +352,77 @@ def test_trusted_texts_where_ids_share_places_of_the_bitmap(awkward, spark, monk
     assert len(want) > len(set(want))
 
 
+@pytest.fixture
+def made_up(spark):
+    """Texts of words of very unequal frequency, and labels that trust half of them."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.3, 300) % 5000) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(2)
+    return docs, spark.createDataFrame([(i, 1, 0) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+
+
+def _moved(spark, docs, labels, shards):
+    """Bytes of requests, and of what shards send back, for each bigram asked for; and the scores."""
+    texts = kneser_ney.trusted(docs, labels)[1]
+    classes = kneser_ney.Classes(kneser_ney.vocabulary(texts)[0])
+    counts = kneser_ney.bigram_counts(texts, classes, shards)
+    stats = kneser_ney._statistics(counts, classes.size)
+    shared = spark.sparkContext.broadcast(kneser_ney.Model(classes, stats, []))
+    limits = kneser_ney.limits_of(docs, docs.count(), counts, int(stats[4].sum()), shared, shards)
+    assert shards // 2 <= len(limits) + 1 <= shards
+    asked = kneser_ney.requests(docs, shared, limits)
+    partial = kneser_ney.partial_scores(kneser_ney.ranged(counts, limits, classes.size), asked, shared, len(limits) + 1)
+    pairs = sum(len(set(k[~shared.value.at_once(k)[1]].tolist())) for k in (classes.bigrams([r["text"]])[0] for r in docs.collect()))
+    size = lambda df: df.where(F.col("kind") == kneser_ney.REQUEST).select(F.sum(F.length("body"))).first()[0] / pairs
+    most = asked.where(F.col("kind") == kneser_ney.REQUEST).groupBy("shard").agg(F.sum(F.length("body")).alias("n")).agg(F.max("n")).first()[0] / pairs
+    return size(asked), size(partial), most, {r["doc_id"]: r["log_p"] for r in kneser_ney.whole_scores(partial).collect()}
+
+
+def test_look_ups_stay_small_with_more_shards(made_up, spark):
+    few, many = _moved(spark, *made_up, 2), _moved(spark, *made_up, 32)
+    assert few[0] < 1.65 and many[0] < 1.2 * few[0]
+    assert few[1] < 0.08 and many[1] < 1
+    assert many[2] < many[0] / 8
+    assert len(few[3]) == 400 and all(abs(few[3][k] - many[3][k]) < 1e-6 for k in few[3])
+
+
+def test_scores_are_the_same_with_any_number_of_shards(awkward, made_up, spark, monkeypatch):
+    docs = awkward.select("doc_id", "text", "lang").unionByName(made_up[0].withColumn("doc_id", F.col("doc_id") + 1000))
+    labels = spark.createDataFrame([(i, 1, 0) for i in (1, 2, 3, 7, 9, 10, *range(1000, 1400, 3))], "doc_id long, quality int, toxic int")
+    found = []
+    for shard, asked in ((1 << 40, 1 << 40), (2_000, 1 << 40), (1 << 40, 10_000)):
+        monkeypatch.setattr(kneser_ney, "SHARD", shard)
+        monkeypatch.setattr(kneser_ney, "ASKED", asked)
+        got = kneser_ney.classify(docs, labels).collect()
+        found.append(sorted((str(r["doc_id"]), r["n_tokens"], str(r["lang"]), r["perplexity"] and round(r["perplexity"], 5), r["kept"]) for r in got))
+    assert found[0] == found[1] == found[2] and len(found[0]) == docs.count()
+
+
+def test_packed_numbers_and_keys_come_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5000):
+        keys = np.unique(np.concatenate([rng.integers(0, 9_000_000_000, n), np.arange(n) * 3, 90_000 * np.arange(n)]))
+        counts = rng.integers(1, 1 << 40, len(keys))
+        back = kneser_ney._decoded(kneser_ney._coded(keys, counts, 90_001), 90_001)
+        assert np.array_equal(back[0], keys) and np.array_equal(back[1], counts)
+    sums = np.asarray([-np.inf, -3.5, 0.0, 1e9])
+    assert np.array_equal(kneser_ney._unpacked(kneser_ney._packed(sums.view(np.uint64)), 1)[0].view(np.float64), sums)
+
+
+def test_bigrams_that_only_counts_make_possible():
+    stats = np.zeros((6, kneser_ney.ENDINGS + 11), dtype=np.int64)
+    stats[0, :2], stats[3, :2], stats[4, :2] = 6, 1, 2
+    model = kneser_ney.Model(kneser_ney.Classes(np.arange(2, dtype=np.uint64)), stats, [])
+    model.weight[0] = 0.0
+    asked = np.asarray([0, 1, model.size, model.size + 1])
+    with np.errstate(divide="ignore"):
+        who, sums = model.added(asked, np.asarray([0, 1, 2, 3]), np.asarray([2, 1, 3, 1]), asked[[0, 2]], np.asarray([4, 5]))
+        whole = model.log_p(asked, np.asarray([4, 0, 5, 0]))
+        without = model.log_p(asked, np.zeros(4, dtype=np.int64))
+    assert who.tolist() == [0, 1, 2]
+    assert abs(sums[0] - 2 * whole[0]) < 1e-9 and sums[1] == whole[1] == -np.inf and abs(sums[2] - 3 * (whole[2] - without[2])) < 1e-9
+
+
 def test_kneser_ney_without_trusted_text(awkward, nothing, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert not any(r["kept"] for r in kneser_ney.classify(awkward, none).collect())
